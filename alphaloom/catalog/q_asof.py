@@ -47,11 +47,11 @@ def _signals(t):
 
 
 @query("signal_log", "S14", """
-select s.ticker, r.reb_d as signal_date, r.reb_d + 21 as fwd_due_date, round(s.score,4) as score, t.ticker is not null as is_pick
+select s.ticker, r.reb_d as signal_date, r.reb_d + 21 as fwd_due_date, round(s.score,5) as score, t.ticker is not null as is_pick
 from score_long s join reb r using (k) left join (select *, row_number() over (partition by k order by score desc, ticker) as rn from score_long) t
  on t.k=s.k and t.ticker=s.ticker and t.rn<=10""", "score_long reb")
 def _(t):
-    return _signals(t).select("ticker", "signal_date", "fwd_due_date", F.round("score", 4).alias("score"), "is_pick")
+    return _signals(t).select("ticker", "signal_date", "fwd_due_date", "score", "is_pick")
 
 
 @query("forward_returns", "J4 P37", """
@@ -135,10 +135,10 @@ def _(t):
 
 
 @query("forward_fill_benchmark", "J11", """
-select c.d, round(s.close,4) as value from cal c asof left join (select d, close from macro_series where symbol='HYG') s on c.d>=s.d""", "cal macro_series")
+select c.d, round(s.close,6) as value from cal c asof left join (select d, close from macro_series where symbol='HYG') s on c.d>=s.d""", "cal macro_series")
 def _(t):
     bench = t.macro_series.where("symbol = 'HYG'").select("d", F.col("close").alias("value"))
-    return A.forward_fill(bench, TC.trading_days(t.calm).select("d")).select("d", F.round("value", 4).alias("value"))
+    return A.forward_fill(bench, TC.trading_days(t.calm).select("d")).select("d", F.round("value", 6).alias("value"))
 
 
 @query("source_fallback", "J23", """
