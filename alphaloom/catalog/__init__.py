@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alphaloom.catalog.base import QUERIES, SQL, IDS  # noqa: F401
+from alphaloom.catalog.base import IDS, QUERIES, SQL, resolve_sql  # noqa: F401
 
 
 def load() -> None:
@@ -11,3 +11,4 @@ def load() -> None:
 
     for m in pkgutil.iter_modules(__path__):
         importlib.import_module(f"{__name__}.{m.name}")
+    resolve_sql()

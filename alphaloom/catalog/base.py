@@ -12,6 +12,13 @@ from alphaloom.sources.tables import Tables
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 IDS: dict[str, tuple[str, ...]] = {}
+_PENDING: dict[str, tuple[str, list[str]]] = {}
+
+
+def resolve_sql() -> None:
+    """Compose the SQL twins once all fragments are defined."""
+    for name, (sql, ctes) in _PENDING.items():
+        SQL[name] = with_ctes(sql, ctes)
 
 
 def query(name: str, ids: str, sql: str | None = None, ctes: str = ""):
@@ -21,6 +28,6 @@ def query(name: str, ids: str, sql: str | None = None, ctes: str = ""):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         IDS[name] = tuple(ids.split())
         if sql is not None:
-            SQL[name] = with_ctes(sql, ctes.split())
+            _PENDING[name] = (sql, ctes.split())
         return fn
     return deco

@@ -23,7 +23,7 @@ def with_ctes(body: str, names: list[str], recursive: bool = False) -> str:
         visit(n)
     body = body.strip()
     if not order:
-        return body
+        return "with" + body[1:] if body.startswith(",") else body
     head = ",\n".join(f"{n} as ({CTES[n][1]})" for n in order)
     if body.lower().startswith("with "):
         raise ValueError("give CTEs by name")

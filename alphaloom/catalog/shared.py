@@ -38,4 +38,7 @@ def panel(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables, kind: str = "longterm"):
-    return memo(t, f"scored_{kind}", lambda: PN.scored_panel(panel(t), kind))
+    """(z-scores, scores) of the shared panel."""
+    from alphaloom.sources.storage import materialize
+    z = memo(t, "z", lambda: PN.zscored_panel(panel(t)))
+    return z, memo(t, f"scores_{kind}", lambda: materialize(PN.scores(z, kind), "scores"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from alphaloom import params as P
 from alphaloom.functions.expr import clip
 from alphaloom.operators.scale import grouped_percentiles, top_n
+from alphaloom.sources.storage import materialize
 
 SECTOR_NEUTRAL = ("momentum_12_1", "momentum", "quality", "roic", "growth")
 UNWINSORIZED = ("value",)
@@ -104,7 +105,7 @@ def normalize_features(panel: DataFrame, keys: list[str]) -> DataFrame:
     Factors are stacked before the statistics, so one set of aggregates serves
     all of them.
     """
-    wide = raw_factors(panel, keys)
+    wide = materialize(raw_factors(panel, keys), "factors")
     long = wide.unpivot(keys + ["ticker", "sector"], list(FACTORS), "factor", "value")
     k = keys + ["factor"]
     neutral = F.col("factor").isin(*SECTOR_NEUTRAL)
@@ -113,6 +114,7 @@ def normalize_features(panel: DataFrame, keys: list[str]) -> DataFrame:
     adj = (F.when(F.col("__n") >= 2, (F.col("value") - F.col("__m")) / (F.col("__s") + 1e-6))
            .otherwise(F.col("value")))
     long = long.join(stats, k + ["sector"], "left").withColumn("value", adj).select(*k, "ticker", "value")
+    long = materialize(long, "values")      # read by four aggregates below
     cuts = grouped_percentiles(long.where(~F.col("factor").isin(*UNWINSORIZED)), k, "value",
                                {"lo": 0.025, "hi": 0.975})
     v = F.col("value")

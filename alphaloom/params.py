@@ -40,11 +40,13 @@ class Params:
 
 
 def horizon_params(horizon: str) -> Params:
-    """The two presets: short holding periods and monthly rebalancing."""
+    """The two presets: weekly rotation with tight exits, or quarterly rebalancing."""
     if horizon == "swing":
-        return Params(rebalance_days=5, top_n=12, fwd_days=5, history_years=3, cost_bps=15.0)
+        return Params(rebalance_days=5, top_n=12, target_vol=0.18, max_position=0.12, stop_loss=0.05, profit_target=0.12,
+                      min_hold=3, max_hold=60, fwd_days=21, history_years=3, cost_bps=15.0)
     if horizon == "longterm":
-        return Params()
+        return Params(rebalance_days=63, top_n=15, target_vol=0.12, max_position=0.20, stop_loss=0.15, profit_target=0.50,
+                      min_hold=126, max_hold=1825, fwd_days=21, history_years=10, cost_bps=8.0)
     raise ValueError(f"unknown horizon {horizon!r}")
 
 

@@ -45,13 +45,18 @@ def research_panel(bars: DataFrame, sectors: DataFrame, regimes: DataFrame, p: P
     return materialize(at, "panel")
 
 
-def scored_panel(panel: DataFrame, kind: str = "longterm", min_universe: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(z-scores with regime, scores with cross-sectional z) for one panel."""
+def zscored_panel(panel: DataFrame, min_universe: int = 5) -> DataFrame:
+    """Long z-scores with the panel attributes the scores need; materialised."""
     enough = panel.groupBy("k").agg(F.count("*").alias("universe")).where(F.col("universe") >= min_universe)
     panel = panel.join(enough, "k")
     z = CS.normalize_features(panel, ["k"])
     attrs = panel.select("k", "ticker", "reb_d", "regime", "vol", "adv", "sector", "universe")
-    z = materialize(z.join(attrs, ["k", "ticker"]), "zscores")
+    return materialize(z.join(attrs, ["k", "ticker"]), "zscores")
+
+
+def scores(z: DataFrame, kind: str = "longterm") -> DataFrame:
+    """Composite score and its cross-sectional z per (k, ticker)."""
     score = CS.long_term_scores if kind == "longterm" else CS.swing_scores
     s = CS.zscore(score(z, ["k"]), ["k"], "score", "cs_score", eps=1e-9)
-    return z, s.join(attrs, ["k", "ticker"])
+    attrs = z.groupBy("k", "ticker").agg(*[F.first(c).alias(c) for c in ("reb_d", "regime", "vol", "adv", "sector", "universe")])
+    return s.join(attrs, ["k", "ticker"])
