@@ -317,14 +317,45 @@ def _backtest(t):
     return S.memo(t, "backtest", make)
 
 
-@query("walk_forward_audit", "C14 C11 UD3")
+# the path as a recursion: one step per rebalance, one row per name of that step
+_PATH = _TGT + """,
+ks as (select k, idx, row_number() over (order by k) as q from (select distinct k from tgt) join (select k, idx from reb) using (k)),
+tq as (select ks.q, ks.k, ks.idx, t.ticker, t.w from tgt t join ks using (k)),
+path as (with recursive st as (
+ select 0::bigint as q, -1::bigint as k, -1::bigint as ticker, 0.0::double as w, 0.0::double as target, 0.0::double as prev, 1.0::double as value, 1.0::double as peak, 1.0::double as dd_scale, 0.0::double as raw_turn, 0.0::double as filt_turn, 0.0::double as cost, 0.0::double as total
+ union all (
+ with cur as (select max(q) as q, max(value) as value, max(peak) as peak, case when max(q)=0 then 1.0 when (max(value)-max(peak))/(max(peak)+1e-10)<-0.25 then 0.40 when (max(value)-max(peak))/(max(peak)+1e-10)<-0.15 then 0.65 when (max(value)-max(peak))/(max(peak)+1e-10)<-0.08 then 0.85 else 1.0 end as sc from st),
+  nx as (select cur.q+1 as q, ks.k, ks.idx, cur.value, cur.peak, cur.sc from cur join ks on ks.q=cur.q+1),
+  tg as (select tq.ticker, tq.w*nx.sc as w from tq join nx on tq.q=nx.q),
+  u as (select coalesce(tg.ticker,o.ticker) as ticker, coalesce(tg.w,0) as nw, coalesce(o.w,0) as ow from tg full outer join (select ticker, w from st where w>0) o on o.ticker=tg.ticker),
+  f as (select *, case when abs(nw-ow)>0.02 then case when nw>1e-6 then nw else 0 end else case when ow>1e-6 then ow else 0 end end as x from u),
+  g as (select ticker, nw, ow, x/sum(x) over () as w from f),
+  c as (select g.*, case when abs(g.w-g.ow)<1e-6 then 0 else (0.0008+case when coalesce(p.adv,0)>0 then least(0.1*sqrt(abs(g.w-g.ow)*1e5/p.adv),0.005) else 0.001 end)*abs(g.w-g.ow) end as cost from g cross join nx left join panel p on p.k=nx.k and p.ticker=g.ticker),
+  dr as (select r.t, sum(g.w*r.x) as r from g cross join nx join calmret r on r.ticker=g.ticker and r.t>=nx.idx and r.t<nx.idx+21 and r.x is not null group by r.t),
+  vp as (select r, nx.value*(1-(select sum(cost) from c))*exp(sum(ln(1+r)) over (order by t)) as v, t from dr cross join nx),
+  fin as (select (select sum(cost) from c) as cost, nx.value*(1-(select sum(cost) from c))*exp(coalesce((select sum(ln(1+r)) from dr),0)) as value,
+    greatest(nx.peak, coalesce((select max(v) from vp),0)) as pk, coalesce((select sum(r) from dr),0) as total, (select min(t) from dr) as t0, nx.value*(1-(select sum(cost) from c)) as v0, nx.* exclude (value) from nx)
+ select fin.q, fin.k, c.ticker, c.w, c.nw, c.ow, fin.value, case when fin.t0=fin.idx then fin.pk else greatest(fin.pk, fin.v0) end, fin.sc, (select sum(abs(nw-ow)) from c), (select sum(abs(w-ow)) from c), fin.cost, fin.total from c cross join fin))
+ select * from st where q>0)"""
+PATH_CTES = "hhi lw tilt reb calmret panel"
+
+
+@query("walk_forward_audit", "C14 C11 UD3", _PATH + """
+select k, max(dd_scale) as dd_scale, round(max(raw_turn),6) as raw_turnover, round(max(filt_turn),6) as filtered_turnover, round(max(cost)*1e4,4) as cost_bps, round(max(total),6) as period_return, round(max(value),6) as value from path group by k""", PATH_CTES)
+def _(t):
+    return _backtest(t).audit.where("strategy = 'longterm'").select(
+        "k", "dd_scale", *r(["raw_turnover", "filtered_turnover"]), F.round(F.col("total_cost") * 1e4, 4).alias("cost_bps"), *r(["period_return", "value"]))
+
+
+@query("walk_forward_weights", "C14 C11", _PATH + " select k, ticker, round(w,6) as weight, round(target,6) as target, round(prev,6) as prev from path", PATH_CTES)
 def _(t):
-    return _backtest(t).audit.select("strategy", "k", "dd_scale", *r(["raw_turnover", "filtered_turnover", "total_cost", "period_return", "value"]))
+    return _backtest(t).weights.where("strategy = 'longterm'").select("k", F.col("ticker").cast("bigint").alias("ticker"), *r(["weight", "target", "prev"]))
 
 
-@query("walk_forward_weights", "C14")
+@query("turnover_cost_summary", "A4", _PATH + """
+select count(*) as n_rebalances, round(avg(raw_turn),6) as avg_raw_turnover, round(avg(filt_turn),6) as avg_filtered_turnover, round(avg(cost)*1e4,6) as avg_cost_bps from (select k, max(raw_turn) as raw_turn, max(filt_turn) as filt_turn, max(cost) as cost from path group by k)""", PATH_CTES)
 def _(t):
-    return _backtest(t).weights.select("strategy", "k", "ticker", *r(["weight", "target", "prev"]))
+    return M.turnover_summary(_backtest(t).audit.where("strategy = 'longterm'")).select("n_rebalances", *r(["avg_raw_turnover", "avg_filtered_turnover", "avg_cost_bps"]))
 
 
 @query("walk_forward_equity", "C14 W-E1")
@@ -343,11 +374,6 @@ def _(t):
     return WF.equal_weight_curve(t.calm, S.panel(t), S.TEST_PARAMS).select("d", *r(["value"], 4))
 
 
-@query("turnover_cost_summary", "A4")
-def _(t):
-    return M.turnover_summary(_backtest(t).audit).select("n_rebalances", *r(["avg_raw_turnover", "avg_filtered_turnover", "avg_cost_bps"]))
-
-
 # ---- attribution over the tilted portfolios ----
 cte("per", "select k, ticker, exp(sum(ln(1+x)))-1 as ret from (select *, (t-100)//21 as k from calmret where t>=100 and x is not null) group by k, ticker", "calmret")
 

@@ -24,11 +24,11 @@ def _(t):
 
 
 @query("stream_rolling_monitor", "ST2", """
-select user_id as ticker, s as start, round(avg(value),4) as avg_price, round(stddev_pop(value),4) as vol, count(*) as n from (select user_id, value, unnest(range(cast(ts as date) - interval '4' day, cast(ts as date) + interval '1' day, interval '1' day)) as s from events)
+select user_id as ticker, s as start, round(avg(value)*count(*),2) as total, round(stddev_pop(value),4) as vol, count(*) as n from (select user_id, value, unnest(range(cast(ts as date) - interval '4' day, cast(ts as date) + interval '1' day, interval '1' day)) as s from events)
 group by user_id, s having s + interval '5' day <= (select w from wm)""", "wm")
 def _(t):
     x = io.drain(WN.rolling_monitor(_ticks(t)), "monitor")
-    return x.select("ticker", "start", F.round("avg_price", 4).alias("avg_price"), F.round("vol", 4).alias("vol"), "n")
+    return x.select("ticker", "start", F.round(F.col("avg_price") * F.col("n"), 2).alias("total"), F.round("vol", 4).alias("vol"), "n")
 
 
 @query("stream_sessions", "ST3", """
@@ -51,12 +51,30 @@ def _(t):
     return io.drain(WN.match_fills(a, f), "fills").where("filled").select("trade_id", "side", F.round("slippage_bps", 4).alias("slippage_bps"))
 
 
-@query("stream_position_exits", "ST5 UD5")
+@query("stream_position_exits", "ST5 UD5", """
+, q as (select user_id as ticker, ts, value as price, row_number() over (partition by user_id order by ts, event_id) as j from events where value>0)
+select ticker, entry_ts, exit_ts, round(entry_price,4) as entry_price, round(exit_price,4) as exit_price, round(peak_price,4) as peak_price, reason from (
+ with recursive st as (
+  select ticker, j, price as entry, price as peak, ts as opened, cast(null as timestamp) as entry_ts, cast(null as timestamp) as exit_ts, cast(null as double) as entry_price, cast(null as double) as exit_price, cast(null as double) as peak_price, cast(null as varchar) as reason from q where j=1
+  union all
+  select ticker, j, case when entry is null then price when why is null then entry end, case when entry is null then price when why is null then pk end, case when entry is null then ts when why is null then opened end,
+   case when why is not null then opened end, case when why is not null then ts end, case when why is not null then entry end, case when why is not null then price end, case when why is not null then pk end, why
+  from (select *, case when entry is not null and epoch_us(ts)-epoch_us(opened)>=72*3600000000 then case when epoch_us(ts)-epoch_us(opened)>=1440*3600000000 then 'max_hold' when (price-entry)/entry>=0.12 then 'profit_target' when (price-entry)/entry<=-0.05 then 'stop_loss' end end as why
+   from (select q.ticker, q.j, q.ts, q.price, st.entry, st.opened, greatest(st.peak, q.price) as pk from st join q on q.ticker=st.ticker and q.j=st.j+1)))
+ select * from st) where reason is not null""", "")
 def _(t):
-    return io.drain(ST.position_exits(_ticks(t)), "exits")
-
-
-@query("stream_circuit_breaker", "ST6 UD5")
+    x = io.drain(ST.position_exits(_ticks(t)), "exits")
+    return x.select("ticker", "entry_ts", "exit_ts", *[F.round(c, 4).alias(c) for c in ("entry_price", "exit_price", "peak_price")], "reason")
+
+
+@query("stream_circuit_breaker", "ST6 UD5", """
+, q as (select user_id as series_id, ts, 100+value as value, row_number() over (partition by user_id order by ts, event_id) as j from events)
+select series_id, ts, value, decision from (with recursive st as (
+ select series_id, ts, j, value, value as peak, timestamp '1970-01-01' as until, 'ok' as decision from q where j=1
+ union all select series_id, ts, j, value, pk, case when ts<until then until when loss then ts + interval '24' hour when dd then ts + interval '720' hour else until end,
+  case when ts<until then 'halted' when loss then 'daily_loss' when dd then 'max_drawdown' else 'ok' end
+ from (select q.series_id, q.ts, q.j, q.value, greatest(st.peak,q.value) as pk, st.until, (q.value-st.value)/st.value<-0.10 as loss, (q.value-greatest(st.peak,q.value))/(greatest(st.peak,q.value)+1e-10)<-0.20 as dd
+  from st join q on q.series_id=st.series_id and q.j=st.j+1)) select * from st)""", "")
 def _(t):
     v = _ticks(t).select(F.col("ticker").alias("series_id"), "ts", (100 + F.col("price")).alias("value"))
     return io.drain(ST.circuit_breaker(v, 0.10, 0.20), "breaker")
@@ -75,7 +93,11 @@ def _(t):
     return io.drain(ST.factor_health(e), "health")
 
 
-@query("stream_live_ic", "ST8")
+@query("stream_live_ic", "ST8", """
+, sg as (select o_orderkey, o_custkey%10 as ticker, cast(o_orderdate as date) as sd, o_totalprice as score from orders where cast(o_orderdate as date)+21<=date '2001-11-04'),
+ f as (select s.o_orderkey, s.sd, s.score, round(b.close/a.close-1,6) as ret from sg s asof join bars a on a.ticker=s.ticker and a.d>=s.sd asof join bars b on b.ticker=s.ticker and b.d>=s.sd+21)
+select sd as signal_date, count(*) as n, round(case when count(*)>=5 then corr(rx,ry) end,4) as ic from (select *, rank() over (partition by sd order by score)+(count(*) over (partition by sd, score)-1)/2.0 as rx,
+ rank() over (partition by sd order by ret)+(count(*) over (partition by sd, ret)-1)/2.0 as ry from f) group by sd""", "bars")
 def _(t):
     from alphaloom.sources.storage import scratch_path
     bars = t.bars
@@ -87,7 +109,9 @@ def _(t):
     return t.spark.read.parquet(out).select("signal_date", "n", F.round("ic", 4).alias("ic"))
 
 
-@query("stream_staleness", "ST9 UD5")
+@query("stream_staleness", "ST9 UD5", """
+select user_id as ticker, date_trunc('millisecond', max(ts)) as last_ts, date_trunc('millisecond', max(ts)) + case when dayofweek(date_trunc('millisecond', max(ts)) + interval '12' hour)=1 then 24 else 12 end * interval '1' hour as alert_ts
+from events group by user_id having date_trunc('millisecond', max(ts)) + case when dayofweek(date_trunc('millisecond', max(ts)) + interval '12' hour)=1 then 24 else 12 end * interval '1' hour <= (select w from wm)""", "wm")
 def _(t):
     return io.drain(ST.staleness_alerts(_ticks(t), 12.0, 24.0), "stale")
 

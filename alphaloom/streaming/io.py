@@ -10,11 +10,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Parquet folder (or file) as a stream with the schema of its files."""
+    """Parquet folder or single file as a stream with the schema of its files.
+
+    The path is given as a pattern matching only itself: the file source takes
+    a plain path for a folder and would refuse a file.
+    """
     r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(path)
+    path = path.rstrip("/")
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
