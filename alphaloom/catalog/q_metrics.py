@@ -254,7 +254,7 @@ def _fwd(t):
 
 
 cte("icf", """
-select k, factor, corr(rx,ry) as ic from (select k, factor, rank() over (partition by k, factor order by z) + (count(*) over (partition by k, factor, z)-1)/2.0 as rx,
+select k, factor, round(corr(rx,ry),12) as ic from (select k, factor, rank() over (partition by k, factor order by z) + (count(*) over (partition by k, factor, z)-1)/2.0 as rx,
   rank() over (partition by k, factor order by fwd_return) + (count(*) over (partition by k, factor, fwd_return)-1)/2.0 as ry, z, fwd_return from zf join fwd using (k, ticker))
 group by k, factor having count(*)>=5 and stddev_pop(z)>=1e-10 and stddev_pop(fwd_return)>=1e-10""", "zf fwd")
 

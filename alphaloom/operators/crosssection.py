@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alphaloom import params as P
 from alphaloom.functions.expr import clip
-from alphaloom.operators.scale import grouped_percentiles, top_n
+from alphaloom.operators.scale import attach, grouped_percentiles, top_n
 from alphaloom.sources.storage import materialize
 
 SECTOR_NEUTRAL = ("momentum_12_1", "momentum", "quality", "roic", "growth")
@@ -26,13 +26,13 @@ def winsorize(df: DataFrame, keys: list[str], value: str = "value", lower: float
     cuts = grouped_percentiles(df, keys, value, {"__lo": lower, "__hi": upper})
     v = F.col(value)
     bounded = F.when(v < F.col("__lo"), F.col("__lo")).when(v > F.col("__hi"), F.col("__hi")).otherwise(v)
-    return df.join(cuts, keys, "left").withColumn(value, bounded).drop("__lo", "__hi")
+    return attach(df, cuts, keys, "left").withColumn(value, bounded).drop("__lo", "__hi")
 
 
 def zscore(df: DataFrame, keys: list[str], value: str = "value", out: str = "z", eps: float = 1e-6) -> DataFrame:
     """(x - mean) / (population deviation + eps) per group."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
+    return attach(df, stats, keys).withColumn(out, (F.col(value) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
 
 
 def sector_adjust(df: DataFrame, keys: list[str], value: str = "value", sector: str = "sector") -> DataFrame:
@@ -63,14 +63,14 @@ def raw_factors(panel: DataFrame, keys: list[str]) -> DataFrame:
         return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in have else F.lit(default)
 
     base = panel.withColumn("__mom", g("ret_3m"))
-    base = base.join(_medians(base, keys, "__mom", "__med"), keys)
+    base = attach(base, _medians(base, keys, "__mom", "__med"), keys)
     base = base.join(_medians(base, keys + ["sector"], "__mom", "__smed"), keys + ["sector"])
     if {"pe_ratio", "ps_ratio"} & have:
         pe = F.col("pe_ratio") if "pe_ratio" in have else F.lit(None).cast("double")
         ps = F.col("ps_ratio") if "ps_ratio" in have else F.lit(None).cast("double")
         zero = lambda x: F.coalesce(x, F.lit(0.0))
         base = base.withColumn("__val", F.when(pe.isNotNull() | ps.isNotNull(), -(0.5 * zero(pe) + 0.5 * zero(ps))))
-        base = base.join(_medians(base, keys, "__val", "__vmed"), keys, "left")
+        base = attach(base, _medians(base, keys, "__val", "__vmed"), keys, "left")
         value = F.coalesce("__val", "__vmed", F.lit(0.0))
     else:
         value = F.lit(0.0)
@@ -119,7 +119,7 @@ def normalize_features(panel: DataFrame, keys: list[str]) -> DataFrame:
                                {"lo": 0.025, "hi": 0.975})
     v = F.col("value")
     bounded = F.when(v < F.col("lo"), F.col("lo")).when(v > F.col("hi"), F.col("hi")).otherwise(v)
-    long = long.join(cuts, k, "left").select(*k, "ticker", bounded.alias("value"))
+    long = attach(long, cuts, k, "left").select(*k, "ticker", bounded.alias("value"))
     return zscore(long, k).select(*keys, "ticker", "factor", "z")
 
 

@@ -25,7 +25,7 @@ def wt():
 
 def daily_returns(bars: DataFrame) -> DataFrame:
     """bars + ret (simple return to the previous bar) + n (1-based bar number)."""
-    return bars.select("*", (F.col("close") / F.lag("close").over(wt()) - 1).alias("ret"),
+    return bars.select("*", (F.try_divide(F.col("close"), F.lag("close").over(wt())) - 1).alias("ret"),
                        F.row_number().over(wt()).alias("n"))
 
 
@@ -70,7 +70,8 @@ def price_features(bars: DataFrame, min_bars: int = 60) -> DataFrame:
         F.avg("illiq").over(_w(-19, 0)).alias("amihud"),
         safe_div(up, down + 1e-6).alias("volume_trend"),
         (safe_div(F.col("close"), ago(6)) - 1).alias("ret5"),
-        F.stddev_pop("r").over(_w(-24, -6)).alias("prior_sd"))
+        F.stddev_pop("r").over(_w(-24, -6)).alias("prior_sd"),
+        (F.col("close") * F.avg("volume").over(_w(-20, 0))).alias("adv"))
     vol = F.col("s30") * F.lit(ANN) * 100
     sig = F.col("s30") + 1e-10
     return raw.where(F.col("n") >= min_bars).select(
@@ -91,7 +92,7 @@ def price_features(bars: DataFrame, min_bars: int = 60) -> DataFrame:
         "volume_trend",
         (F.col("ret5") / (F.col("prior_sd") + 1e-6)).alias("earnings_surprise"),
         (vol / 15.0).alias("beta_proxy"),
-        F.col("ret_3m").alias("rel_strength"))
+        F.col("ret_3m").alias("rel_strength"), "adv")
 
 
 def price_only_flow(bars: DataFrame) -> DataFrame:
@@ -105,10 +106,10 @@ def live_tech(bars: DataFrame, min_bars: int = 30) -> DataFrame:
     """The live technical pack (sample deviations, strict look-back gates)."""
     b = daily_returns(bars)
     ago = lambda k: F.lag("close", k - 1).over(wt())
-    ret = lambda k: F.when(F.col("n") > k, (F.col("close") / ago(k) - 1) * 100).otherwise(0.0)
+    ret = lambda k: F.when(F.col("n") > k, (F.try_divide(F.col("close"), ago(k)) - 1) * 100).otherwise(0.0)
     x = b.select(
         "ticker", "d", "close", "n", ret(22).alias("ret_1m"), ret(63).alias("ret_3m"), ret(126).alias("ret_6m"),
-        F.when(F.col("n") >= 252, (ago(22) / ago(252) - 1) * 100)
+        F.when(F.col("n") >= 252, (F.try_divide(ago(22), ago(252)) - 1) * 100)
         .when(F.col("n") >= 100, (ago(22) / F.first("close").over(_w(W.unboundedPreceding, 0)) - 1) * 100)
         .otherwise(0.0).alias("ret_12m_skip1m"),
         F.when(F.col("n") >= 50, F.avg("close").over(_w(-49, 0))).otherwise(F.col("close")).alias("sma50"),
@@ -127,7 +128,7 @@ def live_tech(bars: DataFrame, min_bars: int = 30) -> DataFrame:
 def pead_proxy(bars: DataFrame) -> DataFrame:
     """Post-announcement drift proxy with volume confirmation (>= 25 bars)."""
     b = daily_returns(bars).select(
-        "ticker", "d", "n", (F.col("close") / F.lag("close", 5).over(wt()) - 1).alias("r5"),
+        "ticker", "d", "n", (F.try_divide(F.col("close"), F.lag("close", 5).over(wt())) - 1).alias("r5"),
         F.stddev_samp("ret").over(_w(-25, -6)).alias("sd"),
         (F.col("volume") > 1.5 * F.avg("volume").over(_w(-19, 0))).alias("confirm"))
     raw = F.col("r5") / (F.col("sd") + 1e-6)
@@ -161,9 +162,9 @@ def average_dollar_volume(bars: DataFrame, days: int = 21) -> DataFrame:
 
 def relative_strength(bars: DataFrame, market: DataFrame) -> DataFrame:
     """63-bar return of the ticker minus that of the market on the same date."""
-    own = bars.select("ticker", "d", ((F.col("close") / F.lag("close", 62).over(wt()) - 1) * 100).alias("own"))
+    own = bars.select("ticker", "d", ((F.try_divide(F.col("close"), F.lag("close", 62).over(wt())) - 1) * 100).alias("own"))
     mw = W.partitionBy("symbol").orderBy("d")
-    mkt = market.select("symbol", "d", ((F.col("close") / F.lag("close", 62).over(mw) - 1) * 100).alias("mkt")).drop("symbol")
+    mkt = market.select("symbol", "d", ((F.try_divide(F.col("close"), F.lag("close", 62).over(mw)) - 1) * 100).alias("mkt")).drop("symbol")
     return own.join(mkt, "d", "left").select(
         "ticker", "d", (F.coalesce("own", F.lit(0.0)) - F.coalesce("mkt", F.lit(0.0))).alias("rel_strength"))
 
@@ -172,7 +173,7 @@ def beta_60d(bars: DataFrame, market: DataFrame) -> DataFrame:
     """Beta over the last 60 common days; 1.0 with fewer than 20."""
     own = daily_returns(bars).where("ret is not null").select("ticker", "d", "ret")
     mw = W.partitionBy("symbol").orderBy("d")
-    mkt = market.select("d", (F.col("close") / F.lag("close").over(mw) - 1).alias("mkt")).where("mkt is not null")
+    mkt = market.select("d", (F.try_divide(F.col("close"), F.lag("close").over(mw)) - 1).alias("mkt")).where("mkt is not null")
     last = W.partitionBy("ticker").orderBy(F.desc("d"))
     j = own.join(mkt, "d").withColumn("k", F.row_number().over(last)).where("k <= 60")
     return j.groupBy("ticker").agg(

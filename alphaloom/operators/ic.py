@@ -20,13 +20,14 @@ def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFram
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 5) -> DataFrame:
     """Rank correlation with shared ranks per group; NULL for few names or a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = grouped_ranks(grouped_ranks(both, keys, x, "__rx"), keys, y, "__ry")
+    r = grouped_ranks(grouped_ranks(both, keys, x, "__rx"), keys, y, "__ry", "__n")
+    # tie-shared ranks always average (n + 1) / 2: centred sums are exact for moderate n
+    cx, cy = F.col("__rx") - (F.col("__n") + 1) / 2.0, F.col("__ry") - (F.col("__n") + 1) / 2.0
     g = r.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.covar_pop("__rx", "__ry").alias("__c"),
-        F.stddev_pop("__rx").alias("__sx"), F.stddev_pop("__ry").alias("__sy"),
+        F.count("*").alias("n"), F.sum(cx * cy).alias("__c"), F.sum(cx * cx).alias("__sx"), F.sum(cy * cy).alias("__sy"),
         F.stddev_pop(x).alias("__vx"), F.stddev_pop(y).alias("__vy"))
     ok = (F.col("n") >= min_n) & (F.col("__vx") >= 1e-10) & (F.col("__vy") >= 1e-10)
-    return g.select(*keys, "n", F.when(ok, F.try_divide(F.col("__c"), F.col("__sx") * F.col("__sy"))).alias("ic"))
+    return g.select(*keys, "n", F.when(ok, F.try_divide(F.col("__c"), F.sqrt("__sx") * F.sqrt("__sy"))).alias("ic"))
 
 
 def factor_ic(z: DataFrame, fwd: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def longest_run(df: DataFrame, id_col: str, order: str, flag: Column, out: str)
 def perf_metrics(curves: DataFrame, id_col: str = "series_id") -> DataFrame:
     """Return, risk and win statistics per curve of values; needs ten points."""
     w = _ws(id_col)
-    x = drawdowns(curves, id_col).withColumn("__r", F.col("value") / F.lag("value").over(w) - 1)
+    x = drawdowns(curves, id_col).withColumn("__r", F.try_divide(F.col("value"), F.lag("value").over(w)) - 1)
     brk = F.sum(F.when(F.col("drawdown") < 0, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     x = x.withColumn("__isl", brk)
     # position inside the current drawdown island; the longest is the duration
@@ -88,7 +88,7 @@ def benchmark_metrics(returns: DataFrame, bench: DataFrame, id_col: str = "serie
 def equal_weight_returns(bars: DataFrame) -> DataFrame:
     """Mean return of the universe per date (two-phase aggregate over dates)."""
     w = W.partitionBy("ticker").orderBy("d")
-    r = bars.select("d", (F.col("close") / F.lag("close").over(w) - 1).alias("r")).where("r is not null")
+    r = bars.select("d", (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("r")).where("r is not null")
     return r.groupBy("d").agg(F.avg("r").alias("ret"))
 
 

@@ -27,7 +27,8 @@ def window_returns(picks: DataFrame, bars: DataFrame, days: DataFrame, lookback:
     """
     keys = [c for c in picks.columns if c not in ("ticker", "idx")]
     w = W.partitionBy("ticker").orderBy("d")
-    b = (bars.join(days, "d").select("ticker", F.col("idx").alias("t"), (F.col("close") / F.lag("close").over(w) - 1).alias("x")))
+    bars = bars.join(picks.select("ticker").distinct(), "ticker", "left_semi")
+    b = (bars.join(F.broadcast(days), "d").select("ticker", F.col("idx").alias("t"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("x")))
     hist = picks.join(b, "ticker").where((F.col("t") >= F.col("idx") - lookback) & (F.col("t") < F.col("idx")))
     vec = hist.groupBy(*keys, "ticker", "idx").agg(
         F.min("t").alias("__f"), F.map_from_entries(F.collect_list(F.struct("t", F.coalesce("x", F.lit(0.0))))).alias("__m"))

@@ -20,15 +20,15 @@ def macro_signals(series: DataFrame) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("d")
     fr = lambda n: w.rowsBetween(-(n - 1), 0)
     s = series.select("symbol", "d", "close", F.row_number().over(w).alias("n"),
-                      (F.col("close") / F.lag("close").over(w) - 1).alias("ret"))
+                      (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"))
     s = s.select(
         "symbol", "d", "close", "n", F.lag("close", 4).over(w).alias("c5"), F.lag("close", 62).over(w).alias("c63"),
-        F.when(F.col("n") > 21, F.col("close") / F.lag("close", 21).over(w)).alias("g"),
+        F.when(F.col("n") > 21, F.try_divide(F.col("close"), F.lag("close", 21).over(w))).alias("g"),
         (F.stddev_samp("ret").over(fr(30)) * F.lit(ANN)).alias("v30"),
         (F.stddev_samp("ret").over(fr(90)) * F.lit(ANN)).alias("v90"))
     of = lambda sym, x: F.max(F.when(F.col("symbol") == sym, x))
     vix5 = F.when(F.col("n") >= 5, (F.col("close") - F.col("c5")) / (F.col("c5") + 1e-6) * 100)
-    spy3 = F.when(F.col("n") > 63, (F.col("close") / F.col("c63") - 1) * 100)
+    spy3 = F.when(F.col("n") > 63, (F.try_divide(F.col("close"), F.col("c63")) - 1) * 100)
     volr = F.when(F.col("n") > 63, F.col("v30") / (F.col("v90") + 1e-6))
     return s.groupBy("d").agg(
         F.coalesce(of("^VIX", F.col("close")), F.lit(20.0)).alias("vix"),
@@ -47,8 +47,8 @@ def regime_series(series: DataFrame, market: str = "SPY", fear: str = "^VIX") ->
           .where("spy is not null and vix is not null"))
     w = W.orderBy("d")
     r = px.select("d", "spy", "vix", F.row_number().over(w).alias("n"),
-                  (F.col("spy") / F.lag("spy").over(w) - 1).alias("ret"))
-    x = r.select("d", "vix", "n", ((F.col("spy") / F.lag("spy", 63).over(w) - 1) * 100).alias("spy_ret_3m"),
+                  (F.try_divide(F.col("spy"), F.lag("spy").over(w)) - 1).alias("ret"))
+    x = r.select("d", "vix", "n", ((F.try_divide(F.col("spy"), F.lag("spy", 63).over(w)) - 1) * 100).alias("spy_ret_3m"),
                  (F.stddev_samp("ret").over(w.rowsBetween(-29, 0)) * F.lit(ANN)).alias("v30"),
                  (F.stddev_samp("ret").over(w.rowsBetween(-89, 0)) * F.lit(ANN)).alias("v90"))
     x = x.where("n > 90").select("d", "vix", "spy_ret_3m", (F.col("v30") / (F.col("v90") + 1e-6)).alias("vol_regime"))

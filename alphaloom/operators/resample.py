@@ -101,7 +101,7 @@ def placebo_summary(trial_sharpes: DataFrame, model: DataFrame) -> DataFrame:
 def sharpe_sample(curves: DataFrame) -> DataFrame:
     """Annualised Sharpe with the sample deviation, per curve of values."""
     w = W.partitionBy("series_id").orderBy("d")
-    r = curves.select("series_id", (F.col("value") / F.lag("value").over(w) - 1).alias("r"))
+    r = curves.select("series_id", (F.try_divide(F.col("value"), F.lag("value").over(w)) - 1).alias("r"))
     g = r.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
     return g.select("series_id", F.when(F.col("n") < 10, 0.0).otherwise(F.col("m") / (F.col("s") + 1e-10) * ANN).alias("sharpe"))
 

@@ -19,20 +19,20 @@ ACCURACY = 10_000           # sketch accuracy: rank error <= n / ACCURACY < BRAC
 RANK_BUCKETS = 64
 
 
-def null_safe(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+# Keys whose combinations are bounded by the trading calendar and the fixed
+# factor list, whatever the number of tickers: one row each is safe to broadcast.
+CALENDAR_KEYS = frozenset({"k", "d", "reb_d", "factor", "p", "symbol"})
 
 
-def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join per-group statistics back to the rows.
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group statistics (one row per group) back to the rows.
 
-    No broadcast hint: the adaptive planner broadcasts the statistics when their
-    measured size allows it and splits skewed partitions otherwise.
+    Statistics keyed by calendar and factor are broadcast, so the rows are not
+    shuffled at all.  Any other key gets a plain join: the adaptive planner
+    broadcasts by measured size and splits skewed partitions otherwise.
     """
-    return df.join(stats, keys, how)
+    bounded = set(keys) <= CALENDAR_KEYS
+    return df.join(F.broadcast(stats) if bounded else stats, keys, how)
 
 
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
@@ -56,7 +56,7 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str
                  F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias("hi"),
                  ((F.col("__n") - 1) * F.lit(float(p))).alias("pos"))
         for i, p in enumerate(ps.values())])).alias("__t")).select(*keys, "__t.*")
-    joined = src.join(stats.select(*keys, F.array(*[
+    joined = attach(src, stats.select(*keys, F.array(*[
         F.struct(F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i]).alias("lo"),
                  F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias("hi"))
         for i in range(len(names))]).alias("__br")), keys)
@@ -94,7 +94,7 @@ def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
     cuts = vals.groupBy(*keys).agg(
         F.percentile_approx(value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 1000).alias("__q"),
         F.sum("__c").alias("__n"))
-    bucketed = vals.join(cuts, keys).select(
+    bucketed = attach(vals, cuts, keys).select(
         *keys, value, "__c", "__n",
         F.size(F.filter("__q", lambda q: q < F.col(value))).alias("__k"))
     per_bucket = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))

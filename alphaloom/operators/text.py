@@ -201,14 +201,19 @@ def answer_confidence(df: DataFrame, text: str = "text") -> DataFrame:
 def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     """Last exchanges per conversation, clipped to 300 and 500 characters.
 
-    A user turn is paired with the assistant turn that follows it.
+    A user turn is paired with the assistant turn that follows it.  The last user
+    turns are found first (pruned per task before the shuffle); only turns from
+    there on are ordered, so a conversation of any length costs a few rows.
     """
+    d = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    asked = turns.where("role = 'user'").select("conv_id", "turn").withColumn("__rn", F.row_number().over(d)).where(F.col("__rn") <= n)
+    cut = asked.groupBy("conv_id").agg(F.min("turn").alias("__cut"))
+    turns = turns.join(cut, "conv_id").where(F.col("turn") >= F.col("__cut")).drop("__cut")
     w = W.partitionBy("conv_id").orderBy("turn")
     x = turns.withColumn("answer", F.lead("text").over(w)).withColumn("__r", F.lead("role").over(w))
-    x = x.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(300)).alias("question"),
-                                        F.left(F.when(F.col("__r") == "assistant", F.col("answer")).otherwise(""), F.lit(500)).alias("answer"))
-    d = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return x.withColumn("__rn", F.row_number().over(d)).where(F.col("__rn") <= n).drop("__rn")
+    return x.where("role = 'user'").select(
+        "conv_id", "turn", F.left("text", F.lit(300)).alias("question"),
+        F.left(F.when(F.col("__r") == "assistant", F.col("answer")).otherwise(""), F.lit(500)).alias("answer"))
 
 
 def question_key(qtype: Column, entities: Column, date_from: Column) -> Column:

@@ -45,15 +45,16 @@ def probe_at_rebalance(rows: DataFrame, days: DataFrame, reb: DataFrame, step: i
     """
     start = max(warmup, step)
     w = W.partitionBy("ticker").orderBy("d")
-    at = rows.join(days, "d").withColumn("__next", F.lead("idx").over(w))
+    # calendar tables hold one row per date: broadcasting them is bounded
+    at = rows.join(F.broadcast(days), "d").withColumn("__next", F.lead("idx").over(w))
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") + 1 - start) / F.lit(step))).cast("int")
     last = F.floor((F.col("__next") - start) / F.lit(step)).cast("int")
     kmax = reb.agg(F.max("k").alias("__kmax"))
-    at = (at.withColumn("__one", F.lit(1)).join(kmax.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    at = (at.withColumn("__one", F.lit(1)).join(F.broadcast(kmax.withColumn("__one", F.lit(1))), "__one").drop("__one")
           .withColumn("__from", first)
           .withColumn("__to", F.least(F.coalesce(last, F.col("__kmax")), F.col("__kmax"))))
     hit = at.where("__from <= __to").withColumn("k", F.explode(F.sequence("__from", "__to")))
-    return hit.drop("__from", "__to", "__next", "__kmax", "idx").join(reb.select("k", "reb_d"), "k")
+    return hit.drop("__from", "__to", "__next", "__kmax", "idx").join(F.broadcast(reb.select("k", "reb_d")), "k")
 
 
 def blackout_calendar(dates: DataFrame, types=("fomc", "triple_witching", "index_rebalance", "opex")) -> DataFrame:

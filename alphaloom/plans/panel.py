@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from alphaloom.operators import asof as A
 from alphaloom.operators import crosssection as CS
 from alphaloom.operators import fundamentals as FU
-from alphaloom.operators.features import average_dollar_volume, price_features
+from alphaloom.operators.features import price_features
 from alphaloom.operators.regime import with_regime_asof
+from alphaloom.operators.scale import attach
 from alphaloom.operators.trading_calendar import probe_at_rebalance, rebalance_calendar, trading_days
 from alphaloom.params import Params
 from alphaloom.sources.storage import materialize
@@ -19,9 +20,7 @@ def pit_universe(bars: DataFrame, p: Params) -> DataFrame:
     """Tickers with enough history and dollar volume strictly before each rebalance."""
     days = trading_days(bars)
     reb = rebalance_calendar(days, p.rebalance_days)
-    adv = average_dollar_volume(bars)
-    rows = price_features(bars).join(adv, ["ticker", "d"])
-    at = probe_at_rebalance(rows, days, reb, p.rebalance_days)
+    at = probe_at_rebalance(price_features(bars), days, reb, p.rebalance_days)
     return at.where((F.col("n") >= p.min_history) & (F.col("adv") >= p.min_adv))
 
 
@@ -41,14 +40,14 @@ def research_panel(bars: DataFrame, sectors: DataFrame, regimes: DataFrame, p: P
     at = at.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn(
         "sector", F.coalesce("sector", F.lit("Unknown")))
     dates = at.select("reb_d").distinct()
-    at = at.join(with_regime_asof(dates, regimes, "reb_d"), "reb_d")
+    at = attach(at, with_regime_asof(dates, regimes, "reb_d"), ["reb_d"])
     return materialize(at, "panel")
 
 
 def zscored_panel(panel: DataFrame, min_universe: int = 5) -> DataFrame:
     """Long z-scores with the panel attributes the scores need; materialised."""
     enough = panel.groupBy("k").agg(F.count("*").alias("universe")).where(F.col("universe") >= min_universe)
-    panel = panel.join(enough, "k")
+    panel = attach(panel, enough, ["k"])
     z = CS.normalize_features(panel, ["k"])
     attrs = panel.select("k", "ticker", "reb_d", "regime", "vol", "adv", "sector", "universe")
     return materialize(z.join(attrs, ["k", "ticker"]), "zscores")

@@ -34,10 +34,11 @@ class Tables:
     @cached_property
     def bars_brand(self) -> DataFrame:
         part = self.raw("part").select("p_partkey", "p_brand")
-        return (self.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        # sums per part and day first: a part of any size shrinks to one row a day
+        daily = self.lineitem.groupBy("l_partkey", "d").agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("qty"))
+        return (daily.join(part, F.col("l_partkey") == F.col("p_partkey"))
                 .groupBy(F.col("p_brand").alias("ticker"), "d")
-                .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-                     F.sum("l_quantity").alias("volume")))
+                .agg((F.sum("amount") / F.sum("qty")).alias("close"), F.sum("qty").alias("volume")))
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -120,9 +121,10 @@ class Tables:
     @cached_property
     def holders(self) -> DataFrame:
         o = self.raw("orders").select("o_orderkey", "o_custkey")
-        return (self.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        per_order = self.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+        return (per_order.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                 .groupBy(F.col("l_suppkey").alias("ticker"), F.col("o_custkey").alias("holder"))
-                .agg(F.sum("l_quantity").alias("shares")))
+                .agg(F.sum("q").alias("shares")))
 
     @cached_property
     def news(self) -> DataFrame:
@@ -154,7 +156,7 @@ class Tables:
     @cached_property
     def curves(self) -> DataFrame:
         w = W.partitionBy("ticker").orderBy("d")
-        r = F.col("close") / F.lag("close").over(w) - 1
+        r = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
         return (self.bars.select(F.col("ticker").alias("series_id"), "d", r.alias("r")).where("r is not null")
                 .select("series_id", "d",
                         F.greatest(F.lit(-0.02), F.least(F.lit(0.02), F.col("r") / 50.0)).alias("ret")))
@@ -163,7 +165,7 @@ class Tables:
     def calm(self) -> DataFrame:
         """Bars on a damped price path: 100 compounded by the clipped returns."""
         w = W.partitionBy("ticker").orderBy("d")
-        r = self.bars.select("*", (F.col("close") / F.lag("close").over(w) - 1).alias("r"))
+        r = self.bars.select("*", (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("r"))
         # greatest/least skip NULLs, so the first bar is handled apart
         step = F.log(1 + F.greatest(F.lit(-0.02), F.least(F.lit(0.02), F.col("r") / 50.0)))
         path = F.sum(F.when(F.col("r").isNull(), 0.0).otherwise(step)).over(w.rowsBetween(W.unboundedPreceding, 0))
