@@ -73,7 +73,7 @@ def _(t):
 @query("swing_signal", "P15", "select k, ticker, round(score,4) as score from score_swing", "score_swing")
 def _(t):
     z, _s = S.scored(t)
-    return CS.swing_scores(z, ["k"]).select("k", "ticker", F.round("score", 4).alias("score"))
+    return CS.swing_scores(z, S.panel(t), ["k"]).select("k", "ticker", F.round("score", 4).alias("score"))
 
 
 @query("top_picks", "K1", "select k, ticker, rn, round(cs_score,4) as cs_score from top_long", "top_long")

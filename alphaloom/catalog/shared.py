@@ -38,7 +38,8 @@ def panel(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables, kind: str = "longterm"):
-    """(z-scores, scores) of the shared panel."""
+    """(z-scores with regime, scores) of the shared panel."""
     from alphaloom.sources.storage import materialize
-    z = memo(t, "z", lambda: PN.zscored_panel(panel(t)))
-    return z, memo(t, f"scores_{kind}", lambda: materialize(PN.scores(z, kind), "scores"))
+    p = panel(t)
+    z = memo(t, "z", lambda: PN.zscored_panel(p))
+    return PN.with_regime(z, p), memo(t, f"scores_{kind}", lambda: materialize(PN.scores(z, p, kind), "scores"))

@@ -145,13 +145,13 @@ def score_components(z: DataFrame, keys: list[str], table: dict[str, tuple],
     return j.select(*keys, "ticker", "factor", (weight * clip(F.coalesce("z", F.lit(0.0)), -3, 3)).alias("contribution"))
 
 
-def build_scores(z: DataFrame, keys: list[str], table: dict[str, tuple], adjust: dict[str, float],
-                 crisis: dict[str, float], vol_coef: float, vol_col: str = "vol",
-                 scales: DataFrame | None = None) -> DataFrame:
+def build_scores(z: DataFrame, vol: DataFrame, keys: list[str], table: dict[str, tuple], adjust: dict[str, float],
+                 crisis: dict[str, float], vol_coef: float, scales: DataFrame | None = None) -> DataFrame:
     """Composite score (keys, ticker, score) in one pass over the long z-scores.
 
-    ``z`` carries regime and the raw volatility column per row.  The weights are
-    one CASE ladder per regime: no join, no wide pivot.
+    ``z`` carries the regime; ``vol`` = (keys, ticker, vol) is joined only to the
+    aggregated rows.  The weights are one CASE ladder per regime: no join, no
+    wide pivot.
     """
     names = sorted(set(table) | set(adjust) | set(crisis))
 
@@ -173,16 +173,18 @@ def build_scores(z: DataFrame, keys: list[str], table: dict[str, tuple], adjust:
     ladder = reduce(lambda acc, f: acc.when(F.col("factor") == f, coef(f)), names[1:],
                     F.when(F.col("factor") == names[0], coef(names[0]))).otherwise(0.0)
     contrib = ladder * clip(F.coalesce("z", F.lit(0.0)), -3, 3)
-    vol = F.when(F.coalesce(F.max(vol_col), F.lit(0.0)) == 0, 20.0).otherwise(F.max(vol_col))
-    return src.groupBy(*keys, "ticker").agg((F.sum(contrib) + vol_coef * vol).alias("score"))
+    total = src.groupBy(*keys, "ticker").agg(F.sum(contrib).alias("__s"))
+    v = F.when(F.coalesce(F.col("vol"), F.lit(0.0)) == 0, 20.0).otherwise(F.col("vol"))
+    return total.join(vol.select(*keys, "ticker", "vol"), keys + ["ticker"], "left").select(
+        *keys, "ticker", (F.col("__s") + vol_coef * v).alias("score"))
 
 
-def long_term_scores(z: DataFrame, keys: list[str], scales: DataFrame | None = None) -> DataFrame:
-    return build_scores(z, keys, P.LONG_TERM_WEIGHTS, P.LONG_TERM_ADJUST, P.LONG_TERM_CRISIS, P.LONG_TERM_VOL, scales=scales)
+def long_term_scores(z: DataFrame, vol: DataFrame, keys: list[str], scales: DataFrame | None = None) -> DataFrame:
+    return build_scores(z, vol, keys, P.LONG_TERM_WEIGHTS, P.LONG_TERM_ADJUST, P.LONG_TERM_CRISIS, P.LONG_TERM_VOL, scales=scales)
 
 
-def swing_scores(z: DataFrame, keys: list[str], scales: DataFrame | None = None) -> DataFrame:
-    return build_scores(z, keys, P.SWING_WEIGHTS, P.SWING_ADJUST, P.SWING_CRISIS, P.SWING_VOL, scales=scales)
+def swing_scores(z: DataFrame, vol: DataFrame, keys: list[str], scales: DataFrame | None = None) -> DataFrame:
+    return build_scores(z, vol, keys, P.SWING_WEIGHTS, P.SWING_ADJUST, P.SWING_CRISIS, P.SWING_VOL, scales=scales)
 
 
 def select_top(scores: DataFrame, keys: list[str], n: int, key: str = "score") -> DataFrame:

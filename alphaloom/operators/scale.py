@@ -24,85 +24,79 @@ RANK_BUCKETS = 64
 CALENDAR_KEYS = frozenset({"k", "d", "reb_d", "factor", "p", "symbol"})
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group statistics (one row per group) back to the rows.
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", extra: list[str] | None = None) -> DataFrame:
+    """Join per-group statistics (one row per group, or few with ``extra``) back to the rows.
 
     Statistics keyed by calendar and factor are broadcast, so the rows are not
     shuffled at all.  Any other key gets a plain join: the adaptive planner
     broadcasts by measured size and splits skewed partitions otherwise.
     """
     bounded = set(keys) <= CALENDAR_KEYS
-    return df.join(F.broadcast(stats) if bounded else stats, keys, how)
+    return df.join(F.broadcast(stats) if bounded else stats, keys + (extra or []), how)
+
+
+def _sketched(src: DataFrame, keys: list[str], value: str, probes: list[float], accuracy: int) -> DataFrame:
+    """Row count per group, and sketched quantiles ``__q`` for large groups only."""
+    counts = src.groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = counts.where(F.col("__n") > EXACT_GROUP_ROWS).select(*keys)
+    sketch = attach(src, large, keys).groupBy(*keys).agg(F.percentile_approx(value, probes, accuracy).alias("__q"))
+    return attach(counts, sketch, keys, "left")
 
 
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per group: ``keys + list(ps)``.
 
-    1. one two-phase aggregate gives the count and sketch brackets around each p;
-    2. values below each bracket are only counted; values inside it are grouped
-       to distinct values with counts, so ties shrink before the shuffle;
-    3. the two order statistics around each p are read off the bracket.
+    Groups of up to EXACT_GROUP_ROWS rows are reduced to distinct values with
+    counts and read off in order.  For a larger group a sketch brackets each p:
+    values below the bracket are only counted, and the two order statistics
+    around p are read off the few values inside it.
     """
     names = list(ps)
     src = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
     probes = [min(1.0, max(0.0, p + s * BRACKET)) for p in ps.values() for s in (-1, 1)]
-    stats = src.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", probes, ACCURACY).alias("__b"))
-    small = F.col("__n") <= EXACT_GROUP_ROWS
-    targets = stats.select(*keys, "__n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("p"),
-                 F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i]).alias("lo"),
-                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias("hi"),
-                 ((F.col("__n") - 1) * F.lit(float(p))).alias("pos"))
-        for i, p in enumerate(ps.values())])).alias("__t")).select(*keys, "__t.*")
-    joined = attach(src, stats.select(*keys, F.array(*[
-        F.struct(F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i]).alias("lo"),
-                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias("hi"))
-        for i in range(len(names))]).alias("__br")), keys)
-    slot = F.explode(F.filter(
-        F.transform("__br", lambda b, i: F.struct(
-            i.alias("p"),
-            F.when(F.col("__v") < b["lo"], F.lit(None).cast("double"))
-            .when(F.col("__v") <= b["hi"], F.col("__v")).otherwise(F.lit(float("nan"))).alias("v"))),
-        lambda s: ~F.coalesce(F.isnan(s["v"]), F.lit(False))))
-    # v NULL = below the bracket (count only); v value = inside the bracket
-    hist = (joined.select(*keys, slot.alias("__s")).select(*keys, "__s.*")
-            .groupBy(*keys, "p", "v").agg(F.count("*").alias("cnt")))
+    stats = _sketched(src, keys, "__v", probes, ACCURACY)
+    whole = F.col("__q").isNull()
+    brackets = F.array(*[F.struct(F.col("__q")[2 * i].alias("lo"), F.col("__q")[2 * i + 1].alias("hi")) for i in range(len(names))])
+    # slot i of a large group: NULL = below bracket i (count only), value = inside it
+    slots = F.filter(
+        F.transform(brackets, lambda b, i: F.struct(
+            i.alias("p"), F.when(F.col("__v") >= b["lo"], F.col("__v")).alias("v"), (F.col("__v") <= b["hi"]).alias("keep"))),
+        lambda s: s["keep"])
+    one = F.array(F.struct(F.lit(0).alias("p"), F.col("__v").alias("v"), F.lit(True).alias("keep")))
+    tagged = attach(src, stats, keys).select(*keys, F.explode(F.when(whole, one).otherwise(slots)).alias("__s"))
+    hist = tagged.groupBy(*keys, F.col("__s.p").alias("p"), F.col("__s.v").alias("v")).agg(F.count("*").alias("cnt"))
     # NULL sorts first, so the running count starts with everything below
     w = W.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v"))
-    ranked = hist.select("*", F.sum("cnt").over(w).alias("upto")).join(targets, keys + ["p"])
-    lo_i, hi_i = F.floor("pos"), F.ceil("pos")
-    first = F.col("upto") - F.col("cnt")
-    hit = lambda idx: F.max(F.when((first <= idx) & (idx < F.col("upto")), F.col("v")))
-    picked = ranked.groupBy(*keys, "p").agg(
-        hit(lo_i).alias("a"), hit(hi_i).alias("b"), F.max(F.col("pos") - lo_i).alias("f"))
-    val = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("p") == i, val)).alias(n) for i, n in enumerate(names)])
+    ranked = attach(hist.withColumn("__upto", F.sum("cnt").over(w)), stats, keys)
+    before = F.col("__upto") - F.col("cnt")
+    out = []
+    for i, (n, p) in enumerate(ps.items()):
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        here = whole | (F.col("p") == i)
+        at = lambda k: F.max(F.when(here & (before <= k) & (k < F.col("__upto")), F.col("v")))  # noqa: B023, E731
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(n))
+    return ranked.groupBy(*keys).agg(*out)
 
 
 def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
                   count_out: str | None = None) -> DataFrame:
     """Append the average (tie-shared) ascending rank of ``value`` in its group.
 
-    Distinct values with counts are ranked inside value buckets cut at sketched
-    quantiles, then shifted by the number of rows in lower buckets, so no task
-    ever sorts more than about 1/64 of a group.
+    Distinct values with counts are ranked inside value buckets, then shifted by
+    the number of rows in lower buckets.  A large group is cut at sketched
+    quantiles, so no task ever sorts more than about 1/64 of it.
     """
     vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    cuts = vals.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 1000).alias("__q"),
-        F.sum("__c").alias("__n"))
-    bucketed = attach(vals, cuts, keys).select(
-        *keys, value, "__c", "__n",
-        F.size(F.filter("__q", lambda q: q < F.col(value))).alias("__k"))
-    per_bucket = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))
-    offsets = per_bucket.select(*keys, "__k", (
-        F.sum("__bc").over(W.partitionBy(*keys).orderBy("__k")) - F.col("__bc")).alias("__off"))
+    cuts = _sketched(vals, keys, value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 1000).drop("__n")
+    bucket = F.when(F.col("__q").isNull(), 0).otherwise(F.size(F.filter("__q", lambda q: q < F.col(value))))
+    bucketed = attach(vals, cuts, keys).select(*keys, value, "__c", bucket.alias("__k"))
     inside = W.partitionBy(*keys, "__k").orderBy(value)
-    ranks = (bucketed.select("*", (F.sum("__c").over(inside) - F.col("__c")).alias("__before"))
-             .join(offsets, keys + ["__k"])
+    per_bucket = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))
+    offsets = per_bucket.select(
+        *keys, "__k", (F.sum("__bc").over(W.partitionBy(*keys).orderBy("__k")) - F.col("__bc")).alias("__off"),
+        F.sum("__bc").over(W.partitionBy(*keys)).alias("__n"))
+    ranks = (attach(bucketed.withColumn("__before", F.sum("__c").over(inside) - F.col("__c")), offsets, keys, extra=["__k"])
              .select(*keys, value,
                      (F.col("__off") + F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out),
                      *([F.col("__n").alias(count_out)] if count_out else [])))

@@ -16,10 +16,15 @@ from alphaloom.params import Params
 from alphaloom.sources.storage import materialize
 
 
-def pit_universe(bars: DataFrame, p: Params) -> DataFrame:
+def calendar(bars: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(trading days, rebalance dates), written once: tiny and used everywhere."""
+    days = materialize(trading_days(bars).coalesce(1), "days")
+    return days, rebalance_calendar(days, p.rebalance_days)
+
+
+def pit_universe(bars: DataFrame, p: Params, cal: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Tickers with enough history and dollar volume strictly before each rebalance."""
-    days = trading_days(bars)
-    reb = rebalance_calendar(days, p.rebalance_days)
+    days, reb = cal or calendar(bars, p)
     at = probe_at_rebalance(price_features(bars), days, reb, p.rebalance_days)
     return at.where((F.col("n") >= p.min_history) & (F.col("adv") >= p.min_adv))
 
@@ -30,7 +35,8 @@ def research_panel(bars: DataFrame, sectors: DataFrame, regimes: DataFrame, p: P
 
     Materialised: several statistics are taken over it.
     """
-    at = pit_universe(bars, p).withColumnRenamed("d", "bar_d")
+    cal = calendar(bars, p)
+    at = pit_universe(bars, p, cal).withColumnRenamed("d", "bar_d")
     if members is not None:
         at = A.members_at(at, members, "reb_d")
     if fundamentals is not None:
@@ -39,23 +45,22 @@ def research_panel(bars: DataFrame, sectors: DataFrame, regimes: DataFrame, p: P
         at = FU.piotroski(FU.growth(at)).withColumn("accruals", FU.accruals())
     at = at.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn(
         "sector", F.coalesce("sector", F.lit("Unknown")))
-    dates = at.select("reb_d").distinct()
-    at = attach(at, with_regime_asof(dates, regimes, "reb_d"), ["reb_d"])
+    at = attach(at, with_regime_asof(cal[1].select("reb_d"), regimes, "reb_d"), ["reb_d"])
     return materialize(at, "panel")
 
 
 def zscored_panel(panel: DataFrame, min_universe: int = 5) -> DataFrame:
-    """Long z-scores with the panel attributes the scores need; materialised."""
+    """Long z-scores (k, ticker, factor, z) of large enough universes; materialised."""
     enough = panel.groupBy("k").agg(F.count("*").alias("universe")).where(F.col("universe") >= min_universe)
-    panel = attach(panel, enough, ["k"])
-    z = CS.normalize_features(panel, ["k"])
-    attrs = panel.select("k", "ticker", "reb_d", "regime", "vol", "adv", "sector", "universe")
-    return materialize(z.join(attrs, ["k", "ticker"]), "zscores")
+    return materialize(CS.normalize_features(attach(panel, enough.select("k"), ["k"]), ["k"]), "zscores")
+
+
+def with_regime(z: DataFrame, panel: DataFrame) -> DataFrame:
+    return attach(z, panel.groupBy("k").agg(F.first("regime").alias("regime")), ["k"])
 
 
-def scores(z: DataFrame, kind: str = "longterm") -> DataFrame:
+def scores(z: DataFrame, panel: DataFrame, kind: str = "longterm") -> DataFrame:
     """Composite score and its cross-sectional z per (k, ticker)."""
     score = CS.long_term_scores if kind == "longterm" else CS.swing_scores
-    s = CS.zscore(score(z, ["k"]), ["k"], "score", "cs_score", eps=1e-9)
-    attrs = z.groupBy("k", "ticker").agg(*[F.first(c).alias(c) for c in ("reb_d", "regime", "vol", "adv", "sector", "universe")])
-    return s.join(attrs, ["k", "ticker"])
+    s = CS.zscore(score(with_regime(z, panel), panel, ["k"]), ["k"], "score", "cs_score", eps=1e-9)
+    return s.join(panel.select("k", "ticker", "reb_d", "regime", "vol", "adv", "sector"), ["k", "ticker"])
