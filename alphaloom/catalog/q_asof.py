@@ -125,11 +125,11 @@ select ticker, d, type, price_multiplier, src from (select *, row_number() over
  select *, 0 as src from corporate_actions where type='split' union all
  select ticker, d, type, ratio, price_multiplier, 1 from (select *, row_number() over (partition by ticker order by d desc) as q from corporate_actions where type='dividend') where q<=20
  union all select *, 2 from corporate_actions where type in ('spinoff','merger')
- union all select ticker, d, type, ratio, price_multiplier*1.5, 3 from corporate_actions where ticker%3=0)) where rn=1""", "corporate_actions")
+ union all select ticker, d + 1, type, ratio, price_multiplier*1.5, 3 from corporate_actions)) where rn=1""", "corporate_actions")
 def _(t):
     from alphaloom.sources.readers import load_corporate_actions
     ca = t.corporate_actions
-    manual = ca.where("ticker % 3 = 0").withColumn("price_multiplier", F.col("price_multiplier") * 1.5)
+    manual = ca.withColumn("d", F.date_add("d", 1)).withColumn("price_multiplier", F.col("price_multiplier") * 1.5)
     return load_corporate_actions(ca.where("type = 'split'"), ca.where("type = 'dividend'"),
                                   ca.where("type in ('spinoff','merger')"), manual).select("ticker", "d", "type", "price_multiplier", "src")
 
@@ -143,10 +143,10 @@ def _(t):
 
 @query("source_fallback", "J23", """
 select ticker, report_date, src from (select *, row_number() over (partition by ticker, report_date order by src) as rn from (
- select ticker, report_date, 0 as src from fundamentals where ticker%2=0 union all select ticker, report_date, 1 from fundamentals)) where rn=1""", "fundamentals")
+ select ticker, report_date, 0 as src from fundamentals where month(report_date)=12 union all select ticker, report_date, 1 from fundamentals)) where rn=1""", "fundamentals")
 def _(t):
     f = t.fundamentals.select("ticker", "report_date")
-    return A.prefer_first_source([f.where("ticker % 2 = 0").withColumn("src", F.lit(0)), f.withColumn("src", F.lit(1))],
+    return A.prefer_first_source([f.where("month(report_date) = 12").withColumn("src", F.lit(0)), f.withColumn("src", F.lit(1))],
                                  ["ticker", "report_date"])
 
 

@@ -70,12 +70,12 @@ def _(t):
 
 
 @query("position_sync", "J18 U5", """
-select k, ticker, case when nw>0 then 'open' else 'close' end as action, case when nw>0 then 'new_target' else 'rebalance_removed' end as reason from chg where (ow>0 and nw=0 and ticker%3<>0) or (ow=0 and nw>0)
-union all select k, ticker, 'close', 'stop_loss' from chg where ow>0 and ticker%3=0""", "chg")
+select k, ticker, case when nw>0 then 'open' else 'close' end as action, case when nw>0 then 'new_target' else 'rebalance_removed' end as reason from chg where (ow>0 and nw=0 and ow<=0.1) or (ow=0 and nw>0)
+union all select k, ticker, 'close', 'stop_loss' from chg where ow>0.1""", "chg")
 def _(t):
     c = _chg(t)
     op = c.where("old_weight > 0").select("k", "ticker")
-    ex = op.where("ticker % 3 = 0").withColumn("reason", F.lit("stop_loss"))
+    ex = c.where("old_weight > 0.1").select("k", "ticker", F.lit("stop_loss").alias("reason"))
     return EX.sync_positions(op, c.where("new_weight > 0").select("k", "ticker"), ex, ["k"])
 
 
@@ -322,14 +322,14 @@ def _(t):
 
 # ---- quality ----
 cte("qr", """
-select ticker, n, list_filter([case when n<400 then 'insufficient_history' end, case when missing>0.05 then 'too_many_nans' end, case when low<=0 then 'zero_or_negative_price' end, case when last<60 then 'penny_stock' end, case when mj>0.0201 then 'price_spike' end, case when n>=20 and adv<6000 then 'low_adv' end], lambda x: x is not null) as reasons from (
+select ticker, n, list_filter([case when n<525 then 'insufficient_history' end, case when missing>0.05 then 'too_many_nans' end, case when low<=0 then 'zero_or_negative_price' end, case when last<60 then 'penny_stock' end, case when mj>0.0201 then 'price_spike' end, case when n>=20 and adv<6000 then 'low_adv' end], lambda x: x is not null) as reasons from (
  select ticker, count(*) as n, 0.0 as missing, min(close) as low, arg_max(close,d) as last, max(j) as mj, avg(case when rn<=20 then close*volume end) as adv from (
-  select *, abs((close-lag(close) over (partition by ticker order by d))/(lag(close) over (partition by ticker order by d)+1e-10)) as j, row_number() over (partition by ticker order by d desc) as rn from calm where ticker%4<>1 or d<date '1996-06-01') group by ticker)""", "calm")
+  select *, abs((close-lag(close) over (partition by ticker order by d))/(lag(close) over (partition by ticker order by d)+1e-10)) as j, row_number() over (partition by ticker order by d desc) as rn from calm) group by ticker)""", "calm")
 
 
 def _qr(t):
-    b = t.calm.where("ticker % 4 <> 1 or d < date '1996-06-01'")
-    return b, Q.quality_report(b, min_bars=400, min_price=60.0, spike=0.0201, min_adv=6000.0)
+    b = t.calm
+    return b, Q.quality_report(b, min_bars=525, min_price=60.0, spike=0.0201, min_adv=6000.0)
 
 
 @query("quality_report", "P1", "select ticker, n, array_to_string(reasons, ',') as reasons, len(reasons)=0 as passed from qr", "qr")
@@ -337,7 +337,7 @@ def _(t):
     return _qr(t)[1].select("ticker", "n", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
-@query("quality_passed_bars", "P1", "select c.ticker, count(*) as n from calm c join qr on qr.ticker=c.ticker and len(qr.reasons)=0 where c.ticker%4<>1 or c.d<date '1996-06-01' group by c.ticker", "qr calm")
+@query("quality_passed_bars", "P1", "select c.ticker, count(*) as n from calm c join qr on qr.ticker=c.ticker and len(qr.reasons)=0 group by c.ticker", "qr calm")
 def _(t):
     b, rep = _qr(t)
     return Q.apply_quality_gates(b, rep).groupBy("ticker").agg(F.count("*").alias("n"))
@@ -377,7 +377,12 @@ def _(t):
     return TC.blackout_calendar(days).select("d", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("upcoming_blackouts", "P6")
+@query("upcoming_blackouts", "P6", """
+, x as (select distinct cast(o_orderdate as date) + 9862 as anchor from orders), s as (select anchor, anchor + cast(unnest(range(10)) as int) as d from x),
+ y as (select *, cast(m as date) + cast((12-dayofweek(m))%7 as int) + 14 as tf, cast(m as date) + 27 - cast((dayofweek(cast(m as date)+27)+2)%7 as int) as lf from (select *, date_trunc('month',d) as m from s)),
+ f as (select anchor, d, strftime(d,'%Y-%m-%d') in ('2024-01-31','2024-03-20','2024-05-01','2024-06-12','2024-07-31','2024-09-18','2024-11-07','2024-12-18','2025-01-29','2025-03-19','2025-05-07','2025-06-18','2025-07-30','2025-09-17','2025-11-05','2025-12-17') as a,
+  year(d) between 2022 and 2026 and month(d)%3=0 and d=tf as b, year(d) between 2022 and 2026 and month(d)%3=0 and d=lf as c from y)
+select anchor, d, array_to_string(list_filter([case when a then 'fomc_meeting' end, case when b then 'triple_witching' end, case when c then 'index_rebalance' end], lambda v: v is not null),',') as reasons, least(case when a then 0.5 else 1 end, case when b then 0.7 else 1 end, case when c then 0.75 else 1 end) as scale from f where a or b or c""", "")
 def _(t):
     days = t.raw("orders").select(F.date_add(F.col("o_orderdate").cast("date"), 9862).alias("d")).distinct()
     return TC.upcoming_blackouts(days).select("anchor", "d", F.array_join("reasons", ",").alias("reasons"), F.round("scale", 2).alias("scale"))

@@ -148,10 +148,10 @@ def _(t):
 
 @query("nav_log", "A31", """
 select p.series_id, p.d, round(sum(p.shares*coalesce(c.close,0)),4) as value from (select ticker%5 as series_id, ticker, d, volume as shares from bars) p
-left join (select * from calm where ticker%7<>0) c on c.ticker=p.ticker and c.d=p.d group by p.series_id, p.d""", "bars calm")
+left join calm c on c.ticker=p.ticker and c.d=p.d group by p.series_id, p.d""", "bars calm")
 def _(t):
     pos = t.bars.select((F.col("ticker") % 5).alias("series_id"), "ticker", "d", F.col("volume").alias("shares"))
-    return M.nav_log(pos, t.calm.where("ticker % 7 <> 0")).select("series_id", "d", *r(["value"]))
+    return M.nav_log(pos, t.calm).select("series_id", "d", *r(["value"]))
 
 
 @query("capacity_curve", "A36 J21", f"""

@@ -358,14 +358,30 @@ def _(t):
     return M.turnover_summary(_backtest(t).audit.where("strategy = 'longterm'")).select("n_rebalances", *r(["avg_raw_turnover", "avg_filtered_turnover", "avg_cost_bps"]))
 
 
-@query("walk_forward_equity", "C14 W-E1")
+_DAILY = """,
+hd as (select k, max(value) as value, max(cost) as cost from path group by k), hp as (select *, coalesce(lag(value) over (order by k),1)*(1-cost) as v0 from hd),
+dd0 as (select k, t, idx, v0 from (select h.k, h.v0, r.idx, unnest(range(r.idx, r.idx+21)) as t from hp h join reb r using (k))),
+dret as (select p.k, c.t, sum(p.w*c.x) as r from path p join reb b using (k) join calmret c on c.ticker=p.ticker and c.t>=b.idx and c.t<b.idx+21 and c.x is not null group by p.k, c.t),
+deq as (select cal.d, a.t, a.v0*exp(sum(ln(1+coalesce(r,0))) over (partition by a.k order by a.t)) as value from dd0 a left join dret using (k, t) join cal on cal.idx=a.t)"""
+
+
+@query("walk_forward_equity", "C14 W-E1", _PATH + _DAILY + " select d, round(value,6) as value from deq", PATH_CTES + " cal")
+def _(t):
+    return _backtest(t).equity.where("series_id = 'longterm'").select("d", *r(["value"]))
+
+
+@query("walk_forward_performance", "C14 A1", _PATH + _DAILY + """
+select count(*) as n, round(avg(r)/(stddev_pop(r)+1e-10)*sqrt(252),4) as sharpe, round(avg(r)/(coalesce(stddev_samp(case when r<0 then r end),0)+1e-10)*sqrt(252),4) as sortino, round(min(dd),6) as max_drawdown, round(arg_max(value,d)/arg_min(value,d)-1,6) as total_return
+from (select d, value, value/lag(value) over (order by d)-1 as r, (value-max(value) over (order by d))/(max(value) over (order by d)+1e-10) as dd from deq)""", PATH_CTES + " cal")
 def _(t):
-    return _backtest(t).equity.select("series_id", "d", *r(["value"]))
+    x = M.perf_metrics(_backtest(t).equity.where("series_id = 'longterm'"))
+    return x.select("n", *r(["sharpe", "sortino"], 4), *r(["max_drawdown", "total_return"]))
 
 
-@query("walk_forward_performance", "C14 A1")
+@query("walk_forward_swing", "C14 A1 P15")
 def _(t):
-    return M.perf_metrics(_backtest(t).equity).select("series_id", "n", *r(["sharpe", "sortino", "calmar", "max_drawdown", "total_return", "cagr"], 4))
+    x = M.perf_metrics(_backtest(t).equity.where("series_id = 'swing'"))
+    return x.select("n", *r(["sharpe", "sortino"], 4), *r(["max_drawdown", "total_return"]))
 
 
 @query("universe_benchmark_curve", "A3 C14", """
@@ -467,7 +483,7 @@ def _(t):
 
 def _period_sql(end):
     return f"""
-, dl as (select d, avg(ret) as ret, avg(case when series_id%2=0 then ret end) as bench from curves group by d),
+, dl as (select d, avg(ret) as ret, avg(0.8*ret+0.0001) as bench from curves group by d),
  p as (select {end} as period, exp(sum(ln(1+ret)))-1 as ret, exp(sum(ln(1+coalesce(bench,0))))-1 as bench, count(*) as n_days from dl group by 1),
  q as (select {end} as period, count(*) as n, sum(0.001*(k%3)) as c, sum(case when k%4=0 then 0.85 else 1 end) as s from (select k, reb_d as d from reb) group by 1)
 select period, n_days, round(ret,6) as ret, round(bench,6) as bench, round(ret-bench,6) as active, ret>bench as outperformed, coalesce(n,0) as n_rebalances, round(coalesce(c/n,0),6) as avg_cost, round(coalesce(s/n,1),6) as avg_dd_scale,
@@ -477,7 +493,7 @@ from p left join q using (period) window w as (order by period)"""
 
 def _period_query(freq):
     def run(t):
-        daily = t.curves.groupBy("d").agg(F.avg("ret").alias("ret"), F.coalesce(F.avg(F.when(F.col("series_id") % 2 == 0, F.col("ret"))), F.lit(0.0)).alias("bench"))
+        daily = t.curves.groupBy("d").agg(F.avg("ret").alias("ret"), F.avg(0.8 * F.col("ret") + 0.0001).alias("bench"))
         reb = TC.rebalance_calendar(TC.trading_days(t.calm), 21).select(
             F.col("reb_d").alias("d"), (0.001 * (F.col("k") % 3)).alias("total_cost"), F.when(F.col("k") % 4 == 0, 0.85).otherwise(1.0).alias("dd_scale"))
         x = AT.period_report(daily, reb, freq)

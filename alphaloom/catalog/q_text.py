@@ -51,15 +51,15 @@ ASKS = (
     "Why did we buy NVDA at the last rebalance?", "Should we deploy capital, is the signal valid?", "Help me, what can you do?",
     "How did momentum and earnings_surprise perform last month for AAPL and MSFT?", "Tell me a story",
 )
-_ASK = "case (conv_id+turn)%9 " + " ".join(f"when {i} then '{q}'" for i, q in enumerate(ASKS)) + " else text end"
+_ASK = "text || case (conv_id+turn)%9 " + " ".join(f"when {i} then ' {q}'" for i, q in enumerate(ASKS)) + " else '' end"
 cte("asked", f"select conv_id, turn, {_ASK} as text from conversations where role='user'")
 
 
 def _asked(t):
-    pick = F.col("text")
+    pick = F.lit("")
     for i, q in enumerate(ASKS):
-        pick = F.when((F.col("conv_id") + F.col("turn")) % 9 == i, F.lit(q)).otherwise(pick)
-    return t.raw("conversations").where("role = 'user'").select("conv_id", "turn", pick.alias("text"))
+        pick = F.when((F.col("conv_id") + F.col("turn")) % 9 == i, F.lit(" " + q)).otherwise(pick)
+    return t.raw("conversations").where("role = 'user'").select("conv_id", "turn", F.concat("text", pick).alias("text"))
 
 
 def _route_sql():
@@ -83,7 +83,7 @@ def _(t):
 
 _DATE = TX.DATE_PATTERN
 cte("ents", f"""
-select conv_id, turn, array_to_string(list_filter(regexp_extract_all(upper(text),'\\b([A-Z]{{1,5}})\\b',1), lambda x: list_contains({_list(TX.TICKERS)},x)),',') as tickers,
+select conv_id, turn, array_to_string(list_filter(string_split_regex(upper(text),'[^\\p{{L}}\\p{{N}}_]+'), lambda x: list_contains({_list(TX.TICKERS)},x)),',') as tickers,
  array_to_string(list_filter({_list(TX.FACTOR_NAMES)}, lambda f: list_contains(w,f) or instr(lower(text),replace(f,'_',' '))>0),',') as factors,
  array_to_string(list_filter({_list(TX.METRIC_NAMES)}, lambda m: list_contains(w,m)),',') as metrics,
  array_to_string(regexp_extract_all(text,'{_DATE}',1),',') as date_refs,
@@ -171,9 +171,9 @@ def _(t):
 
 
 # ---- metric store ----
-@query("metrics_latest_rows", "S9", "select factor, d, ic from (select factor, d, ic, row_number() over (partition by factor, d order by run desc) as rn from (select *, 1 as run from ic union all select factor, d, ic/2, 2 from ic where day(d)%3=0)) where rn=1", "ic")
+@query("metrics_latest_rows", "S9", "select factor, d, ic from (select factor, d, ic, row_number() over (partition by factor, d order by run desc) as rn from (select *, 1 as run from ic union all select factor, d, ic/2, 2 from ic where d>=date '2024-01-16')) where rn=1", "ic")
 def _(t):
-    h = t.ic.withColumn("run", F.lit(1)).unionByName(t.ic.where("day(d) % 3 = 0").select("factor", "d", (F.col("ic") / 2).alias("ic"), F.lit(2).alias("run")))
+    h = t.ic.withColumn("run", F.lit(1)).unionByName(t.ic.where("d >= date '2024-01-16'").select("factor", "d", (F.col("ic") / 2).alias("ic"), F.lit(2).alias("run")))
     return MS.latest_view(h, ["factor", "d"], "run").drop("run")
 
 
@@ -206,11 +206,11 @@ def _(t):
 
 
 @query("audit_backfill", "S13", """
-select k, reb_d, coalesce(p.period_return, case when k%2=0 then 0.5 end) as v from (select r.k, r.reb_d from reb r) left join (select k, round(0.001*k,6) as period_return from reb where k%3=0) p using (k)""", "reb")
+select k, reb_d, coalesce(p.period_return, case when k%2=0 then 0.5 end) as v from (select r.k, r.reb_d from reb r) left join (select k, round(0.001*k,6) as period_return from reb where reb_d>=date '1998-01-01') p using (k)""", "reb")
 def _(t):
     from alphaloom.operators import trading_calendar as TC
     a = TC.rebalance_calendar(TC.trading_days(t.calm), 21).select("k", "reb_d", F.when(F.col("k") % 2 == 0, 0.5).alias("v"))
-    new = a.where("k % 3 = 0").select("k", F.round(0.001 * F.col("k"), 6).alias("v"))
+    new = a.where("reb_d >= date '1998-01-01'").select("k", F.round(0.001 * F.col("k"), 6).alias("v"))
     return MS.fill_audit(a, new, ["k"])
 
 

@@ -139,7 +139,7 @@ def extract_entities(df: DataFrame, text: str = "text", today: Column | None = N
     low = F.lower(t)
     words = F.split(low, r"[^\p{L}\p{N}_]+")
     lits = lambda xs: F.array(*[F.lit(x) for x in xs])
-    tick = F.filter(F.regexp_extract_all(F.upper(t), F.lit(r"\b([A-Z]{1,5})\b"), 1), lambda x: x.isin(*TICKERS))
+    tick = F.filter(F.split(F.upper(t), r"[^\p{L}\p{N}_]+"), lambda x: x.isin(*TICKERS))
     phrase = F.filter(lits(FACTOR_NAMES), lambda f: F.array_contains(words, f) | (F.instr(low, F.replace(f, F.lit("_"), F.lit(" "))) > 0))
     back = F.when(low.rlike(r"last\s+week"), 7).when(low.rlike(r"last\s+month"), 30).when(low.rlike(r"last\s+quarter"), 90)
     return df.select("*", tick.alias("tickers"), phrase.alias("factors"),
