@@ -233,7 +233,20 @@ def _(t):
     return _fifo(t).select("ticker", "open_date", "lot_seq", "sell_date", "sell_seq", "shares", F.round(F.col("gain") / (F.col("shares") * F.col("cost")), 6).alias("gain_pct"), "held_days", "is_long_term", "wash_sale_risk")
 
 
-@query("tax_lots_lifo", "J17 UD2")
+# every unit of balance alternates purchase and sale: a sale meets the event before it
+cte("lifou", """
+select ticker, trade_date, o, seq, side, price, unnest(range(cast(lo as bigint), cast(hi as bigint))) as h from (
+ select *, case when side='buy' then hi0-shares else bought-sold end as lo, case when side='buy' then hi0 else pb end as hi from (
+  select *, -sold + min(case when side='buy' then bought-shares end) over (partition by ticker, trade_date) + max(case when side='buy' then bought end) over (partition by ticker, trade_date) - (bought-shares) as hi0,
+   coalesce(lag(bought-sold) over (partition by ticker order by trade_date, o, seq),0) as pb from lotbal)) where hi>lo""", "lotbal")
+cte("lifog", """
+select *, shares*(sell_price-cost) as gain, sell_date-open_date as held_days, sell_date-open_date>365 as is_long_term,
+ bool_or(sell_date-open_date<30 and sell_price<cost) over (partition by ticker, sell_date, sell_seq order by top desc rows unbounded preceding) as wash_sale_risk from (
+ select ticker, open_date, lot_seq, cost, trade_date as sell_date, seq as sell_seq, price as sell_price, count(*) as shares, max(h) as top from (
+  select *, lag(trade_date) over w as open_date, lag(seq) over w as lot_seq, lag(price) over w as cost from lifou window w as (partition by ticker, h order by trade_date, o, seq)) where side='sell' group by all)""", "lifou")
+
+
+@query("tax_lots_lifo", "J17 UD2", "select ticker, open_date, lot_seq, sell_date, sell_seq, shares, round(gain/(shares*cost),6) as gain_pct, held_days, is_long_term, wash_sale_risk from lifog", "lifog")
 def _(t):
     return _lifo(t).select("ticker", "open_date", "lot_seq", "sell_date", "sell_seq", "shares", F.round(F.col("gain") / (F.col("shares") * F.col("cost")), 6).alias("gain_pct"), "held_days", "is_long_term", "wash_sale_risk")
 

@@ -288,22 +288,39 @@ def _loadings(t):
     return S.memo(t, "loadings", make)
 
 
-@query("factor_loadings", "A23 UD4")
+# least squares by successive orthogonalisation, one factor after the other
+cte("fy", "select c.ticker, c.d, c.x as y, f.market as x1, f.momentum as x2, f.quality as x3 from calmret c join fcs f using (d) where c.x is not null", "calmret fcs")
+cte("fl1", "select ticker, count(*) as n, regr_slope(y,x1) as sy1, regr_slope(x2,x1) as s21, regr_slope(x3,x1) as s31 from fy group by ticker", "fy")
+cte("fl2", "select fy.ticker, max(n) as n, max(sy1) as sy1, max(s21) as s21, max(s31) as s31, regr_slope(y,x2-s21*x1) as sy2, regr_slope(x3,x2-s21*x1) as s32 from fy join fl1 using (ticker) group by fy.ticker", "fy fl1")
+cte("fl3", "select fy.ticker, max(n) as n, max(sy1) as sy1, max(s21) as s21, max(s31) as s31, max(sy2) as sy2, max(s32) as s32, regr_slope(y,x3-s31*x1-s32*(x2-s21*x1)) as b3 from fy join fl2 using (ticker) group by fy.ticker", "fy fl2")
+cte("fl4", "select ticker, n, b3 as quality, sy2-b3*s32 as momentum, sy1-(sy2-b3*s32)*s21-b3*s31 as market from fl3", "fl3")
+cte("fload", "select fy.ticker, max(n) as n, max(market) as market, max(momentum) as momentum, max(quality) as quality, var_pop(y-market*x1-momentum*x2-quality*x3) as specific_var, greatest(0,least(1,1-var_pop(y-market*x1-momentum*x2-quality*x3)/(var_pop(y)+1e-10))) as r_squared from fy join fl4 using (ticker) group by fy.ticker", "fy fl4")
+cte("fcv", """
+select a, b, covar_samp(xa, xb) as fcov from (select d, unnest(['market','momentum','quality']) as a, unnest([market,momentum,quality]) as xa from fcs) join (select d, unnest(['market','momentum','quality']) as b, unnest([market,momentum,quality]) as xb from fcs) using (d) group by a, b""", "fcs")
+cte("flong", "select ticker, specific_var, unnest(['market','momentum','quality']) as f, unnest([market,momentum,quality]) as b from fload", "fload")
+
+
+@query("factor_loadings", "A23 UD4", "select ticker, n, round(market,6) as market, round(momentum,6) as momentum, round(quality,6) as quality, round(specific_var*1e4,6) as specific_var, round(r_squared,6) as r_squared from fload", "fload")
 def _(t):
-    return _loadings(t).select("ticker", "n", *r(["market", "momentum", "quality", "specific_var", "r_squared"]))
+    return _loadings(t).select("ticker", "n", *r(["market", "momentum", "quality"]), F.round(F.col("specific_var") * 1e4, 6).alias("specific_var"), *r(["r_squared"]))
 
 
-@query("factor_model_covariance", "A23")
+@query("factor_model_covariance", "A23", """
+select m.k, m.i, m.j, round((0.7*m.cov+0.3*l.cov)*1e4,6) as cov from (select p.k, p.ticker as i, q.ticker as j, sum(x.b*v.fcov*y.b)+case when p.ticker=q.ticker then max(x.specific_var) else 0 end as cov
+ from top_long p join top_long q on p.k=q.k join flong x on x.ticker=p.ticker join fcv v on v.a=x.f join flong y on y.ticker=q.ticker and y.f=v.b group by p.k, p.ticker, q.ticker) m join lw l using (k, i, j)""", "top_long flong fcv lw")
 def _(t):
     fc = PF.factor_cov(PF.factor_series(_calm_returns(t)))
     return PF.factor_model_cov(_loadings(t), fc, _top(t).select("k", "ticker"), _lw(t)).select("k", "i", "j", F.round(F.col("cov") * 1e4, 6).alias("cov"))
 
 
-@query("risk_attribution", "A24")
+@query("risk_attribution", "A24", """
+, e as (select k, f, sum(w*b) as e from tw join flong using (ticker) group by k, f), s as (select k, sum(w*w*specific_var) as sv from tw join fload using (ticker) group by k),
+ q as (select x.k, sum(x.e*v.fcov*y.e) as fv, sum(case when v.a='market' and v.b='market' then x.e*v.fcov*y.e end) as m, sum(case when v.a='momentum' and v.b='momentum' then x.e*v.fcov*y.e end) as o, sum(case when v.a='quality' and v.b='quality' then x.e*v.fcov*y.e end) as u from e x join fcv v on v.a=x.f join e y on y.k=x.k and y.f=v.b group by x.k)
+select k, round((fv+sv+1e-12)*1e4,6) as total_variance, round(fv/(fv+sv+1e-12)*100,4) as factor_pct, round(sv/(fv+sv+1e-12)*100,4) as specific_pct, round(m/(fv+sv+1e-12)*100,4) as market_pct, round(o/(fv+sv+1e-12)*100,4) as momentum_pct, round(u/(fv+sv+1e-12)*100,4) as quality_pct from q join s using (k)""", "tw flong fload fcv")
 def _(t):
     fc = PF.factor_cov(PF.factor_series(_calm_returns(t)))
     return PF.risk_attribution(_tilted(t), _loadings(t), fc, ["k"]).select(
-        "k", *r(["total_variance"], 8), *r(["factor_pct", "specific_pct", "market_pct", "momentum_pct", "quality_pct"], 4))
+        "k", F.round(F.col("total_variance") * 1e4, 6).alias("total_variance"), *r(["factor_pct", "specific_pct", "market_pct", "momentum_pct", "quality_pct"], 4))
 
 
 # ---- backtests ----
