@@ -46,37 +46,40 @@ def _sketched(src: DataFrame, keys: list[str], value: str, probes: list[float],
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per group: ``keys + list(ps)``.
 
-    Groups of up to EXACT_GROUP_ROWS rows are reduced to distinct values with
-    counts and read off in order.  For a larger group a sketch brackets each p:
-    values below the bracket are only counted, and the two order statistics
-    around p are read off the few values inside it.
+    Groups of up to EXACT_GROUP_ROWS rows use the built-in exact aggregate.  For
+    a larger group a sketch brackets each p: values below the bracket are only
+    counted, and the two order statistics around p are read off the few distinct
+    values inside it.
     """
     names = list(ps)
     src = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    counts = src.groupBy(*keys).agg(F.count("*").alias("__n"))
+    exact = F.percentile("__v", [float(p) for p in ps.values()])
+    small = (attach(src, counts.where(F.col("__n") <= EXACT_GROUP_ROWS).select(*keys), keys)
+             .groupBy(*keys).agg(exact.alias("__a"))
+             .select(*keys, *[F.col("__a")[i].alias(n) for i, n in enumerate(names)]))
+    rows = attach(src, counts.where(F.col("__n") > EXACT_GROUP_ROWS), keys)
     probes = [min(1.0, max(0.0, p + s * BRACKET)) for p in ps.values() for s in (-1, 1)]
-    stats = _sketched(src, keys, "__v", probes, ACCURACY)
-    whole = F.col("__q").isNull()
+    sketch = rows.groupBy(*keys).agg(F.max("__n").alias("__n"), F.percentile_approx("__v", probes, ACCURACY).alias("__q"))
     brackets = F.array(*[F.struct(F.col("__q")[2 * i].alias("lo"), F.col("__q")[2 * i + 1].alias("hi")) for i in range(len(names))])
-    # slot i of a large group: NULL = below bracket i (count only), value = inside it
+    # slot i: NULL = below bracket i (counted only), value = inside it
     slots = F.filter(
         F.transform(brackets, lambda b, i: F.struct(
             i.alias("p"), F.when(F.col("__v") >= b["lo"], F.col("__v")).alias("v"), (F.col("__v") <= b["hi"]).alias("keep"))),
         lambda s: s["keep"])
-    one = F.array(F.struct(F.lit(0).alias("p"), F.col("__v").alias("v"), F.lit(True).alias("keep")))
-    tagged = attach(src, stats, keys).select(*keys, F.explode(F.when(whole, one).otherwise(slots)).alias("__s"))
+    tagged = attach(rows.drop("__n"), sketch.drop("__n"), keys).select(*keys, F.explode(slots).alias("__s"))
     hist = tagged.groupBy(*keys, F.col("__s.p").alias("p"), F.col("__s.v").alias("v")).agg(F.count("*").alias("cnt"))
     # NULL sorts first, so the running count starts with everything below
     w = W.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v"))
-    ranked = attach(hist.withColumn("__upto", F.sum("cnt").over(w)), stats, keys)
+    ranked = attach(hist.withColumn("__upto", F.sum("cnt").over(w)), sketch.drop("__q"), keys)
     before = F.col("__upto") - F.col("cnt")
     out = []
     for i, (n, p) in enumerate(ps.items()):
         pos = (F.col("__n") - 1) * F.lit(float(p))
-        here = whole | (F.col("p") == i)
-        at = lambda k: F.max(F.when(here & (before <= k) & (k < F.col("__upto")), F.col("v")))  # noqa: B023, E731
+        at = lambda k, i=i: F.max(F.when((F.col("p") == i) & (before <= k) & (k < F.col("__upto")), F.col("v")))
         lo, hi = at(F.floor(pos)), at(F.ceil(pos))
         out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(n))
-    return ranked.groupBy(*keys).agg(*out)
+    return small.unionByName(ranked.groupBy(*keys).agg(*out))
 
 
 def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
