@@ -109,14 +109,18 @@ def gap_risk(bars: DataFrame, threshold: float = 0.03) -> DataFrame:
 
 # ---- positions and trades ----
 
-def position_marks(positions: DataFrame, bars: DataFrame) -> DataFrame:
+def position_marks(positions: DataFrame, bars: DataFrame, horizon: int | None = None) -> DataFrame:
     """Bars of every position from its entry on, with the running peak price.
 
-    positions: (position_id, ticker, entry_date, entry_price).
+    positions: (position_id, ticker, entry_date, entry_price).  With a
+    ``horizon`` in days the first bar at or beyond it is the last one kept.
     """
     w = W.partitionBy("ticker").orderBy("d")
-    b = bars.select("ticker", "d", "close", F.lag("close").over(w).alias("prev_close"))
-    j = positions.join(b, "ticker").where(F.col("d") >= F.col("entry_date"))
+    b = bars.select("ticker", "d", "close", F.lag("close").over(w).alias("prev_close"), F.lag("d").over(w).alias("prev_d"))
+    live = F.col("d") >= F.col("entry_date")
+    if horizon is not None:
+        live = live & (F.col("prev_d").isNull() | (F.col("prev_d") < F.date_add("entry_date", horizon)))
+    j = positions.join(b, "ticker").where(live).drop("prev_d")
     peak = F.max("close").over(W.partitionBy("position_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
     return j.withColumn("peak_price", F.greatest(F.col("entry_price"), peak))
 
@@ -131,7 +135,8 @@ def exit_reason(hold: Column, pnl: Column, gap: Column, target: float = 0.12, st
 
 def first_exits(positions: DataFrame, bars: DataFrame, **rules) -> DataFrame:
     """Earliest exit of every position with its reason and price."""
-    m = position_marks(positions, bars)
+    # a bar at or beyond the longest holding period always exits
+    m = position_marks(positions, bars, rules.get("max_hold", 60))
     hold = F.datediff("d", "entry_date")
     pnl = (F.col("close") - F.col("entry_price")) / F.col("entry_price")
     gap = F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close"))
