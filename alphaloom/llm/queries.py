@@ -4,18 +4,63 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alphaloom.llm import tokenfile
+from alphaloom.llm import chat, fertility, jaccard, langid, line_dedup, packing, piece_codec, tokenfile
 from alphaloom.llm.common import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
-BYTE_VOCABULARY = "byte_bpe_50k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_dedup.drop_boilerplate(docs, host="source").select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.scored(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.round_trip(turns, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    profiles = langid.learn(docs.where(~out))
+    return langid.identified(docs, profiles).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), keep_ids=False)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op10_token_files,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_piece_codec, op4_ngram_jaccard, op6_fertility, op7_chat, op8_language, op9_packing, op10_token_files)}
+SQL: dict[str, str] = {"op1_line_dedup": f"""
+    with pages as (select row_number() over () as rid, doc_id, source, text, string_split(text, chr(10)) as lines from documents),
+    lined as (select distinct rid, source, unnest(lines) as line from pages where source is not null),
+    totals as (select source, count(*) as pages from documents where source is not null group by source),
+    found as (select l.source, l.line from lined l join totals t on l.source = t.source where trim(l.line) <> ''
+              group by l.source, l.line, t.pages having count(*) >= {line_dedup.MIN_PAGES} and count(*) > {line_dedup.MAX_RATIO}::double * t.pages),
+    lists as (select source, list(line) as dropped from found group by source),
+    kept as (select doc_id, lines, case when dropped is null then lines else list_filter(lines, lambda x: not list_contains(dropped, x)) end as rest
+             from pages left join lists on pages.source = lists.source)
+    select doc_id, array_to_string(rest, chr(10)) as text, coalesce(len(lines), 0) as n_lines, coalesce(len(lines) - len(rest), 0) as n_dropped from kept"""}
