@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import chat, fertility, jaccard, langid, line_dedup, packing, piece_codec, tokenfile
+from alphaloom.llm import chat, fertility, jaccard, langid, line_dedup, nndescent, packing, piece_codec, tokenfile, warc
 from alphaloom.llm.common import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, host="source").select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
@@ -27,6 +32,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(read_table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.scored(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -53,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_piece_codec, op4_ngram_jaccard, op6_fertility, op7_chat, op8_language, op9_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_piece_codec, op4_ngram_jaccard, op5_nearest, op6_fertility, op7_chat, op8_language, op9_packing, op10_token_files)}
 SQL: dict[str, str] = {"op1_line_dedup": f"""
     with pages as (select row_number() over () as rid, doc_id, source, text, string_split(text, chr(10)) as lines from documents),
     lined as (select distinct rid, source, unnest(lines) as line from pages where source is not null),
