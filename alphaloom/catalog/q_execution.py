@@ -145,9 +145,9 @@ def _positions(t):
                                                 F.col("reb_d").alias("entry_date"), F.col("close").alias("entry_price"))
 
 
-@query("position_peaks", "W-P1", "select position_id, d, round(peak_price,4) as peak_price from marks where d<entry_date+90", "marks")
+@query("position_peaks", "W-P1", "select position_id, d, round(peak_price,4) as peak_price from marks", "marks")
 def _(t):
-    m = EX.position_marks(_positions(t), t.calm).where("d < date_add(entry_date, 90)")
+    m = EX.position_marks(_positions(t), t.calm)
     return m.select("position_id", "d", *r(["peak_price"]))
 
 

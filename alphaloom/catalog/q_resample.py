@@ -14,7 +14,7 @@ def r(cols, k=4):
     return [F.round(c, k).alias(c) for c in cols]
 
 
-SIMS = 100
+SIMS = 500
 cte("ewr", "select d, ret, row_number() over (order by d)-1 as i, count(*) over () as n from (select d, avg(r) as ret from (select d, close/lag(close) over (partition by ticker order by d)-1 as r from calm) where r is not null group by d)", "calm")
 cte("boot", f"""
 select sim, p, n, e.ret from (select *, (((((42*611953+sim*1000003+(p//21)*7919)%2147483647)*48271)%2147483647)*69621)%2147483647%(n-21)+p%21 as src from (
@@ -48,7 +48,7 @@ def _(t):
     return x.select("n_simulations", *r(BS), "verdict")
 
 
-TRIALS = 8
+TRIALS = 50
 
 
 def _placebo(t):

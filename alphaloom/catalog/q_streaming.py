@@ -39,7 +39,9 @@ def _(t):
 
 
 @query("stream_fill_match", "ST4", """
-select trade_id, side, round(coalesce(case when side='buy' then fill_price-arrival_price else arrival_price-fill_price end/arrival_price*1e4,null),4) as slippage_bps from executions where fill_price is not null""", "executions")
+, wm2 as (select least(max(d), max(case when fill_price is not null then d end) + interval '30' minute) - interval '1' hour as w from executions)
+select trade_id, side, round(case when side='buy' then fill_price-arrival_price else arrival_price-fill_price end/arrival_price*1e4,4) as slippage_bps, fill_price is not null as filled
+from executions where fill_price is not null or d + interval '2' hour < (select w from wm2)""", "executions")
 def _(t):
     ex = io.file_stream(t.spark, f"{t.root}/orders.parquet")
     k, px = F.col("o_orderkey"), F.col("o_totalprice")
@@ -48,7 +50,7 @@ def _(t):
     f = io.file_stream(t.spark, f"{t.root}/orders.parquet").where("o_orderstatus <> 'P'").select(
         k.alias("trade_id"), (px * (1.0 + (k % 21 - 10) / 1000.0)).alias("fill_price"),
         (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 minutes")).alias("ts"))
-    return io.drain(WN.match_fills(a, f), "fills").where("filled").select("trade_id", "side", F.round("slippage_bps", 4).alias("slippage_bps"))
+    return io.drain(WN.match_fills(a, f), "fills").select("trade_id", "side", F.round("slippage_bps", 4).alias("slippage_bps"), "filled")
 
 
 @query("stream_position_exits", "ST5 UD5", """
@@ -105,8 +107,8 @@ def _(t):
         (F.col("o_custkey") % 10).alias("ticker"), F.col("o_orderdate").cast("date").alias("signal_date"), F.col("o_totalprice").alias("score")
     ).withColumn("fwd_due_date", F.date_add("signal_date", 21))
     out = scratch_path(t.spark, "live-ic")
-    ST.fill_live_ic(s, bars, F.lit("2001-11-04").cast("date"), lambda df: df.write.mode("append").parquet(out))
-    return t.spark.read.parquet(out).select("signal_date", "n", F.round("ic", 4).alias("ic"))
+    ST.fill_due_signals(s, bars, F.lit("2001-11-04").cast("date"), out)
+    return ST.live_ic(t.spark.read.parquet(out)).select("signal_date", "n", F.round("ic", 4).alias("ic"))
 
 
 @query("stream_staleness", "ST9 UD5", """

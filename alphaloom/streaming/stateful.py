@@ -11,10 +11,11 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from alphaloom.streaming.io import use_rocksdb
+from alphaloom.streaming.io import drain_batches, use_rocksdb
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator:
@@ -190,16 +191,28 @@ def staleness_alerts(ticks: DataFrame, hours: float = 36.0, monday_hours: float
         Staleness(hours, monday_hours), out, "Append", "EventTime")
 
 
-def fill_live_ic(signals: DataFrame, bars: DataFrame, today, sink) -> None:
-    """Score signals as they fall due: each micro-batch is joined forward to prices.
+def fill_due_signals(signals: DataFrame, bars: DataFrame, today, out: str) -> None:
+    """Append the forward return of each signal to the table ``out`` once it is due.
 
-    ``signals`` is a stream of (ticker, signal_date, fwd_due_date, score, ...);
-    ``sink(df)`` receives (signal_date, n, ic) of every batch.
+    ``signals`` is a stream of (ticker, signal_date, fwd_due_date, score, ...).  Signals that are not yet due wait in a
+    table of their own, which each micro-batch reads and replaces by the next, so none is lost between batches; a repeated batch replaces its own rows.
     """
     from alphaloom.operators.asof import fill_returns
-    from alphaloom.operators.ic import spearman
-    from alphaloom.streaming.io import drain_batches
+    from alphaloom.sources.storage import scratch_path
+
+    spark, waiting = signals.sparkSession, scratch_path(signals.sparkSession, "live-ic-waiting")
 
-    def handle(batch: DataFrame, _id: int) -> None:
-        sink(spearman(fill_returns(batch, bars, today), ["signal_date"], "score", "fwd_return"))
+    def handle(batch: DataFrame, number: int) -> None:
+        if number:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/{number - 1}"))
+        due = F.col("fwd_due_date") <= today
+        batch.where(~due | due.isNull()).write.mode("overwrite").parquet(f"{waiting}/{number}")
+        fill_returns(batch.where(due), bars, today).write.mode("overwrite").parquet(f"{out}/batch={number}")
     drain_batches(signals, handle, "live-ic")
+
+
+def live_ic(filled: DataFrame) -> DataFrame:
+    """IC of all filled signals of a date, whichever batches they came in."""
+    from alphaloom.operators.ic import spearman
+
+    return spearman(filled, ["signal_date"], "score", "fwd_return")
