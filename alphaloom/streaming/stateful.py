@@ -1,7 +1,8 @@
-"""Keyed state machines: position exits, circuit breakers, health, staleness.
+"""Keyed state machines in event-time order: position exits, circuit breakers, health, staleness.
 
-State per key is a handful of numbers kept in the state store; rows of a key
-arrive as an iterator of batches and are never gathered.
+Rows wait in the state store until the watermark has passed them and are then applied in order of time (and ``seq``), so
+neither the order of files nor the cut into micro-batches changes a result.  A key holds the rows of the watermark's delay
+and of one trigger; size triggers by ``maxFilesPerTrigger``.  Rows beyond the last watermark are still waiting at its end.
 """
 
 from __future__ import annotations
@@ -17,178 +18,219 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, St
 
 from alphaloom.streaming.io import drain_batches, use_rocksdb
 
+HOUR_US = 3_600_000_000
 
-def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator:
-    for pdf in rows:
-        yield from pdf.sort_values(by, kind="stable").itertuples(index=False)
 
+def _fields(**kinds) -> StructType:
+    return StructType([StructField(n, k) for n, k in kinds.items()])
 
-class ExitTracker(StatefulProcessor):
-    """One position per ticker, opened at the first tick after an exit."""
 
-    def __init__(self, target: float, stop: float, min_hold_h: float, max_hold_h: float):
-        self.rules = (target, stop, min_hold_h, max_hold_h)
+class Ordered(StatefulProcessor):
+    """Applies ``step`` to a key's rows in order; subclasses name their values, state and output."""
+
+    VALUES: tuple[str, ...] = ()
+    STATE: StructType
+    OUT: tuple[str, ...]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        s = StructType([StructField("entry", DoubleType()), StructField("peak", DoubleType()), StructField("opened", LongType())])
-        self.pos = handle.getValueState("position", s)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _fields(us=LongType(), seq=LongType(), **{v: DoubleType() for v in self.VALUES}))
+        self.state = handle.getValueState("state", self.STATE)
+
+    def start(self) -> tuple | None:
+        """State of a key before its first row."""
+        return None
+
+    def step(self, key, state, us: int, values: tuple) -> tuple[tuple | None, list[tuple]]:
+        raise NotImplementedError
+
+    def idle(self, key, state, watermark_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
+        """(state, output, next deadline in ms) once no row up to the watermark is left."""
+        return state, [], None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        target, stop, lo, hi = self.rules
-        cur = self.pos.get() if self.pos.exists() else None
+        new = []
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            seq = pdf["seq"] if "seq" in pdf else [0] * len(pdf)
+            new += zip(us.tolist(), map(int, seq), *(pdf[v].astype(float).tolist() for v in self.VALUES))
+        yield self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, new: list[tuple], watermark: int) -> pd.DataFrame:
+        held = sorted([*(tuple(r) for r in self.waiting.get()), *new] if self.waiting.exists() else new)
+        ready = [r for r in held if r[0] // 1000 <= watermark]
+        rest = held[len(ready):]
+        state = tuple(self.state.get()) if self.state.exists() else self.start()
         out = []
-        for r in _in_order(rows, "ts"):
-            if r.price <= 0:
-                continue
-            now = int(pd.Timestamp(r.ts).value // 1000)
-            if cur is None:
-                cur = (r.price, r.price, now)
-                continue
-            entry, peak, opened = cur
-            peak = max(peak, r.price)
-            held, pnl = (now - opened) / 3.6e9, (r.price - entry) / entry
-            why = None
-            if held >= lo:
-                why = "max_hold" if held >= hi else "profit_target" if pnl >= target else "stop_loss" if pnl <= -stop else None
-            cur = (entry, peak, opened) if why is None else None
-            if why:
-                out.append((key[0], pd.Timestamp(opened, unit="us"), r.ts, entry, r.price, peak, why))
-        if cur is None:
-            self.pos.clear()
-        else:
-            self.pos.update(cur)
-        yield pd.DataFrame(out, columns=["ticker", "entry_ts", "exit_ts", "entry_price", "exit_price", "peak_price", "reason"])
+        for us, _seq, *values in ready:
+            state, rows = self.step(key[0], state, us, tuple(values))
+            out += rows
+        state, rows, deadline = self.idle(key[0], state, watermark)
+        out += rows
+        if rest:
+            self.waiting.put(rest)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if state is not None:
+            self.state.update(state)
+        elif self.state.exists():
+            self.state.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        due = [t for t in (rest[0][0] // 1000 if rest else None, deadline) if t is not None]
+        if due:
+            self.handle.registerTimer(max(min(due), watermark + 1))
+        return pd.DataFrame(out, columns=list(self.OUT))
 
     def close(self) -> None:
         pass
 
 
-def position_exits(ticks: DataFrame, target: float = 0.12, stop: float = 0.05, min_hold_hours: float = 72.0,
-                   max_hold_hours: float = 1440.0) -> DataFrame:
-    use_rocksdb(ticks.sparkSession)
-    key = ticks.schema["ticker"].dataType
-    out = StructType([StructField("ticker", key), StructField("entry_ts", TimestampType()), StructField("exit_ts", TimestampType()),
-                      StructField("entry_price", DoubleType()), StructField("exit_price", DoubleType()), StructField("peak_price", DoubleType()),
-                      StructField("reason", StringType())])
-    return ticks.groupBy("ticker").transformWithStateInPandas(
-        ExitTracker(target, stop, min_hold_hours, max_hold_hours), out, "Append", "None")
+def _time(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
 
 
-class Breaker(StatefulProcessor):
-    """Trading halts on a daily loss or on drawdown from the peak."""
+def _run(stream: DataFrame, key: str, machine: Ordered, out: StructType, delay: str) -> DataFrame:
+    use_rocksdb(stream.sparkSession)
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(machine, out, "Append", "EventTime")
 
-    def __init__(self, loss: float, drawdown: float, loss_h: float, dd_h: float):
-        self.rules = (loss, drawdown, loss_h, dd_h)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        s = StructType([StructField("last", DoubleType()), StructField("peak", DoubleType()), StructField("until", LongType())])
-        self.state = handle.getValueState("breaker", s)
+class ExitTracker(Ordered):
+    """One position per ticker, opened at the first tick after an exit."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        loss, dd, loss_h, dd_h = self.rules
-        last, peak, until = self.state.get() if self.state.exists() else (None, 0.0, 0)
-        out = []
-        for r in _in_order(rows, "ts"):
-            now = int(pd.Timestamp(r.ts).value // 1000)
-            peak = max(peak, r.value)
-            what, hours = "ok", 0.0
-            if now < until:
-                what = "halted"
-            elif last is not None and last > 0 and (r.value - last) / last < -loss:
-                what, hours = "daily_loss", loss_h
-            elif last is not None and (r.value - peak) / (peak + 1e-10) < -dd:
-                what, hours = "max_drawdown", dd_h
-            if hours:
-                until = now + int(hours * 3.6e9)
-            out.append((key[0], r.ts, r.value, what))
-            last = r.value
-        self.state.update((last, peak, until))
-        yield pd.DataFrame(out, columns=["series_id", "ts", "value", "decision"])
+    VALUES = ("price",)
+    STATE = _fields(entry=DoubleType(), peak=DoubleType(), opened=LongType())
+    OUT = ("ticker", "entry_ts", "exit_ts", "entry_price", "exit_price", "peak_price", "reason")
 
-    def close(self) -> None:
-        pass
+    def __init__(self, target: float, stop: float, min_hold_h: float, max_hold_h: float):
+        self.rules = (target, stop, min_hold_h, max_hold_h)
+
+    def step(self, key, state, us, values):
+        target, stop, lo, hi = self.rules
+        price = values[0]
+        if price <= 0:
+            return state, []
+        if state is None:
+            return (price, price, us), []
+        entry, peak, opened = state
+        peak = max(peak, price)
+        held, pnl = (us - opened) / HOUR_US, (price - entry) / entry
+        why = None
+        if held >= lo:
+            why = "max_hold" if held >= hi else "profit_target" if pnl >= target else "stop_loss" if pnl <= -stop else None
+        if why is None:
+            return (entry, peak, opened), []
+        return None, [(key, _time(opened), _time(us), entry, price, peak, why)]
 
 
-def circuit_breaker(values: DataFrame, loss: float = 0.03, drawdown: float = 0.20, loss_hours: float = 24.0, dd_hours: float = 720.0) -> DataFrame:
-    """values: (series_id, ts, value) -> a decision for every row."""
-    use_rocksdb(values.sparkSession)
-    out = StructType([StructField("series_id", values.schema["series_id"].dataType), StructField("ts", TimestampType()),
-                      StructField("value", DoubleType()), StructField("decision", StringType())])
-    return values.groupBy("series_id").transformWithStateInPandas(Breaker(loss, drawdown, loss_hours, dd_hours), out, "Append", "None")
+def position_exits(ticks: DataFrame, target: float = 0.12, stop: float = 0.05, min_hold_hours: float = 72.0,
+                   max_hold_hours: float = 1440.0, delay: str = "1 hour") -> DataFrame:
+    """ticks: (ticker, ts, price, and seq to order equal times)."""
+    t, d = TimestampType(), DoubleType()
+    out = _fields(ticker=ticks.schema["ticker"].dataType, entry_ts=t, exit_ts=t, entry_price=d, exit_price=d, peak_price=d, reason=StringType())
+    return _run(ticks, "ticker", ExitTracker(target, stop, min_hold_hours, max_hold_hours), out, delay)
 
 
-class Health(StatefulProcessor):
+class Breaker(Ordered):
+    """Trading halts on a daily loss or on drawdown from the peak."""
+
+    VALUES = ("value",)
+    STATE = _fields(last=DoubleType(), peak=DoubleType(), until=LongType())
+    OUT = ("series_id", "ts", "value", "decision")
+
+    def __init__(self, loss: float, drawdown: float, loss_h: float, dd_h: float):
+        self.rules = (loss, drawdown, loss_h, dd_h)
+
+    def start(self):
+        return None, 0.0, 0
+
+    def step(self, key, state, us, values):
+        loss, dd, loss_h, dd_h = self.rules
+        last, peak, until = state
+        value = values[0]
+        peak = max(peak, value)
+        what, hours = "ok", 0.0
+        if us < until:
+            what = "halted"
+        elif last is not None and last > 0 and (value - last) / last < -loss:
+            what, hours = "daily_loss", loss_h
+        elif last is not None and (value - peak) / (peak + 1e-10) < -dd:
+            what, hours = "max_drawdown", dd_h
+        if hours:
+            until = us + int(hours * HOUR_US)
+        return (value, peak, until), [(key, _time(us), value, what)]
+
+
+def circuit_breaker(values: DataFrame, loss: float = 0.03, drawdown: float = 0.20, loss_hours: float = 24.0, dd_hours: float = 720.0,
+                    delay: str = "1 hour") -> DataFrame:
+    """values: (series_id, ts, value, and seq to order equal times) -> a decision for every row."""
+    out = _fields(series_id=values.schema["series_id"].dataType, ts=TimestampType(), value=DoubleType(), decision=StringType())
+    return _run(values, "series_id", Breaker(loss, drawdown, loss_hours, dd_hours), out, delay)
+
+
+class Health(Ordered):
     """Leaky failure counter per factor."""
 
+    VALUES = ("ic_ir", "n")
+    STATE = _fields(fails=IntegerType(), off=BooleanType())
+    OUT = ("factor", "ts", "fails", "disabled")
+
     def __init__(self, min_ir: float, limit: int):
         self.rules = (min_ir, limit)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        s = StructType([StructField("fails", IntegerType()), StructField("off", BooleanType())])
-        self.state = handle.getValueState("health", s)
+    def start(self):
+        return 0, False
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, state, us, values):
         min_ir, limit = self.rules
-        fails, off = self.state.get() if self.state.exists() else (0, False)
-        out = []
-        for r in _in_order(rows, "ts"):
-            if r.n < 6:
-                continue
-            fails = fails + 1 if r.ic_ir < min_ir else max(0, fails - 1)
-            off = True if fails >= limit else False if r.ic_ir > min_ir * 1.5 else off
-            out.append((key[0], r.ts, fails, off))
-        self.state.update((fails, off))
-        yield pd.DataFrame(out, columns=["factor", "ts", "fails", "disabled"])
+        (fails, off), (ir, n) = state, values
+        if n < 6:
+            return state, []
+        fails = fails + 1 if ir < min_ir else max(0, fails - 1)
+        off = True if fails >= limit else False if ir > min_ir * 1.5 else off
+        return (fails, off), [(key, _time(us), fails, off)]
 
-    def close(self) -> None:
-        pass
 
+def factor_health(evals: DataFrame, min_ir: float = 0.10, limit: int = 3, delay: str = "1 hour") -> DataFrame:
+    """evals: (factor, ts, ic_ir, n, and seq to order equal times)."""
+    out = _fields(factor=StringType(), ts=TimestampType(), fails=IntegerType(), disabled=BooleanType())
+    return _run(evals, "factor", Health(min_ir, limit), out, delay)
 
-def factor_health(evals: DataFrame, min_ir: float = 0.10, limit: int = 3) -> DataFrame:
-    """evals: (factor, ts, ic_ir, n)."""
-    use_rocksdb(evals.sparkSession)
-    out = StructType([StructField("factor", StringType()), StructField("ts", TimestampType()), StructField("fails", IntegerType()),
-                      StructField("disabled", BooleanType())])
-    return evals.groupBy("factor").transformWithStateInPandas(Health(min_ir, limit), out, "Append", "None")
 
+class Staleness(Ordered):
+    """Alerts for every silence of a key, within the rows seen or up to the watermark; Mondays tolerate the weekend."""
 
-class Staleness(StatefulProcessor):
-    """Alert when a key stays silent in event time; Mondays tolerate the weekend."""
+    STATE = _fields(last=LongType(), told=BooleanType())
+    OUT = ("ticker", "last_ts", "alert_ts")
 
     def __init__(self, hours: float, monday_hours: float):
         self.hours, self.monday = hours, monday_hours
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("ms", LongType()), StructField("due", LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, due = self.last.get() if self.last.exists() else (0, 0)
-        seen = max(int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000) for pdf in rows)
-        if seen > newest:
-            at = pd.Timestamp(seen, unit="ms") + timedelta(hours=self.hours)
-            wait = self.monday if at.weekday() == 0 else self.hours
-            if due:
-                self.handle.deleteTimer(due)
-            due = seen + int(wait * 3_600_000)
-            self.handle.registerTimer(due)
-            self.last.update((seen, due))
-        yield pd.DataFrame(columns=["ticker", "last_ts", "alert_ts"])
+    def _due(self, us: int) -> int:
+        at = _time(us) + timedelta(hours=self.hours)
+        return us + int((self.monday if at.weekday() == 0 else self.hours) * HOUR_US)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest, due = self.last.get()
-        self.last.update((newest, 0))
-        yield pd.DataFrame([(key[0], pd.Timestamp(newest, unit="ms"), pd.Timestamp(due, unit="ms"))], columns=["ticker", "last_ts", "alert_ts"])
+    def step(self, key, state, us, values):
+        out = []
+        if state and not state[1] and us > self._due(state[0]):
+            out.append((key, _time(state[0]), _time(self._due(state[0]))))
+        return (us, False), out
 
-    def close(self) -> None:
-        pass
+    def idle(self, key, state, watermark_ms):
+        if state is None or state[1]:
+            return state, [], None
+        due = self._due(state[0])
+        if due // 1000 <= watermark_ms:
+            return (state[0], True), [(key, _time(state[0]), _time(due))], None
+        return state, [], due // 1000
 
 
 def staleness_alerts(ticks: DataFrame, hours: float = 36.0, monday_hours: float = 72.0, delay: str = "1 hour") -> DataFrame:
-    use_rocksdb(ticks.sparkSession)
-    out = StructType([StructField("ticker", ticks.schema["ticker"].dataType), StructField("last_ts", TimestampType()), StructField("alert_ts", TimestampType())])
-    return ticks.withWatermark("ts", delay).groupBy("ticker").transformWithStateInPandas(
-        Staleness(hours, monday_hours), out, "Append", "EventTime")
+    out = _fields(ticker=ticks.schema["ticker"].dataType, last_ts=TimestampType(), alert_ts=TimestampType())
+    return _run(ticks, "ticker", Staleness(hours, monday_hours), out, delay)
 
 
 def fill_due_signals(signals: DataFrame, bars: DataFrame, today, out: str) -> None:
