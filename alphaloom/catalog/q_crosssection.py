@@ -40,6 +40,16 @@ def _(t):
     return p.select("d", *[F.round(c, 4).alias(c) for c in ("p025", "p50", "p975")])
 
 
+@query("line_price_percentiles", "W-X1", """
+select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice,0.025),4) as p025, round(quantile_cont(l_extendedprice,0.5),4) as p50, round(quantile_cont(l_extendedprice,0.975),4) as p975 from lineitem group by l_returnflag""")
+def _(t):
+    """Exact quantiles of groups that hold a third of all rows each."""
+    li = t.spark.read.parquet(f"{t.root}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    p = grouped_percentiles(li, ["l_returnflag"], "v", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
+    n = li.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return p.join(n, "l_returnflag").select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("p025", "p50", "p975")])
+
+
 @query("sector_neutral_zscore", "W-X3", """
 select k, ticker, round((v-avg(v) over (partition by k))/(stddev_pop(v) over (partition by k)+1e-6),4) as z from (
  select k, ticker, greatest(quantile_cont(a,0.025) over (partition by k), least(quantile_cont(a,0.975) over (partition by k), a)) as v from (

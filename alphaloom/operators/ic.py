@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.scale import grouped_percentiles, grouped_ranks, top_n
+from alphaloom.sources.storage import materialize
 
 
 def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFrame:
@@ -19,7 +20,7 @@ def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFram
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 5) -> DataFrame:
     """Rank correlation with shared ranks per group; NULL for few names or a constant side."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = materialize(df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "ranked")     # read by both rankings
     r = grouped_ranks(grouped_ranks(both, keys, x, "__rx"), keys, y, "__ry", "__n")
     # tie-shared ranks always average (n + 1) / 2: centred sums are exact for moderate n
     cx, cy = F.col("__rx") - (F.col("__n") + 1) / 2.0, F.col("__ry") - (F.col("__n") + 1) / 2.0

@@ -2,9 +2,9 @@
 
 A cross-section (one date) can hold any number of tickers, so nothing here
 sorts or collects a whole cross-section in one task.  Statistics are two-phase
-aggregates (map-side combine) joined back; order statistics are found by
-narrowing to a small bracket of values first; ranks are assigned inside value
-buckets and shifted by bucket offsets.
+aggregates (map-side combine) joined back; ranks and order statistics come from
+counts of distinct values, running inside value buckets and shifted by bucket
+offsets.
 """
 
 from __future__ import annotations
@@ -13,96 +13,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EXACT_GROUP_ROWS = 20_000   # groups up to this size skip the bracketing step
-BRACKET = 0.001             # half-width of the value bracket, as a rank share
-ACCURACY = 10_000           # sketch accuracy: rank error <= n / ACCURACY < BRACKET * n
-RANK_BUCKETS = 64
+from alphaloom.sources.storage import materialize
 
-
-# Keys whose combinations are bounded by the trading calendar and the fixed
-# factor list, whatever the number of tickers: one row each is safe to broadcast.
-CALENDAR_KEYS = frozenset({"k", "d", "reb_d", "factor", "p", "symbol"})
+BUCKETS = 32        # value buckets of a group; a bucket holds about that share of its distinct values
+ACCURACY = 1000     # of the sketch that cuts them: it moves their bounds, never a result
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", extra: list[str] | None = None) -> DataFrame:
     """Join per-group statistics (one row per group, or few with ``extra``) back to the rows.
 
-    Statistics keyed by calendar and factor are broadcast, so the rows are not
-    shuffled at all.  Any other key gets a plain join: the adaptive planner
-    broadcasts by measured size and splits skewed partitions otherwise.
+    The statistics are written first, so the planner knows their size: it broadcasts them below its threshold, which
+    leaves the rows where they are, and shuffles and splits skewed partitions otherwise.
     """
-    bounded = set(keys) <= CALENDAR_KEYS
-    return df.join(F.broadcast(stats) if bounded else stats, keys + (extra or []), how)
+    return df.join(materialize(stats, "stats"), keys + (extra or []), how)
 
 
-def _sketched(src: DataFrame, keys: list[str], value: str, probes: list[float], accuracy: int) -> DataFrame:
-    """Row count per group, and sketched quantiles ``__q`` for large groups only."""
-    counts = src.groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = counts.where(F.col("__n") > EXACT_GROUP_ROWS).select(*keys)
-    sketch = attach(src, large, keys).groupBy(*keys).agg(F.percentile_approx(value, probes, accuracy).alias("__q"))
-    return attach(counts, sketch, keys, "left")
+def ordered_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and distinct value: ``__c`` rows, ``__before`` rows with smaller values, ``__n`` rows in the group.
 
+    Equal values are counted before they are shuffled.  Distinct values are cut into buckets at sketched quantiles,
+    counted up inside each bucket and shifted by the rows of lower buckets: exact whatever the cuts, the same for every
+    size of group, and no task sorts a whole group.
+    """
+    vals = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")), "values")
+    probes = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = vals.groupBy(*keys).agg(F.percentile_approx(value, probes, ACCURACY).alias("__q"))
+    bucketed = attach(vals, cuts, keys).select(*keys, value, "__c", F.size(F.filter("__q", lambda q: q < F.col(value))).alias("__k"))
+    sizes = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))
+    group = W.partitionBy(*keys)
+    offsets = sizes.select(*keys, "__k", (F.sum("__bc").over(group.orderBy("__k")) - F.col("__bc")).alias("__off"), F.sum("__bc").over(group).alias("__n"))
+    inside = F.sum("__c").over(W.partitionBy(*keys, "__k").orderBy(value)) - F.col("__c")
+    return (attach(bucketed.withColumn("__in", inside), offsets, keys, extra=["__k"])
+            .select(*keys, value, "__c", (F.col("__off") + F.col("__in")).alias("__before"), "__n"))
 
-def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group: ``keys + list(ps)``.
 
-    Groups of up to EXACT_GROUP_ROWS rows use the built-in exact aggregate.  For
-    a larger group a sketch brackets each p: values below the bracket are only
-    counted, and the two order statistics around p are read off the few distinct
-    values inside it.
-    """
-    names = list(ps)
-    src = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
-    counts = src.groupBy(*keys).agg(F.count("*").alias("__n"))
-    exact = F.percentile("__v", [float(p) for p in ps.values()])
-    small = (attach(src, counts.where(F.col("__n") <= EXACT_GROUP_ROWS).select(*keys), keys)
-             .groupBy(*keys).agg(exact.alias("__a"))
-             .select(*keys, *[F.col("__a")[i].alias(n) for i, n in enumerate(names)]))
-    rows = attach(src, counts.where(F.col("__n") > EXACT_GROUP_ROWS), keys)
-    probes = [min(1.0, max(0.0, p + s * BRACKET)) for p in ps.values() for s in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(F.max("__n").alias("__n"), F.percentile_approx("__v", probes, ACCURACY).alias("__q"))
-    brackets = F.array(*[F.struct(F.col("__q")[2 * i].alias("lo"), F.col("__q")[2 * i + 1].alias("hi")) for i in range(len(names))])
-    # slot i: NULL = below bracket i (counted only), value = inside it
-    slots = F.filter(
-        F.transform(brackets, lambda b, i: F.struct(
-            i.alias("p"), F.when(F.col("__v") >= b["lo"], F.col("__v")).alias("v"), (F.col("__v") <= b["hi"]).alias("keep"))),
-        lambda s: s["keep"])
-    tagged = attach(rows.drop("__n"), sketch.drop("__n"), keys).select(*keys, F.explode(slots).alias("__s"))
-    hist = tagged.groupBy(*keys, F.col("__s.p").alias("p"), F.col("__s.v").alias("v")).agg(F.count("*").alias("cnt"))
-    # NULL sorts first, so the running count starts with everything below
-    w = W.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v"))
-    ranked = attach(hist.withColumn("__upto", F.sum("cnt").over(w)), sketch.drop("__q"), keys)
-    before = F.col("__upto") - F.col("cnt")
+def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated percentiles per group: ``keys + list(ps)``."""
+    o = ordered_counts(df.select(*keys, F.col(value).cast("double").alias("__v")), keys, "__v")
     out = []
-    for i, (n, p) in enumerate(ps.items()):
+    for n, p in ps.items():
         pos = (F.col("__n") - 1) * F.lit(float(p))
-        at = lambda k, i=i: F.max(F.when((F.col("p") == i) & (before <= k) & (k < F.col("__upto")), F.col("v")))
+        at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__v")))
         lo, hi = at(F.floor(pos)), at(F.ceil(pos))
         out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(n))
-    return small.unionByName(ranked.groupBy(*keys).agg(*out))
+    return o.groupBy(*keys).agg(*out)
 
 
 def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
                   count_out: str | None = None) -> DataFrame:
-    """Append the average (tie-shared) ascending rank of ``value`` in its group.
-
-    Distinct values with counts are ranked inside value buckets, then shifted by
-    the number of rows in lower buckets.  A large group is cut at sketched
-    quantiles, so no task ever sorts more than about 1/64 of it.
-    """
-    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    cuts = _sketched(vals, keys, value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 1000).drop("__n")
-    bucket = F.when(F.col("__q").isNull(), 0).otherwise(F.size(F.filter("__q", lambda q: q < F.col(value))))
-    bucketed = attach(vals, cuts, keys).select(*keys, value, "__c", bucket.alias("__k"))
-    inside = W.partitionBy(*keys, "__k").orderBy(value)
-    per_bucket = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))
-    offsets = per_bucket.select(
-        *keys, "__k", (F.sum("__bc").over(W.partitionBy(*keys).orderBy("__k")) - F.col("__bc")).alias("__off"),
-        F.sum("__bc").over(W.partitionBy(*keys)).alias("__n"))
-    ranks = (attach(bucketed.withColumn("__before", F.sum("__c").over(inside) - F.col("__c")), offsets, keys, extra=["__k"])
-             .select(*keys, value,
-                     (F.col("__off") + F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out),
-                     *([F.col("__n").alias(count_out)] if count_out else [])))
+    """Append the average (tie-shared) ascending rank of ``value`` in its group."""
+    ranks = ordered_counts(df, keys, value).select(
+        *keys, value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out), *([F.col("__n").alias(count_out)] if count_out else []))
     return df.join(ranks, keys + [value], "left")
 
 
@@ -110,22 +71,3 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     """First ``n`` rows per group; Spark prunes to n per task before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
-
-
-def two_level_running(df: DataFrame, key: list[str], coarse: str, order: list[Column],
-                      value: Column, out: str, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` per key in (coarse, order) order.
-
-    Sums per (key, coarse) come first and are accumulated over the few coarse
-    steps; rows are then accumulated only inside their own coarse step, so a
-    hot key is spread over all of its steps.
-    """
-    v = df.withColumn("__val", value)
-    steps = v.groupBy(*key, coarse).agg(F.sum("__val").alias("__s"))
-    base = steps.select(*key, coarse, (
-        F.sum("__s").over(W.partitionBy(*key).orderBy(coarse)) - F.col("__s")).alias("__base"))
-    inner = W.partitionBy(*key, coarse).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    run = F.sum("__val").over(inner) + F.col("__base")
-    return (v.join(base, key + [coarse])
-            .withColumn(out, run if inclusive else run - F.col("__val"))
-            .drop("__val", "__base"))

@@ -63,14 +63,6 @@ def test_top_n_prunes_before_the_shuffle(spark, skewed):
     assert plan.count("WindowGroupLimit") == 2      # before and after the exchange
 
 
-def test_two_level_running(spark):
-    rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"ticker": rng.choice([1, 1, 1, 2], 3000), "day": rng.integers(0, 9, 3000), "i": np.arange(3000), "q": rng.integers(1, 9, 3000)})
-    got = scale.two_level_running(spark.createDataFrame(pdf), ["ticker"], "day", [F.col("i")], F.col("q"), "run").toPandas().sort_values("i")
-    want = pdf.sort_values(["ticker", "day", "i"]).assign(run=lambda x: x.groupby("ticker").q.cumsum()).sort_values("i")
-    assert (got["run"].to_numpy() == want["run"].to_numpy()).all()
-
-
 def _lots(seed, n=1500):
     rng = np.random.default_rng(seed)
     side = np.where(rng.random(n) < 0.5, "sell", "buy")
