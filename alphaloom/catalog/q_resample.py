@@ -63,8 +63,11 @@ def _placebo(t):
     return S.memo(t, "placebo", make)
 
 
+_DRAW = "(((((42*611953+{0}*1000003+{1}*7919+{2}*104729)%2147483647)*48271)%2147483647)*69621%2147483647+0.5)/2147483647"
+
+
 @query("placebo_draws", "V2", f"""
-select 'trial'||trial as strategy, k, ticker, round((((((42*611953+trial*1000003+k*7919+ticker*104729)%2147483647)*48271)%2147483647)*69621%2147483647+0.5)/2147483647,8) as score from (select k, ticker, unnest(range({TRIALS})) as trial from panel)""", "panel")
+select 'trial'||trial as strategy, k, ticker, round(sqrt(-2*ln({_DRAW.format('trial','k','ticker')}))*cos(2*pi()*({_DRAW.format('ticker','trial','k')})),8) as score from (select k, ticker, unnest(range({TRIALS})) as trial from panel)""", "panel")
 def _(t):
     return RS.placebo_scores(S.panel(t), TRIALS).select("strategy", "k", "ticker", F.round("score", 8).alias("score"))
 
@@ -82,7 +85,16 @@ def _(t):
     return RS.t_test(t.ic).select("factor", "n", *r(["t_stat", "ic_ir"]))
 
 
-@query("ic_significance", "A26 V3 UD4")
+# Student's t with a whole number of degrees of freedom is a finite sum in the cosine of atan(t / sqrt(df))
+@query("ic_significance", "A26 V3 UD4", """
+, g as (select factor, count(*) as n, avg(ic)/(stddev_samp(ic)/sqrt(count(*))) as t, avg(ic)/(stddev_pop(ic)+1e-6) as ir from ic group by factor having count(*)>=6),
+ a as (select *, n-1 as df, atan(abs(t)/sqrt(n-1)) as th from g),
+ terms as (select factor, df, th, k, case when df%2=1 then sum(case when k<=1 then 0 else ln(2.0*(k-1)/(2*k-1)) end) over w else sum(case when k=0 then 0 else ln((2.0*k-1)/(2*k)) end) over w end as lc
+  from (select *, unnest(case when df%2=1 then range(1,(df-1)//2+1) else range(0,(df-2)//2+1) end) as k from a) window w as (partition by factor order by k)),
+ s as (select factor, sum(exp(lc)*pow(cos(th), case when df%2=1 then 2*k-1 else 2*k end)) as s from terms group by factor),
+ p as (select a.*, 1-case when df%2=1 then 2/pi()*(th+sin(th)*coalesce(s,0)) else sin(th)*s end as p from a left join s using (factor)),
+ q as (select *, row_number() over (order by p) as rk, count(*) over () as m from p)
+select factor, n, round(t,4) as t_stat, round(p,4) as p_value, round(ir,4) as ic_ir, p<=coalesce((select max(rk)*1.0/max(m)*0.10 from q where p<=rk*1.0/m*0.10),0) as bh_significant from q""", "ic")
 def _(t):
     return RS.factor_significance(t.ic).select("factor", "n", *r(["t_stat", "p_value", "ic_ir"]), "bh_significant")
 

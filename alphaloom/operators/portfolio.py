@@ -285,7 +285,7 @@ def optimize_portfolio(scores: DataFrame, returns: DataFrame, sectors: DataFrame
     rest = scores.join(done, keys, "left_anti").join(sectors.select("ticker", "sector"), "ticker", "left").select(
         *keys, "ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"),
         (1.0 / F.count("*").over(W.partitionBy(*keys))).alias("weight"))
-    return built.unionByName(rest)
+    return built.unionByName(rest).orderBy(*keys, F.desc("weight"), "ticker")
 
 
 # ---- changes between two portfolios ----

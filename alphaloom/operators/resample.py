@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.operators.scale import attach, ordered_counts
+
 ANN = 252.0 ** 0.5
 MOD = 2147483647
 
@@ -70,10 +72,12 @@ def bootstrap_summary(sims: DataFrame) -> DataFrame:
 
 
 def placebo_scores(panel: DataFrame, trials: int, seed: int = 42) -> DataFrame:
-    """Random score per (trial, rebalance, ticker): the placebo's only difference."""
+    """Standard normal score per (trial, rebalance, ticker), from two hash draws: the placebo's only difference."""
     x = panel.select("k", "ticker", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    u = (hash_draw(F.col("trial"), F.col("k"), F.col("ticker"), seed=seed) + 0.5) / MOD
-    return x.select(F.concat(F.lit("trial"), F.col("trial")).alias("strategy"), "k", "ticker", u.alias("score"))
+    # the parts change places, lest one draw be a shift of the other
+    u, v = ((hash_draw(*map(F.col, parts), seed=seed) + 0.5) / MOD for parts in (("trial", "k", "ticker"), ("ticker", "trial", "k")))
+    normal = F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * v)
+    return x.select(F.concat(F.lit("trial"), F.col("trial")).alias("strategy"), "k", "ticker", normal.alias("score"))
 
 
 def placebo_verdict(model: Column, p: Column, mean: Column) -> Column:
@@ -89,12 +93,13 @@ def placebo_summary(trial_sharpes: DataFrame, model: DataFrame) -> DataFrame:
 
     trial_sharpes: (sharpe); model: (series_id, model_sharpe).
     """
-    t = trial_sharpes.agg(F.collect_list("sharpe").alias("s"), F.avg("sharpe").alias("random_mean"), F.stddev_pop("sharpe").alias("random_std"),
+    t = trial_sharpes.agg(F.avg("sharpe").alias("random_mean"), F.stddev_pop("sharpe").alias("random_std"),
                           F.percentile("sharpe", 0.05).alias("random_p5"), F.percentile("sharpe", 0.95).alias("random_p95"),
-                          F.count("*").alias("n_trials")).withColumn("__one", F.lit(1))
-    j = model.withColumn("__one", F.lit(1)).join(t, "__one")
-    p = F.size(F.filter("s", lambda v: v >= F.col("model_sharpe"))) / F.col("n_trials")
-    return j.withColumn("p_value", p).drop("__one", "s").withColumn(
+                          F.count("*").alias("n_trials"))
+    pairs = model.crossJoin(F.broadcast(trial_sharpes.select("sharpe")))        # a few models by a fixed number of trials
+    beaten = pairs.groupBy("series_id").agg(F.count_if(F.col("sharpe") >= F.col("model_sharpe")).alias("__b"))
+    j = model.join(beaten, "series_id").crossJoin(F.broadcast(t))               # one row
+    return j.withColumn("p_value", F.col("__b") / F.col("n_trials")).drop("__b").withColumn(
         "verdict", placebo_verdict(F.col("model_sharpe"), F.col("p_value"), F.col("random_mean")))
 
 
@@ -158,18 +163,16 @@ def t_test(ic: DataFrame, by: str = "factor", value: str = "ic") -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, fdr: float = 0.05, p: str = "p_value", family: list[str] | None = None) -> DataFrame:
-    """Significance under false-discovery control within a family of tests.
+    """Significance under false-discovery control within a family of tests, of any size.
 
-    A family is a short list (factors); it is ranked in one window.
+    The cut is the largest p-value within its share of the rank, found over counts of distinct p-values.
     """
-    keys = family or []
-    w = W.partitionBy(*keys)
-    r = F.row_number().over(w.orderBy(p))
-    n = F.count("*").over(w)
-    x = tests.withColumn("__r", r).withColumn("__n", n)
-    k = F.max(F.when(F.col(p) <= F.col("__r") / F.col("__n") * fdr, F.col("__r"))).over(w)
-    x = x.withColumn("__cut", F.coalesce(k / F.col("__n") * fdr, F.lit(0.0)))
-    return x.withColumn("bh_significant", F.col(p) <= F.col("__cut")).drop("__r", "__n", "__cut")
+    keys = family or ["__all"]
+    x = tests if family else tests.withColumn("__all", F.lit(1))
+    o = ordered_counts(x.select(*keys, p), keys, p)
+    rank = F.col("__before") + F.col("__c")
+    cut = o.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(p) <= rank / F.col("__n") * fdr, rank)) / F.max("__n") * fdr, F.lit(0.0)).alias("__cut"))
+    return attach(x, cut, keys, "left").withColumn("bh_significant", F.col(p) <= F.col("__cut")).drop("__cut", "__all")
 
 
 def factor_significance(ic: DataFrame, fdr: float = 0.10, min_n: int = 6) -> DataFrame:

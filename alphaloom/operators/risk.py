@@ -36,8 +36,12 @@ def halt_intervals(breaches: DataFrame, days: int) -> DataFrame:
 
 
 def halted_at(rows: DataFrame, halts: DataFrame) -> DataFrame:
-    """Rows dated inside a halt window of their series (semi-join)."""
-    h = halts.select(F.col("series_id").alias("__s"), "halt_from", "halt_to")
+    """Rows dated inside a halt window of their series (semi-join); overlapping windows are merged first."""
+    own = W.partitionBy("series_id").orderBy("halt_from", "halt_to")
+    before = F.max("halt_to").over(own.rowsBetween(W.unboundedPreceding, -1))
+    runs = halts.select("series_id", "halt_from", "halt_to", F.when(F.col("halt_from") < before, 0).otherwise(1).alias("__new"))
+    h = (runs.withColumn("__run", F.sum("__new").over(own)).groupBy(F.col("series_id").alias("__s"), "__run")
+         .agg(F.min("halt_from").alias("halt_from"), F.max("halt_to").alias("halt_to")))
     return rows.join(h, (F.col("series_id") == F.col("__s")) & (F.col("d") > F.col("halt_from")) & (F.col("d") < F.col("halt_to")), "left_semi")
 
 

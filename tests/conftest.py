@@ -11,9 +11,12 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
+    from alphaloom.sources.storage import release
+
     s = (SparkSession.builder.master("local[*]").appName("tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
