@@ -12,8 +12,10 @@ ones).  Sets near the end of their band offer the cells of the next band's sketc
 2. Each document is verified against the partner with which it shares most cells, copies are linked by a 192-bit
    fingerprint of the set, and the links' components are built.
 3. In cells whose holders lie in several components, pairs across components are filtered by size and by the Hamming
-   distance of parity-bit sketches, in blocks of bounded size, and the rest verified.  Pairs within a component can't
-   change it, so large groups of near copies cost one check a document; no pair is left out, and none is sampled.
+   distance of parity-bit sketches, in blocks of bounded size.  What they allow to be linked is one cluster; the texts of
+   a cluster meet once (in pairs of blocks if it is large), and whole sets are compared across components.  Both steps
+   yield edges that span what they join, not pairs: rows grow with the documents of a group, not with its square.  Pairs
+   within a component can't change it; no other pair is left out, and none is sampled.
 
 Verification counts the common hashes of the two whole sets.
 
@@ -35,7 +37,8 @@ from alphaloom.llm.components import components
 
 WORDS = 5
 FLUSH = 1 << 20             # cells held by a task before they are sent
-BLOCK = 1024                # documents of a cell compared with each other at a time
+BLOCK = 1024                # documents of a cell or cluster on each side of a comparison
+BLOCK_SHINGLES = 500_000    # shingles of a cluster, likewise
 _U = np.uint64
 _EMPTY = _U(0x5851F42D4C957F2D)
 
@@ -140,9 +143,10 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 k, d = k[order], d[order]
                 same = k[1:] == k[:-1]
                 shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                if shared.any():
-                    out.append((spread, SHARED, k[shared].tobytes() + d[shared].tobytes()))
                 first = np.concatenate([[True], ~same])     # the first holder stands for the others
+                if shared.any():
+                    lead = d[first][np.cumsum(first) - 1]
+                    out.append((spread, SHARED, k[shared].tobytes() + d[shared].tobytes() + lead[shared].tobytes()))
                 k, d = k[first], d[first]
                 part = (k >> _U(48)).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
@@ -177,15 +181,15 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, kind int, payload binary")
 
 
-FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
+FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()),
                    ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.binary())])
 
 
 def _found(packed: DataFrame) -> DataFrame:
-    """ROWS unpacked, and SHARED rows (key, doc_id) of all cells with several holders."""
-    def holders(k, d):
+    """ROWS unpacked, and SHARED rows (key, doc_id, lead) of all cells with several holders, in a task or over all."""
+    def holders(k, d, lead):
         none = pa.nulls(len(k), pa.int64())
-        return batch(FOUND, kind=pa.array(np.full(len(k), SHARED, np.int32)), key=pa.array(k.view(np.int64)), doc_id=pa.array(d),
+        return batch(FOUND, kind=pa.array(np.full(len(k), SHARED, np.int32)), key=pa.array(k.view(np.int64)), doc_id=pa.array(d), lead=pa.array(lead),
                      n=none, f0=none, f1=none, sketch=pa.nulls(len(k), pa.binary()))
 
     def unpacked(raw):
@@ -193,7 +197,7 @@ def _found(packed: DataFrame) -> DataFrame:
         at = 8 + n * DOC.itemsize
         r = np.frombuffer(raw[8:at], DOC)
         ends = (np.cumsum(r["bytes"]) + at).tolist()
-        return batch(FOUND, kind=pa.array(np.full(n, ROWS, np.int32)), key=pa.nulls(n, pa.int64()),
+        return batch(FOUND, kind=pa.array(np.full(n, ROWS, np.int32)), key=pa.nulls(n, pa.int64()), lead=pa.nulls(n, pa.int64()),
                      **{c: pa.array(np.ascontiguousarray(r[f])) for c, f in (("doc_id", "doc"), ("n", "n"), ("f0", "f0"), ("f1", "f1"))},
                      sketch=[raw[e - b: e] for e, b in zip(ends, r["bytes"].tolist())])
 
@@ -204,8 +208,8 @@ def _found(packed: DataFrame) -> DataFrame:
                 if kind == ROWS:
                     yield unpacked(raw)
                 elif kind == SHARED:
-                    n = len(raw) // 16
-                    yield holders(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n))
+                    n = len(raw) // 24
+                    yield holders(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n))
                 else:
                     n = len(raw) // 14
                     low = np.zeros((n, 8), np.uint8)
@@ -215,13 +219,16 @@ def _found(packed: DataFrame) -> DataFrame:
         for part in list(keys):
             k, d = np.concatenate(keys.pop(part)), np.concatenate(docs.pop(part))
             order = np.argsort(k)
-            k = k[order]
+            k, d = k[order], d[order]
             same = k[1:] == k[:-1]
             multi = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(k) else same
             if multi.any():
-                yield holders(k[multi] | (_U(part) << _U(48)), d[order][multi])
+                k, d = k[multi], d[multi]
+                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                lead = np.repeat(np.minimum.reduceat(d, start), np.diff(np.append(start, len(k))))
+                yield holders(k | (_U(part) << _U(48)), d, lead)
 
-    return packed.mapInArrow(run, "kind int, key long, doc_id long, n long, f0 long, f1 long, sketch binary")
+    return packed.mapInArrow(run, "kind int, key long, doc_id long, lead long, n long, f0 long, f1 long, sketch binary")
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -279,62 +286,190 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(holders: DataFrame) -> DataFrame:
-    """Pairs across components among the holders (key, i, j, block, doc_id, comp, n, sketch) of a cell, block by block."""
-    def pairs(rows):
-        i, j = rows[0][5], rows[0][6]
-        left = [r for r in rows if r[4] == i]
-        right = left if i == j else [r for r in rows if r[4] == j]
-        n = np.array([r[2] for r in right])
-        comp, doc = np.array([r[1] for r in right]), np.array([r[0] for r in right])
-        by_len: dict[int, tuple[np.ndarray, dict]] = {}
-        size = np.array([len(r[3]) // 8 for r in right])
-        for w in set(size.tolist()):
-            own = np.flatnonzero(size == w)
-            m = np.stack([np.frombuffer(right[k][3], np.uint64) for k in own])
-            by_len[w] = (own, {w: m})
-        for r in left:
-            x = np.frombuffer(r[3], np.uint64)
-            for w, (own, folds) in by_len.items():
-                ok = (comp[own] != r[1]) & (doc[own] > r[0] if i == j else doc[own] != r[0])
-                ok &= 4 * np.minimum(n[own], r[2]) >= 3 * np.maximum(n[own], r[2])
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                k = min(w, len(x))
-                if k not in folds:
-                    m = folds[w]
-                    while m.shape[1] > k:
-                        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2:]
-                    folds[k] = m
-                far = np.bitwise_count(folds[k][at] ^ folded(x, k)).sum(axis=1)
-                for d in doc[own[at[7 * far <= n[own[at]] + r[2]]]].tolist():
-                    yield min(r[0], d), max(r[0], d)
+class _Joined:
+    """Groups of numbered things that grow together; ``label`` names each one's group."""
 
-    def run(batches):
-        now, rows, met = None, [], set()
+    def __init__(self, label: np.ndarray):
+        self.label = label.copy()
+
+    def join(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Join x with others; returns those of them that were the first of their group to be joined."""
+        own = self.label[x]
+        new, at = np.unique(self.label[others], return_index=True)
+        fresh = new != own
+        if fresh.any():
+            self.label[np.isin(self.label, new)] = own
+        return others[at[fresh]]
+
+
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows (.., block, i, j) stand on either side of their pair of blocks."""
+    block, i, j = np.array([r[-3] for r in rows]), rows[0][-2], rows[0][-1]
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
 
-        def flush():
-            met.update(pairs(rows) if rows else ())
-            if len(met) > FLUSH:
-                yield from send()
 
-        def send():
-            out = sorted(met)
-            met.clear()
-            yield batch(PAIR, a=[a for a, _ in out], b=[b for _, b in out])
+def _grouped(rows_of: DataFrame, key: list[str], columns: list[str], edges) -> DataFrame:
+    """Apply ``edges(rows)`` to the rows of each key, of which there are two blocks at most."""
+    k = len(key)
 
+    def run(batches):
+        now, rows = None, []
         for b in batches:
-            for key, i, j, block, doc, comp, n, sketch in zip(*(c.to_pylist() for c in b.columns)):
-                if (key, i, j) != now:
-                    yield from flush()
-                    now, rows = (key, i, j), []
-                rows.append((doc, comp, n, sketch, block, i, j))
-        yield from flush()
-        yield from send()
+            for r in zip(*(shingle_sets(b.column(n)) if name == "text" else b.column(n).to_pylist() for n, name in enumerate(columns))):
+                if r[:k] != now:
+                    if rows:
+                        yield from edges(rows)
+                    now, rows = r[:k], []
+                rows.append(r)
+        if rows:
+            yield from edges(rows)
+
+    dealt = rows_of.repartition(shuffle_partitions(rows_of.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.select(*columns).mapInArrow(run, "a long, b long").distinct()
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deal the rows (doc_id, blocks, ..) of a key to blocks, and every pair of blocks to a key of its own (i, j)."""
+    return (rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks"))
+
+
+GATHER = 8192               # holders whose cells are compared in one go
+
+
+def _bits_apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of the sketches of pairs; the longer one of a pair is folded."""
+    out = np.empty(len(x), np.int64)
+    kind = words[x] * (1 << 32) + words[y]
+    for w in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == w)
+        k = min(w >> 32, w & 0xFFFFFFFF)
+        for at in range(0, len(own), max(1, (1 << 21) // max(w >> 32, w & 0xFFFFFFFF))):
+            part = own[at: at + max(1, (1 << 21) // max(w >> 32, w & 0xFFFFFFFF))]
+            sides = []
+            for side, n in ((x[part], w >> 32), (y[part], w & 0xFFFFFFFF)):
+                m = flat[start[side][:, None] + np.arange(n)]
+                while m.shape[1] > k:
+                    m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2:]
+                sides.append(m)
+            out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+    return out
+
+
+def _spanned(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's group, for pairs among n things."""
+    low = np.arange(n)
+    while len(x):
+        m = np.minimum(low[x], low[y])
+        before = low.copy()
+        for side in (x, y):
+            np.minimum.at(low, before[side], m)
+            np.minimum.at(low, side, m)
+        low = low[low]
+        if (low == before).all():
+            break
+    return low
+
+
+def _near_groups(holders: DataFrame) -> DataFrame:
+    """Edges that span the groups of a cell's holders whose sizes and sketches allow links across components.
+
+    As many rows as holders at most, however many pairs there are.  The rows of many cells are compared with those 1, 2,
+    3, .. places on in their cell, all at once.
+    """
+    def edges(rows):
+        cols = [np.concatenate(c) for c in zip(*(r[0] for r in rows))]
+        code, doc, comp, n, block, i, j = cols
+        sketches = [x for r in rows for x in r[1]]
+        words = np.array([len(x) // 8 for x in sketches])
+        flat, start = np.frombuffer(b"".join(sketches), np.uint64), np.cumsum(words) - words
+        hit_x, hit_y = [], []
+        at, k = np.arange(len(code)), 1
+        while len(at := at[at + k < len(code)]) and len(at := at[code[at] == code[at + k]]):
+            x, y = at, at + k
+            ok = (comp[x] != comp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & ((i[x] == j[x]) | (block[x] != block[y]))
+            x, y = x[ok], y[ok]
+            if len(x):
+                near = 7 * _bits_apart(flat, start, words, x, y) <= n[x] + n[y]
+                hit_x.append(x[near])
+                hit_y.append(y[near])
+            k += 1
+        if not hit_x:
+            return
+        low = _spanned(len(code), np.concatenate(hit_x), np.concatenate(hit_y))
+        out = np.flatnonzero(low != np.arange(len(low)))
+        pairs = np.unique(np.stack([doc[low[out]], doc[out]]), axis=1) if len(out) else np.zeros((2, 0), np.int64)
+        yield batch(PAIR, a=pa.array(pairs[0]), b=pa.array(pairs[1]))
+
+    def run(batches):
+        held, size, last, code = [], 0, None, 0
+        for b in batches:
+            key = [b.column(c).to_numpy() for c in range(3)]
+            if not b.num_rows:
+                continue
+            new = np.concatenate([[last != tuple(c[0] for c in key)], np.any([c[1:] != c[:-1] for c in key], axis=0)])
+            last = tuple(c[-1] for c in key)
+            codes = code + np.cumsum(new)
+            code = int(codes[-1])
+            data = [codes, *(b.column(c).to_numpy() for c in (3, 4, 5, 7)), key[1], key[2]]
+            held.append((data, b.column(6).to_pylist()))
+            size += b.num_rows
+            # whole cells only: those before the last one seen
+            if size >= GATHER:
+                cols, sketches = [np.concatenate(c) for c in zip(*(r[0] for r in held))], [x for r in held for x in r[1]]
+                end = int(np.searchsorted(cols[0], code))
+                for a, z in _runs(cols[0][:end], GATHER):
+                    yield from edges([([c[a:z] for c in cols], sketches[a:z])])
+                held, size = [([c[end:] for c in cols], sketches[end:])], len(cols[0]) - end
+        if size:
+            cols, sketches = [np.concatenate(c) for c in zip(*(r[0] for r in held))], [x for r in held for x in r[1]]
+            for a, z in _runs(cols[0], GATHER):
+                yield from edges([([c[a:z] for c in cols], sketches[a:z])])
 
     dealt = holders.repartition(shuffle_partitions(holders.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "doc_id", "comp", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "doc_id", "comp", "n", "sketch", "block").mapInArrow(run, "a long, b long").distinct()
+
+
+def _runs(code: np.ndarray, size: int):
+    """Cut ascending codes into stretches of about ``size``, between different codes."""
+    at = 0
+    while at < len(code):
+        to = min(len(code), at + size)
+        to = len(code) if to == len(code) else max(int(np.searchsorted(code, code[to])), int(np.searchsorted(code, code[at], "right")))
+        yield at, to
+        at = to
+
+
+def _links_across(members: DataFrame) -> DataFrame:
+    """Links that span what whole sets join across components, among the members of a group."""
+    def edges(rows):
+        left, right = _sides(rows)
+        doc = np.array([r[3] for r in rows])
+        group = _Joined(np.unique(np.array([r[4] for r in rows]), return_inverse=True)[1])
+        n = np.array([len(r[5]) for r in rows])
+        _, ids = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True)
+        start = np.cumsum(n) - n
+        of_right = np.concatenate([ids[start[k]: start[k] + n[k]] for k in right])
+        edge = np.cumsum(n[right]) - n[right]
+        mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int32)
+        out = [], []
+        for x in left.tolist():
+            other = group.label[right] != group.label[x]
+            if not other.any():
+                continue
+            own = ids[start[x]: start[x] + n[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[of_right], edge)
+            mark[own] = 0
+            hit = right[other & (100 * common >= 75 * (n[right] + n[x] - common))]
+            for y in group.join(x, hit).tolist():
+                out[0].append(doc[x])
+                out[1].append(doc[y])
+        if out[0]:
+            yield batch(PAIR, a=pa.array(out[0], pa.int64()), b=pa.array(out[1], pa.int64()))
+
+    return _grouped(members, ["cluster", "i", "j"], ["cluster", "i", "j", "doc_id", "comp", "text", "block", "i", "j"], edges)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -346,7 +481,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     packed = _packed(whole, parts, words).repartitionById(parts, F.col("part"))
     found = stored(_found(packed), "cells", by="kind")
     rows = found.where(F.col("kind") == ROWS).select("doc_id", "n", "f0", "f1", "sketch")
-    held = found.where(F.col("kind") == SHARED).select("key", "doc_id")
+    held = found.where(F.col("kind") == SHARED).select("key", "doc_id", "lead")
 
     # copies of a set: linked to their first document
     mark = ["n", "f0", "f1"]
@@ -354,23 +489,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     copies = stored(rows.select("doc_id", *mark).join(first, mark).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
     held = held.join(copies.withColumnRenamed("a", "doc_id"), "doc_id", "left_anti")
 
-    # each document against the one with which it shares most cells
-    lead = stored(held.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead"), "leads")
-    shared = held.join(lead, "key").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
+    # each document against the lead with which it shares most cells, counted over every fourth cell: which one is tried
+    # first decides nothing, for all other pairs come in the last step
+    some = held.where("doc_id <> lead and pmod(key, 4) = 0")
+    shared = some.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m")).select((-F.col("m.l")).alias("a"), F.col("doc_id").alias("b"))
     links = _linked(_near(best, rows.select("doc_id", "n", "sketch")), whole, words)
     comps = components(links.unionAll(copies))
 
     # what is left: pairs across components in cells whose holders lie in several
     label = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    named = held.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    named = held.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed = stored(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
-    blocks = (named.join(mixed, "key").distinct().join(rows.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "doc_id")
-              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks"))
-    more = _linked(_cross_pairs(blocks), whole, words)
+    sketched = rows.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    near = components(_near_groups(_blocks(named.join(mixed, "key").distinct().join(sketched, "doc_id"))))
+    near = near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    near = near.join(label, "doc_id", "left").select("doc_id", "cluster", F.coalesce("comp", "doc_id").alias("comp")).join(sketched.drop("sketch"), "doc_id")
+    sizes = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = stored(_blocks(near.drop("n").join(sizes, "cluster")), "members")
+    more = _links_across(whole.join(members, "doc_id"))
     ends = more.join(label.withColumnRenamed("doc_id", "a").withColumnRenamed("comp", "c_a"), "a", "left")
     ends = ends.join(label.withColumnRenamed("doc_id", "b").withColumnRenamed("comp", "c_b"), "b", "left")
     merged = components(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))

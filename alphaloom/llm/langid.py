@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import batch, stored
+from alphaloom.llm.common import batch, stored, text_once
 
 PROFILE = 400
 FIT_DOCS = 2000
@@ -101,7 +101,7 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> Pro
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.count(F.lit(1))).alias("share"))
-    chosen = rows.join(F.broadcast(stored(share, "lang-shares")), "lang").where("u < share")     # one row a language
+    chosen = rows.join(stored(share, "lang-shares"), "lang").where("u < share")     # one row a language
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -126,7 +126,6 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> Pro
 
     sums = chosen.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     lists: dict[str, list[int]] = {}
-    from pyspark.sql import Window
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     for name, code in sums.withColumn("r", first).where(F.col("r") <= size).orderBy("lang", "r").select("lang", "code").collect():
         lists.setdefault(name, []).append(code)
@@ -137,6 +136,7 @@ def identified(docs: DataFrame, profiles: Profiles, carry: list[str] | None = No
     """doc_id, lang_pred, score of each whole text, beside the columns named by ``carry``."""
     carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    rows_in, place = text_once(docs, carry)
     own = {"doc_id": "long", "lang_pred": "string", "score": "double"}
     new = [c for c in own if c not in carry]
 
@@ -145,12 +145,12 @@ def identified(docs: DataFrame, profiles: Profiles, carry: list[str] | None = No
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 p = b.slice(at, ROWS)
-                got = [prof.predict(t) for t in p.column(1).to_pylist()]
+                got = [prof.predict(t) for t in p.column(place).to_pylist()]
                 made = {"doc_id": p.column(0), "lang_pred": pa.array([g for g, _ in got], pa.string()), "score": pa.array([s for _, s in got], pa.float64())}
-                yield pa.RecordBatch.from_arrays([p.column(2 + k) for k in range(len(carry))] + [made[c] for c in new], names=[*carry, *new])
+                yield pa.RecordBatch.from_arrays([p.column(1 + k) for k in range(len(carry))] + [made[c] for c in new], names=[*carry, *new])
 
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.select(*carry).schema if carry else [])] + [f"{c} {own[c]}" for c in new]
-    return docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *[F.col(c) for c in carry]).mapInArrow(run, ", ".join(ddl))
+    return rows_in.mapInArrow(run, ", ".join(ddl))
 
 
 def held_out(doc_id: Column) -> Column:
