@@ -11,9 +11,10 @@ import os
 
 import numpy as np
 
-MEMO = 700_000          # chunks a worker remembers before it starts anew
+from alphaloom.llm.common import resident
+
+MEMO = 500_000          # chunks a worker remembers before it starts anew
 GROUP = 64              # texts whose unseen chunks are encoded together
-_LOADED: dict[int, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -43,9 +44,6 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         memo = self.memo
-        if len(memo) + len(chunks) > self.limit:
-            memo.clear()
-            memo[""] = b""
         plain, pointed, odd = set(), [], []
         for c in chunks:
             if c and (c.isascii() or _latin(c)) and c == c.lower():
@@ -99,9 +97,11 @@ class ChunkEncoder:
             rows.append((t.lower() if _latin(t) else t).replace("\n", " ").split(" "))
             seen.update(rows[-1])
         if new := seen.difference(memo):
+            if len(memo) + len(new) > self.limit:       # start anew, with what these texts need
+                memo.clear()
+                memo[""] = b""
+                new = seen
             self._learn(new)
-            if not memo.keys() >= seen:      # the memo started anew
-                self._learn(seen.difference(memo))
         return [np.frombuffer(r if isinstance(r, bytes) else b"".join([memo[c] for c in r]), self.dtype) for r in rows]
 
 
@@ -121,10 +121,8 @@ def _drops_spaces(tok, specials: list[str]) -> bool:
 
 
 def load(key: int, source) -> ChunkEncoder:
-    """The worker's encoder for a broadcast vocabulary; ``source`` is called once per worker."""
-    if key not in _LOADED:
-        _LOADED[key] = ChunkEncoder(source())
-    return _LOADED[key]
+    """The worker's encoder for a broadcast vocabulary; ``source`` is called when the worker has none."""
+    return resident(("words", key), lambda: ChunkEncoder(source()))
 
 
 def read_vocabulary(path: str) -> bytes:
