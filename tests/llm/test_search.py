@@ -75,7 +75,7 @@ def test_nearest(spark, sf_dir):
 
 def test_nearest_odd(spark):
     rng = np.random.default_rng(2)
-    vecs = {i: rng.standard_normal(8).astype(np.float32) for i in range(300)} | {i: np.ones(8, np.float32) for i in range(300, 400)}
+    vecs = {i: rng.standard_normal(8).astype(np.float32) for i in range(300)} | {i: 3 * np.ones(8, np.float32) for i in range(300, 400)}
     bad = [(None, [1.0] * 8), (900, None), (920, [0.0] * 8), (940, [float("nan")] * 8), (960, [float("inf")] * 8), (980, [None] + [1.0] * 7), (1000, [1.0])]
     rows = [(i, [float(x) for x in v], 1) for i, v in vecs.items()] + [(i, v, 1) for i, v in bad] + [(20, [float(x) for x in vecs[20]], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int")
