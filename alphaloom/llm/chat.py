@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import batch, shuffle_partitions, stored
+from alphaloom.llm.common import batch, resident, shuffle_partitions, stored
 from alphaloom.llm.wordbpe import read_vocabulary
 
 # fixed values: the template's control strings, in the order of their reserved ids
@@ -35,7 +35,6 @@ ROLES = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system":
 OTHER = ("[ROLE]", "[/ROLE]")
 
 _ESCAPE = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROLS))
-_LOADED: dict[int, "Template"] = {}
 
 
 def escape(text: str) -> str:
@@ -90,12 +89,7 @@ def _template(spark, vocabulary: str, pattern: str):
     source = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     key = zlib.crc32(source.value)
 
-    def get() -> Template:
-        if key not in _LOADED:
-            _LOADED[key] = Template(source.value, pattern)
-        return _LOADED[key]
-
-    return get
+    return lambda: resident(("chat", key), lambda: Template(source.value, pattern))
 
 
 TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("n_tokens", pa.int64()),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alphaloom.sources.storage import scratch_path
 
@@ -31,3 +32,28 @@ def binary(rows: list[bytes]) -> pa.Array:
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     arrays = [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in schema]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+_resident: dict = {}
+
+
+def resident(key: tuple, make):
+    """A worker's large object, kept from task to task; only the last one asked for stays in memory."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Give up what an earlier stage's tasks have kept in this worker."""
+    _resident.clear()
+
+
+def text_once(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
+    """(doc_id, carried columns, text) with the text sent once, and the place of the text column."""
+    twice = "text" in carry and dict(docs.dtypes)["text"] == "string"
+    cols = [F.col("doc_id").cast("long").alias("__id"), *[F.col(c) for c in carry]]
+    if not twice:
+        cols.append(F.col("text").cast("string").alias("__text"))
+    return docs.select(*cols), 1 + (carry.index("text") if twice else len(carry))

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm import scan
-from alphaloom.llm.common import batch, shuffle_partitions, stored
+from alphaloom.llm.common import batch, shuffle_partitions, stored, vacate
 from alphaloom.llm.components import components
 
 WORDS = 5
-FLUSH = 1 << 20             # cells held by a task before they are sent
+FLUSH = 1 << 19             # cells held by a task before they are sent
 BLOCK = 1024                # documents of a cell or cluster on each side of a comparison
 BLOCK_SHINGLES = 500_000    # shingles of a cluster, likewise
 _U = np.uint64
@@ -129,6 +129,7 @@ LOW = _U(0xFFFFFFFFFFFF)
 def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
     """CELLS: cells by part of the key space; SHARED: cells with several holders in this task; ROWS: the documents."""
     def run(batches):
+        vacate()
         keys, owner, rows, sketches, room, seen = [], [], [], [], 0, set()
 
         def flush():
@@ -202,6 +203,7 @@ def _found(packed: DataFrame) -> DataFrame:
                      sketch=[raw[e - b: e] for e, b in zip(ends, r["bytes"].tolist())])
 
     def run(batches):
+        vacate()
         keys, docs = {}, {}
         for b in batches:
             for part, kind, raw in zip(*(c.to_pylist() for c in b.columns)):
@@ -244,6 +246,7 @@ def _apart(sketch_a: bytes, sketch_b: bytes) -> int:
 def _near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs that sizes and sketches don't rule out."""
     def run(batches):
+        vacate()
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             keep = [4 * min(m, n) >= 3 * max(m, n) and 7 * _apart(x, y) <= m + n for m, x, n, y in zip(*cols[2:])]
@@ -263,6 +266,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     The texts of a's partners come to a, split over several copies of a where they are many, and are read one at a time.
     """
     def run(batches):
+        vacate()
         lead, own = None, []
         for b in batches:
             hit = [], []
@@ -313,6 +317,7 @@ def _grouped(rows_of: DataFrame, key: list[str], columns: list[str], edges) -> D
     k = len(key)
 
     def run(batches):
+        vacate()
         now, rows = None, []
         for b in batches:
             for r in zip(*(shingle_sets(b.column(n)) if name == "text" else b.column(n).to_pylist() for n, name in enumerate(columns))):
@@ -345,8 +350,8 @@ def _bits_apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.nd
     for w in np.unique(kind).tolist():
         own = np.flatnonzero(kind == w)
         k = min(w >> 32, w & 0xFFFFFFFF)
-        for at in range(0, len(own), max(1, (1 << 21) // max(w >> 32, w & 0xFFFFFFFF))):
-            part = own[at: at + max(1, (1 << 21) // max(w >> 32, w & 0xFFFFFFFF))]
+        for at in range(0, len(own), max(1, (1 << 18) // max(w >> 32, w & 0xFFFFFFFF))):
+            part = own[at: at + max(1, (1 << 18) // max(w >> 32, w & 0xFFFFFFFF))]
             sides = []
             for side, n in ((x[part], w >> 32), (y[part], w & 0xFFFFFFFF)):
                 m = flat[start[side][:, None] + np.arange(n)]
@@ -403,6 +408,7 @@ def _near_groups(holders: DataFrame) -> DataFrame:
         yield batch(PAIR, a=pa.array(pairs[0]), b=pa.array(pairs[1]))
 
     def run(batches):
+        vacate()
         held, size, last, code = [], 0, None, 0
         for b in batches:
             key = [b.column(c).to_numpy() for c in range(3)]
@@ -522,6 +528,7 @@ def _sizes(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("component_id", pa.int64())])
 
     def run(batches):
+        vacate()
         for b in batches:
             yield batch(schema, doc_id=b.column(0), n_shingles=[len(s) for s in shingle_sets(b.column(1), words)], component_id=b.column(0))
     return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import batch, stored, text_once
+from alphaloom.llm.common import batch, stored, text_once, vacate
 
 PROFILE = 400
 FIT_DOCS = 2000
@@ -105,6 +105,7 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> Pro
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
+        vacate()
         total: dict[str, list] = {}
 
         def packed(name):
@@ -141,6 +142,7 @@ def identified(docs: DataFrame, profiles: Profiles, carry: list[str] | None = No
     new = [c for c in own if c not in carry]
 
     def run(batches):
+        vacate()
         prof = shared.value
         for b in batches:
             for at in range(0, b.num_rows, ROWS):

@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import batch
+from alphaloom.llm.common import batch, resident
 from alphaloom.llm.wordbpe import read_vocabulary
 
 MARK = "▁"
-MEMO = 500_000          # segments, and as many pairs, a worker remembers before it starts anew
+MEMO = 200_000          # segments, and as many pairs, a worker remembers before it starts anew
 ROWS = 256
-_LOADED: dict[int, "PieceCodec"] = {}
 
 
 class PieceCodec:
@@ -178,10 +177,8 @@ class PieceCodec:
 
 
 def load(key: int, model) -> PieceCodec:
-    """The worker's codec for a broadcast model; ``model`` is called once per worker."""
-    if key not in _LOADED:
-        _LOADED[key] = PieceCodec(model())
-    return _LOADED[key]
+    """The worker's codec for a broadcast model; ``model`` is called when the worker has none."""
+    return resident(("pieces", key), lambda: PieceCodec(model()))
 
 
 def encoded(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame:
