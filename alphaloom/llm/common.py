@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +40,24 @@ def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
 _resident: dict = {}
 
 
+def vacate() -> None:
+    """Give up what earlier tasks have kept in this worker, back to the system where the C library can."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def resident(key: tuple, make):
     """A worker's large object, kept from task to task; only the last one asked for stays in memory."""
     if key not in _resident:
-        _resident.clear()
+        vacate()
         _resident[key] = make()
     return _resident[key]
 
 
-def vacate() -> None:
-    """Give up what an earlier stage's tasks have kept in this worker."""
-    _resident.clear()
-
-
 def text_once(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
     """(doc_id, carried columns, text) with the text sent once, and the place of the text column."""
     twice = "text" in carry and dict(docs.dtypes)["text"] == "string"

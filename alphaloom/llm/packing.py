@@ -28,9 +28,10 @@ from alphaloom.llm.common import batch
 
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
-POOL_IDS = 1 << 21           # ids gathered before the pool is packed
+POOL_IDS = 1 << 20           # ids gathered before the pool is packed
 STEP_IDS = 1 << 16           # ids of a step group
 ROWS = 256
+MEMO = 200_000               # chunks a worker remembers, beside the pool
 
 
 class Pool:
@@ -126,7 +127,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, tiers: tuple[
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        enc = wordbpe.load(key, lambda: source.value.decode())
+        enc = wordbpe.load(key, lambda: source.value.decode(), MEMO)
         tail = np.array([end_id], enc.dtype)
         pool, whole, count, steps = Pool(), [], 0, 0
 

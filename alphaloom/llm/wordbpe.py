@@ -120,9 +120,9 @@ def _drops_spaces(tok, specials: list[str]) -> bool:
     return parts == tok.encode(probe, add_special_tokens=False).ids
 
 
-def load(key: int, source) -> ChunkEncoder:
+def load(key: int, source, memo: int = MEMO) -> ChunkEncoder:
     """The worker's encoder for a broadcast vocabulary; ``source`` is called when the worker has none."""
-    return resident(("words", key), lambda: ChunkEncoder(source()))
+    return resident(("words", key, memo), lambda: ChunkEncoder(source(), memo))
 
 
 def read_vocabulary(path: str) -> bytes:
