@@ -493,19 +493,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     mark = ["n", "f0", "f1"]
     first = stored(rows.where("n > 0").groupBy(*mark).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "copies")
     copies = stored(rows.select("doc_id", *mark).join(first, mark).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
-    held = held.join(copies.withColumnRenamed("a", "doc_id"), "doc_id", "left_anti")
+    # a copy that holds cells holds them for the set's first document
+    held = held.join(copies.select(F.col("a").alias("doc_id"), F.col("b").alias("first")), "doc_id", "left")
 
     # each document against the lead with which it shares most cells, counted over every fourth cell: which one is tried
     # first decides nothing, for all other pairs come in the last step
-    some = held.where("doc_id <> lead and pmod(key, 4) = 0")
+    some = held.where("doc_id <> lead and pmod(key, 4) = 0").select(F.coalesce("first", "doc_id").alias("doc_id"), "lead")
     shared = some.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
+    leads = shared.join(copies.select(F.col("a").alias("lead"), F.col("b").alias("first")), "lead", "left")
+    shared = leads.select("doc_id", F.coalesce("first", "lead").alias("lead"), "n").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.sum("n").alias("n"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m")).select((-F.col("m.l")).alias("a"), F.col("doc_id").alias("b"))
     links = _linked(_near(best, rows.select("doc_id", "n", "sketch")), whole, words)
     comps = components(links.unionAll(copies))
 
     # what is left: pairs across components in cells whose holders lie in several
     label = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    named = held.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    named = held.select("key", "doc_id", "first").join(label, "doc_id", "left").select("key", F.coalesce("first", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
     mixed = stored(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
     sketched = rows.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])

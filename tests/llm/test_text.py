@@ -78,6 +78,16 @@ def test_components_of_hard_cases(spark, block, monkeypatch):
     assert result(got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("order", [(1, 30, 10, 40), (40, 30, 10, 1), (30, 40, 1, 10), (10, 1, 30, 40)])
+def test_components_of_unordered_copies(spark, order):
+    """Copies 10 and 30, near copies with a smaller and a larger doc_id, in one task in any order."""
+    words = [f"w{i}" for i in range(80)]
+    docs = {1: " ".join([*words[:-1], "x"]), 10: " ".join(words), 30: " ".join(words), 40: " ".join(["y", *words[1:]])}
+    rows = [(i, docs[i]) for i in order] + [(100 + i, f"stranger {i} " + " ".join(f"s{i}_{k}" for k in range(30))) for i in order]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert result(got) == brute_components(sorted(rows))
+
+
 def test_components_odd(spark, odd_docs):
     got = [tuple(r) for r in jaccard.near_duplicates(odd_docs).collect()]
     by = {i: (n, c) for i, n, c in got}
