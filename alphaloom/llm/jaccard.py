@@ -273,6 +273,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             for a, part, role, doc, s in zip(*(b.column(k).to_pylist() for k in range(4)), shingle_sets(b.column(4), words)):
                 if (a, part) != lead:
                     lead, own = (a, part), []
+                if not len(s):      # another text of the doc_id
+                    continue
                 if role == 0:
                     own.append(s)
                 elif any(similar(len(np.intersect1d(s, x, assume_unique=True)), len(s), len(x)) for x in own):
@@ -450,7 +452,10 @@ def _runs(code: np.ndarray, size: int):
 def _links_across(members: DataFrame) -> DataFrame:
     """Links that span what whole sets join across components, among the members of a group."""
     def edges(rows):
-        left, right = _sides(rows)
+        rows = [r for r in rows if len(r[5])]       # a repeated doc_id brings all its texts
+        left, right = _sides(rows) if rows else ((), ())
+        if not len(left) or not len(right):
+            return
         doc = np.array([r[3] for r in rows])
         group = _Joined(np.unique(np.array([r[4] for r in rows]), return_inverse=True)[1])
         n = np.array([len(r[5]) for r in rows])
@@ -493,14 +498,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     mark = ["n", "f0", "f1"]
     first = stored(rows.where("n > 0").groupBy(*mark).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "copies")
     copies = stored(rows.select("doc_id", *mark).join(first, mark).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
-    # a copy that holds cells holds them for the set's first document
-    held = held.join(copies.select(F.col("a").alias("doc_id"), F.col("b").alias("first")), "doc_id", "left")
+    # a copy that holds cells holds them for the set's first document, unless its doc_id has other sets too
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*mark)).alias("lo"), F.max(F.struct(*mark)).alias("hi")).where("lo < hi").select("doc_id")
+    stands = stored(copies.join(several, copies["a"] == several["doc_id"], "left_anti"), "stands")
+    held = held.join(stands.select(F.col("a").alias("doc_id"), F.col("b").alias("first")), "doc_id", "left")
 
     # each document against the lead with which it shares most cells, counted over every fourth cell: which one is tried
     # first decides nothing, for all other pairs come in the last step
     some = held.where("doc_id <> lead and pmod(key, 4) = 0").select(F.coalesce("first", "doc_id").alias("doc_id"), "lead")
     shared = some.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
-    leads = shared.join(copies.select(F.col("a").alias("lead"), F.col("b").alias("first")), "lead", "left")
+    leads = shared.join(stands.select(F.col("a").alias("lead"), F.col("b").alias("first")), "lead", "left")
     shared = leads.select("doc_id", F.coalesce("first", "lead").alias("lead"), "n").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.sum("n").alias("n"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m")).select((-F.col("m.l")).alias("a"), F.col("doc_id").alias("b"))
     links = _linked(_near(best, rows.select("doc_id", "n", "sketch")), whole, words)
@@ -511,12 +518,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     named = held.select("key", "doc_id", "first").join(label, "doc_id", "left").select("key", F.coalesce("first", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
     mixed = stored(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
-    sketched = rows.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    sketched = rows.where("n > 0").select("doc_id", "n", "sketch").distinct()       # all sets of a repeated doc_id
     near = components(_near_groups(_blocks(named.join(mixed, "key").distinct().join(sketched, "doc_id"))))
     near = near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     near = near.join(label, "doc_id", "left").select("doc_id", "cluster", F.coalesce("comp", "doc_id").alias("comp")).join(sketched.drop("sketch"), "doc_id")
     sizes = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = stored(_blocks(near.drop("n").join(sizes, "cluster")), "members")
+    members = stored(_blocks(near.drop("n").distinct().join(sizes, "cluster")), "members")
     more = _links_across(whole.join(members, "doc_id"))
     ends = more.join(label.withColumnRenamed("doc_id", "a").withColumnRenamed("comp", "c_a"), "a", "left")
     ends = ends.join(label.withColumnRenamed("doc_id", "b").withColumnRenamed("comp", "c_b"), "b", "left")

@@ -88,6 +88,15 @@ def test_components_of_unordered_copies(spark, order):
     assert result(got) == brute_components(sorted(rows))
 
 
+def test_components_of_repeated_ids(spark):
+    """Rows of a doc_id with different texts, some of them empty, share a component; every text counts."""
+    rows = variants()
+    ids = [i for i, _ in rows]
+    rows += [(i, " ".join(f"z{w}" for w in t.split())) for i, (_, t) in zip(ids[1::2], rows)] + [(i, "") for i in ids[::3]] + [(i, None) for i in ids[-2:]]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert result(got) == brute_components(rows)
+
+
 def test_components_odd(spark, odd_docs):
     got = [tuple(r) for r in jaccard.near_duplicates(odd_docs).collect()]
     by = {i: (n, c) for i, n, c in got}
