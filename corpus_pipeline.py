@@ -33,8 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the boilerplate lines of their source."""
+    """All documents without the boilerplate lines of their source and, by length, of its pages in their language."""
     kept = line_dedup.drop_boilerplate(docs, host="source")
+    section = F.concat("source", F.lit("\n"), F.coalesce("lang", F.lit("")))
+    kept = line_dedup.drop_boilerplate(kept.withColumn("__section", section), host="__section", by_length=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

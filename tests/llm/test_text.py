@@ -194,3 +194,15 @@ def test_lines(spark, odd_docs):
     assert got[5]["text"] == "own 5\n" and got[90]["text"] == "menu\nalone" and got[91]["text"] is None and got[92]["text"] == "menu"
     assert line_dedup.drop_boilerplate(odd_docs, "source").count() == odd_docs.count()
     assert line_dedup.drop_boilerplate(odd_docs.where("false"), "source").count() == 0
+
+
+def test_lines_of_a_language(spark):
+    """A line on every fifth French page of a site that is mostly English goes; short lines and rare ones stay."""
+    import corpus_pipeline
+    menu, rare = "Tous les droits sont ici et encore reserves", "Une phrase qui ne se trouve que sur trois pages"
+    rows = [(i, f"own {i}" + (f"\n{menu}\nOui." if i % 5 == 0 else "") + (f"\n{rare}" if i < 3 else ""), "fr", "s", 0) for i in range(40)]
+    rows += [(100 + i, f"english {i}", "en", "s", 0) for i in range(300)] + [(500, menu, "fr", None, 0), (501, menu, None, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, df, "").collect()}
+    want = {r[0]: r[1].replace(f"\n{menu}", "") if r[0] < 40 else r[1] for r in rows}
+    assert got == want
