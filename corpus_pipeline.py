@@ -41,13 +41,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; documents without a doc_id stay."""
-    groups = stored(jaccard.near_duplicates(docs), "groups").where("doc_id is not null")
-    gone = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    repeated = stored(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    stay = docs.join(gone, "doc_id", "left_anti")
-    once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """One document of each group: the one with the smallest doc_id; documents without a doc_id stay.
+
+    Rows count by a key of their own: of a repeated doc_id, rows go only if their texts are linked or equal.
+    """
+    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    named = keyed.where("doc_id is not null")
+    groups = stored(jaccard.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text")), "groups")
+    bare = groups.where("n_shingles = 0").select(F.col("doc_id").alias("__row"))
+    members = groups.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id").join(named.select("__row", "doc_id"), "__row")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = stored(members.join(first, "component_id").where("__row <> m.__row").select("__row").unionAll(bare), "gone")
+    once = named.join(bare, "__row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return keyed.join(gone, "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,12 @@ def test_pipeline_odd(spark, odd_docs):
             stage(spark, docs, "").collect()
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, odd_docs, "").collect()]
     assert kept.count(5) == 1 and None in kept and 6 not in kept and 8 not in kept
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of a doc_id with texts of their own stay; copies and near copies among them go."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (5, b), (5, c), (5, a), (7, b + " end"), (7, b + " end"), (8, ""), (8, ""), (8, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (5, c), (8, ""), (8, None), (None, a)], key=str)
