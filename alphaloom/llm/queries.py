@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import chat, fertility, jaccard, langid, line_dedup, nndescent, packing, piece_codec, simhash, tokenfile, warc
+from alphaloom.llm import chat, fertility, jaccard, langid, line_dedup, nndescent, packing, piece_codec, prefix_trie, simhash, tokenfile, warc
 from alphaloom.llm.common import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -66,8 +66,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_piece_codec, op4_ngram_jaccard, op5_nearest, op6_fertility, op7_chat, op8_language, op9_packing, op10_token_files,
-                                  op11_simhash)}
+                                  op11_simhash, op12_prefix_trie)}
 SQL: dict[str, str] = {"op1_line_dedup": f"""
     with pages as (select row_number() over () as rid, doc_id, source, text, string_split(text, chr(10)) as lines from documents),
     lined as (select distinct rid, source, unnest(lines) as line from pages where source is not null),

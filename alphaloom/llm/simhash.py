@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import batch, shuffle_partitions, stored, vacate
 from alphaloom.llm.components import components
+from alphaloom.llm.hot import is_hot, lookup
 
 WORDS = 3
 SEED = 42
 MOST_APART = 2
 BLOCK = 1024                # fingerprints of a group on each side of a comparison
 GATHER = 1 << 15            # rows compared in one go
-HOT_SHARE = 64              # copies of a fingerprint are joined apart from one part in so many of all rows
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -182,10 +182,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of = stored(of, "members")
     tops = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named_class = stored(of.join(tops, "component").select("fp", "n", "component_id"), "components")
-    # at most HOT_SHARE fingerprints have so many rows: those need no shuffle
-    rows = named.count()
-    common = F.broadcast(named_class.where(F.col("n") * HOT_SHARE > rows).select("fp", "component_id"))
-    rare = named_class.where(F.col("n") * HOT_SHARE <= rows).select("fp", "component_id")
-    out = named.join(common, "fp").unionByName(named.join(common, "fp", "left_anti").join(rare, "fp"))
+    out = lookup(named, named_class, ["fp"], is_hot("n", named.count())).drop("n")
     out = out.unionByName(prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
