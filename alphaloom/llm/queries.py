@@ -95,8 +95,8 @@ SQL: dict[str, str] = {"op1_line_dedup": f"""
     cand as (select lang, w, k, c as a from f where k > 1 and c >= {collocations.LEAST}),
     inner_ as (select distinct lang, list_slice(w, i, i + j - 1) as w, a as m from (select lang, w, a, j, unnest(range(1, k - j + 2)) as i from (select lang, w, a, k, unnest(range(2, k)) as j from cand))),
     kept as (select c.* from cand c where not exists (select 1 from inner_ x where x.lang = c.lang and x.w = c.w and 100 * x.m >= 100 * c.a)),
-    cuts as (select kept.lang, kept.w, a, n, p, l.c as l, r.c as r, (1000::hugeint * a * n) // (l.c::hugeint * r.c) as score from (select *, unnest(range(1, k)) as p from kept) kept join totals on totals.lang = kept.lang
-             join f l on l.lang = kept.lang and l.w = list_slice(kept.w, 1, p) join f r on r.lang = kept.lang and r.w = list_slice(kept.w, p + 1, k)),
+    cuts as (select kept.lang, kept.w, a, n, p, l.c as l, r.c as r, (1000::hugeint * a * n) // (l.c::hugeint * r.c) as score from (select lang, w, a, k as len_w, unnest(range(1, k)) as p from kept) kept join totals on totals.lang = kept.lang
+             join f l on l.lang = kept.lang and l.w = list_slice(kept.w, 1, p) join f r on r.lang = kept.lang and r.w = list_slice(kept.w, p + 1, len_w)),
     best as (select * from cuts qualify row_number() over (partition by lang, w order by score, p) = 1)
     select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from (
       select *, array_to_string(w, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(w, ' ')) as rank from best) where rank <= {collocations.TOP}"""}
