@@ -18,8 +18,8 @@ def _ordered(t):
 
 
 cte("wm", "select max(ts) - interval '1' hour as w from events")
-# rows that the state machines have applied: those the last watermark (in milliseconds) has passed
-cte("seen", "select * from events where epoch_ms(ts) <= (select epoch_ms(w) from wm)", "wm")
+# the state machines run to the last event, in milliseconds
+cte("stop", "select max(epoch_ms(ts)) as ms from events")
 
 
 @query("stream_bars", "ST1", """
@@ -60,45 +60,48 @@ def _(t):
 
 
 @query("stream_position_exits", "ST5 UD5", """
-, q as (select user_id as ticker, ts, value as price, row_number() over (partition by user_id order by ts, event_id) as j from seen where value>0)
+, q as (select user_id as ticker, ts, value as price, row_number() over (partition by user_id order by ts, event_id) as j from events where value>0)
 select ticker, entry_ts, exit_ts, round(entry_price,4) as entry_price, round(exit_price,4) as exit_price, round(peak_price,4) as peak_price, reason from (
  with recursive st as (
-  select ticker, j, price as entry, price as peak, ts as opened, cast(null as timestamp) as entry_ts, cast(null as timestamp) as exit_ts, cast(null as double) as entry_price, cast(null as double) as exit_price, cast(null as double) as peak_price, cast(null as varchar) as reason from q where j=1
+  select ticker, j, price as entry, price as peak, ts as opened, price as last, cast(null as timestamp) as entry_ts, cast(null as timestamp) as exit_ts, cast(null as double) as entry_price, cast(null as double) as exit_price, cast(null as double) as peak_price, cast(null as varchar) as reason from q where j=1
   union all
-  select ticker, j, case when entry is null then price when why is null then entry end, case when entry is null then price when why is null then pk end, case when entry is null then ts when why is null then opened end,
-   case when why is not null then opened end, case when why is not null then ts end, case when why is not null then entry end, case when why is not null then price end, case when why is not null then pk end, why
-  from (select *, case when entry is not null and epoch_us(ts)-epoch_us(opened)>=72*3600000000 then case when epoch_us(ts)-epoch_us(opened)>=1440*3600000000 then 'max_hold' when (price-entry)/entry>=0.12 then 'profit_target' when (price-entry)/entry<=-0.05 then 'stop_loss' end end as why
-   from (select q.ticker, q.j, q.ts, q.price, st.entry, st.opened, greatest(st.peak, q.price) as pk from st join q on q.ticker=st.ticker and q.j=st.j+1)))
- select * from st) where reason is not null""", "seen")
+  select ticker, j, case when timer or entry is null then price when why is null then entry end, case when timer or entry is null then price when why is null then pk end, case when timer or entry is null then ts when why is null then opened end, price,
+   case when timer or why is not null then opened end, case when timer then opened + interval '1440' hour when why is not null then ts end, case when timer or why is not null then entry end,
+   case when timer then last when why is not null then price end, case when timer then peak when why is not null then pk end, case when timer then 'max_hold' else why end
+  from (select *, case when not timer and entry is not null and epoch_us(ts)-epoch_us(opened)>=72*3600000000 then case when epoch_us(ts)-epoch_us(opened)>=1440*3600000000 then 'max_hold' when (price-entry)/entry>=0.12 then 'profit_target' when (price-entry)/entry<=-0.05 then 'stop_loss' end end as why
+   from (select q.ticker, q.j, q.ts, q.price, st.entry, st.opened, st.last, st.peak, greatest(st.peak, q.price) as pk, coalesce(epoch_us(q.ts)-epoch_us(st.opened)>1440*3600000000, false) as timer from st join q on q.ticker=st.ticker and q.j=st.j+1)))
+ select ticker, entry_ts, exit_ts, entry_price, exit_price, peak_price, reason from st where reason is not null
+ union all select ticker, opened, opened + interval '1440' hour, entry, last, peak, 'max_hold' from (select * from st qualify row_number() over (partition by ticker order by j desc)=1)
+  where entry is not null and epoch_ms(opened + interval '1440' hour)<=(select ms from stop))""", "stop")
 def _(t):
-    x = io.drain(ST.position_exits(_ordered(t)), "exits")
+    x = ST.settled(_ordered(t), ST.position_exits, "exits")
     return x.select("ticker", "entry_ts", "exit_ts", *[F.round(c, 4).alias(c) for c in ("entry_price", "exit_price", "peak_price")], "reason")
 
 
 @query("stream_circuit_breaker", "ST6 UD5", """
-, q as (select user_id as series_id, ts, 100+value as value, row_number() over (partition by user_id order by ts, event_id) as j from seen)
+, q as (select user_id as series_id, ts, 100+value as value, row_number() over (partition by user_id order by ts, event_id) as j from events)
 select series_id, ts, value, decision from (with recursive st as (
  select series_id, ts, j, value, value as peak, timestamp '1970-01-01' as until, 'ok' as decision from q where j=1
  union all select series_id, ts, j, value, pk, case when ts<until then until when loss then ts + interval '24' hour when dd then ts + interval '720' hour else until end,
   case when ts<until then 'halted' when loss then 'daily_loss' when dd then 'max_drawdown' else 'ok' end
  from (select q.series_id, q.ts, q.j, q.value, greatest(st.peak,q.value) as pk, st.until, (q.value-st.value)/st.value<-0.10 as loss, (q.value-greatest(st.peak,q.value))/(greatest(st.peak,q.value)+1e-10)<-0.20 as dd
-  from st join q on q.series_id=st.series_id and q.j=st.j+1)) select * from st)""", "seen")
+  from st join q on q.series_id=st.series_id and q.j=st.j+1)) select * from st)""", "")
 def _(t):
     v = _ordered(t).select(F.col("ticker").alias("series_id"), "ts", "seq", (100 + F.col("price")).alias("value"))
-    return io.drain(ST.circuit_breaker(v, 0.10, 0.20), "breaker")
+    return ST.settled(v, lambda x: ST.circuit_breaker(x, 0.10, 0.20), "breaker")
 
 
 @query("stream_factor_health", "ST7 UD5", """
-, q as (select event_type as factor, ts, value/100.0-0.3 as ir, row_number() over (partition by event_type order by ts, event_id) as j from seen)
+, q as (select event_type as factor, ts, value/100.0-0.3 as ir, row_number() over (partition by event_type order by ts, event_id) as j from events)
 select factor, ts, fails, off as disabled from (with recursive st as (
   select factor, ts, j, case when ir<0.1 then 1 else 0 end as fails, false as off from q where j=1
   union all select q.factor, q.ts, q.j, case when q.ir<0.1 then st.fails+1 else greatest(0,st.fails-1) end,
    case when (case when q.ir<0.1 then st.fails+1 else greatest(0,st.fails-1) end)>=3 then true when q.ir>0.15 then false else st.off end
-  from st join q on q.factor=st.factor and q.j=st.j+1) select * from st)""", "seen")
+  from st join q on q.factor=st.factor and q.j=st.j+1) select * from st)""", "")
 def _(t):
     e = io.file_stream(t.spark, f"{t.root}/events.parquet").select(
         F.col("event_type").alias("factor"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100.0 - 0.3).alias("ic_ir"), F.lit(6).alias("n"), F.col("event_id").alias("seq"))
-    return io.drain(ST.factor_health(e), "health")
+    return ST.settled(e, ST.factor_health, "health")
 
 
 @query("stream_live_ic", "ST8", """
@@ -118,10 +121,10 @@ def _(t):
 
 
 @query("stream_staleness", "ST9 UD5", """
-, g as (select user_id as ticker, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt, ts + case when dayofweek(ts + interval '12' hour)=1 then 24 else 12 end * interval '1' hour as due from seen)
-select ticker, ts as last_ts, due as alert_ts from g where nxt > due or nxt is null and epoch_ms(due) <= (select epoch_ms(w) from wm)""", "wm seen")
+, g as (select user_id as ticker, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt, ts + case when dayofweek(ts + interval '12' hour)=1 then 24 else 12 end * interval '1' hour as due from events)
+select ticker, ts as last_ts, due as alert_ts from g where nxt > due or nxt is null and epoch_ms(due) <= (select ms from stop)""", "stop")
 def _(t):
-    return io.drain(ST.staleness_alerts(_ordered(t), 12.0, 24.0), "stale")
+    return ST.settled(_ordered(t), lambda x: ST.staleness_alerts(x, 12.0, 24.0), "stale")
 
 
 @query("stream_dedupe", "ST10", "select event_id, user_id as ticker, value as price from events", "")

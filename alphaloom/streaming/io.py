@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
 from alphaloom.sources.storage import scratch_path
@@ -27,17 +29,23 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
-    """Process all available input into a parquet table and read it back."""
-    spark = stream.sparkSession
-    out, ck = scratch_path(spark, label), scratch_path(spark, f"{label}-ck")
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> int | None:
+    """Append all available input to a parquet table; the watermark reached, in milliseconds."""
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     try:
         q.awaitTermination()
+        mark = (q.lastProgress or {}).get("eventTime", {}).get("watermark")
     finally:
         q.stop()
-    return spark.read.schema(stream.schema).parquet(out)
+    return round(datetime.fromisoformat(mark).timestamp() * 1000) or None if mark else None
+
+
+def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
+    """Process all available input into a parquet table and read it back."""
+    out = scratch_path(stream.sparkSession, label)
+    run_available(stream, out, scratch_path(stream.sparkSession, f"{label}-ck"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def drain_batches(stream: DataFrame, handle, label: str = "batches") -> None:

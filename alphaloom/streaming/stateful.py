@@ -1,236 +1,108 @@
-"""Keyed state machines in event-time order: position exits, circuit breakers, health, staleness.
+"""Keyed state machines that give the same rows whatever the order of files and micro-batches.
 
-Rows wait in the state store until the watermark has passed them and are then applied in order of time (and ``seq``), so
-neither the order of files nor the cut into micro-batches changes a result.  A key holds the rows of the watermark's delay
-and of one trigger; size triggers by ``maxFilesPerTrigger``.  Rows beyond the last watermark are still waiting at its end.
+The functions here return a stream of changes: rows of the machine with ``op`` (``+`` added, ``-`` taken back because an
+earlier row came late, ``late`` too late to be told apart) and ``late_ts``.  ``net`` adds the changes up; ``settled`` runs
+a finite stream to its end, tail included.
+
+Late rows are not dropped: the watermark only says how far a key's rows are applied by now and when deadlines pass.  A row
+behind it starts a replay from the state that its bucket of event time began with.  ``keep`` bounds how far back that may
+be, and so the state; rows beyond it are handed on with ``op`` late, to be corrected in a batch.  Without ``keep`` nothing
+is too late, and a key keeps all its rows (packed, in the state store).  Rows without key or time are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
 
-from alphaloom.streaming.io import drain_batches, use_rocksdb
+from alphaloom.sources.storage import scratch_path
+from alphaloom.streaming import machines
+from alphaloom.streaming.io import drain_batches, run_available, use_rocksdb
+from alphaloom.streaming.machines import ADD, HOUR_US, LATE, TAKE_BACK, fields
 
-HOUR_US = 3_600_000_000
+# the processors travel with the query: the worker that asks a processor for its state has no archive on its path
+cloudpickle.register_pickle_by_value(machines)
 
 
-def _fields(**kinds) -> StructType:
-    return StructType([StructField(n, k) for n, k in kinds.items()])
+def _microseconds(span: str | None) -> int | None:
+    """Microseconds of a span such as ``36 hours``."""
+    if span is None:
+        return None
+    n, unit = span.split()
+    return int(float(n) * {"minute": HOUR_US / 60, "hour": HOUR_US, "day": 24 * HOUR_US, "week": 168 * HOUR_US}[unit.rstrip("s")])
 
 
-class Ordered(StatefulProcessor):
-    """Applies ``step`` to a key's rows in order; subclasses name their values, state and output."""
+def _run(stream: DataFrame, key: str, machine: type, rules: tuple, out: StructType, delay: str, keep: str | None, bucket: str) -> DataFrame:
+    use_rocksdb(stream.sparkSession)
+    out = StructType([*out.fields, StructField("op", StringType()), StructField("late_ts", TimestampType())])
+    # the operator is not to see the column of the watermark: it would drop late rows
+    timed = stream.where("ts is not null").withColumn("event_time", F.col("ts")).withWatermark("event_time", delay).drop("event_time")
+    made = machine(rules, bucket_us=_microseconds(bucket), keep_us=_microseconds(keep))
+    return timed.groupBy(key).transformWithStateInPandas(made, out, "Append", "EventTime")
 
-    VALUES: tuple[str, ...] = ()
-    STATE: StructType
-    OUT: tuple[str, ...]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _fields(us=LongType(), seq=LongType(), **{v: DoubleType() for v in self.VALUES}))
-        self.state = handle.getValueState("state", self.STATE)
+def net(changes: DataFrame) -> DataFrame:
+    """Rows that were added and not taken back."""
+    cols = [c for c in changes.columns if c not in ("op", "late_ts")]
+    n = F.sum(F.when(F.col("op") == ADD, 1).when(F.col("op") == TAKE_BACK, -1)).alias("n")
+    return changes.where(F.col("op") != LATE).groupBy(*cols).agg(n).where("n > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
 
-    def start(self) -> tuple | None:
-        """State of a key before its first row."""
-        return None
-
-    def step(self, key, state, us: int, values: tuple) -> tuple[tuple | None, list[tuple]]:
-        raise NotImplementedError
-
-    def idle(self, key, state, watermark_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
-        """(state, output, next deadline in ms) once no row up to the watermark is left."""
-        return state, [], None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for pdf in rows:
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            seq = pdf["seq"] if "seq" in pdf else [0] * len(pdf)
-            new += zip(us.tolist(), map(int, seq), *(pdf[v].astype(float).tolist() for v in self.VALUES))
-        yield self._advance(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, new: list[tuple], watermark: int) -> pd.DataFrame:
-        held = sorted([*(tuple(r) for r in self.waiting.get()), *new] if self.waiting.exists() else new)
-        ready = [r for r in held if r[0] // 1000 <= watermark]
-        rest = held[len(ready):]
-        state = tuple(self.state.get()) if self.state.exists() else self.start()
-        out = []
-        for us, _seq, *values in ready:
-            state, rows = self.step(key[0], state, us, tuple(values))
-            out += rows
-        state, rows, deadline = self.idle(key[0], state, watermark)
-        out += rows
-        if rest:
-            self.waiting.put(rest)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if state is not None:
-            self.state.update(state)
-        elif self.state.exists():
-            self.state.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        due = [t for t in (rest[0][0] // 1000 if rest else None, deadline) if t is not None]
-        if due:
-            self.handle.registerTimer(max(min(due), watermark + 1))
-        return pd.DataFrame(out, columns=list(self.OUT))
-
-    def close(self) -> None:
-        pass
-
-
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
-
-
-def _run(stream: DataFrame, key: str, machine: Ordered, out: StructType, delay: str) -> DataFrame:
-    use_rocksdb(stream.sparkSession)
-    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(machine, out, "Append", "EventTime")
 
+def too_late(changes: DataFrame) -> DataFrame:
+    """Key and time of the rows that came too late."""
+    return changes.where(F.col("op") == LATE).select(changes.columns[0], "late_ts")
 
-class ExitTracker(Ordered):
-    """One position per ticker, opened at the first tick after an exit."""
 
-    VALUES = ("price",)
-    STATE = _fields(entry=DoubleType(), peak=DoubleType(), opened=LongType())
-    OUT = ("ticker", "entry_ts", "exit_ts", "entry_price", "exit_price", "peak_price", "reason")
+def run_to_end(events: DataFrame, machine: Callable[[DataFrame], DataFrame], label: str = "machine", delay: str = "1 hour") -> DataFrame:
+    """All changes of a finite stream.  After the last file a mark moves the watermark behind the last event, so that the
+    tail is applied and deadlines pass up to there, and none beyond.  ``delay`` is the machine's."""
+    spark = events.sparkSession
+    end, out, ck = (scratch_path(spark, f"{label}-{x}") for x in ("end", "out", "ck"))
+    spark.createDataFrame([], events.schema).write.parquet(end)
+    changes = machine(events.unionByName(spark.readStream.schema(events.schema).parquet(end)))
+    reached = run_available(changes, out, ck)
+    if reached is not None:
+        last = F.expr(f"timestamp_millis({reached + 1}L) + 2 * interval '{delay}'")
+        cols = [(last if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+        spark.range(1).select(*cols).write.mode("append").parquet(end)
+        run_available(changes, out, ck)
+    return spark.read.schema(changes.schema).parquet(out)
 
-    def __init__(self, target: float, stop: float, min_hold_h: float, max_hold_h: float):
-        self.rules = (target, stop, min_hold_h, max_hold_h)
 
-    def step(self, key, state, us, values):
-        target, stop, lo, hi = self.rules
-        price = values[0]
-        if price <= 0:
-            return state, []
-        if state is None:
-            return (price, price, us), []
-        entry, peak, opened = state
-        peak = max(peak, price)
-        held, pnl = (us - opened) / HOUR_US, (price - entry) / entry
-        why = None
-        if held >= lo:
-            why = "max_hold" if held >= hi else "profit_target" if pnl >= target else "stop_loss" if pnl <= -stop else None
-        if why is None:
-            return (entry, peak, opened), []
-        return None, [(key, _time(opened), _time(us), entry, price, peak, why)]
+def settled(events: DataFrame, machine: Callable[[DataFrame], DataFrame], label: str = "machine", delay: str = "1 hour") -> DataFrame:
+    return net(run_to_end(events, machine, label, delay))
 
 
 def position_exits(ticks: DataFrame, target: float = 0.12, stop: float = 0.05, min_hold_hours: float = 72.0,
-                   max_hold_hours: float = 1440.0, delay: str = "1 hour") -> DataFrame:
-    """ticks: (ticker, ts, price, and seq to order equal times)."""
+                   max_hold_hours: float = 1440.0, delay: str = "1 hour", keep: str | None = None, bucket: str = "1 day") -> DataFrame:
+    """ticks: (ticker, ts, price, and seq to order equal times).  A position that has been held for the longest time is
+    left then, at the last price, whether or not a tick follows."""
     t, d = TimestampType(), DoubleType()
-    out = _fields(ticker=ticks.schema["ticker"].dataType, entry_ts=t, exit_ts=t, entry_price=d, exit_price=d, peak_price=d, reason=StringType())
-    return _run(ticks, "ticker", ExitTracker(target, stop, min_hold_hours, max_hold_hours), out, delay)
-
-
-class Breaker(Ordered):
-    """Trading halts on a daily loss or on drawdown from the peak."""
-
-    VALUES = ("value",)
-    STATE = _fields(last=DoubleType(), peak=DoubleType(), until=LongType())
-    OUT = ("series_id", "ts", "value", "decision")
-
-    def __init__(self, loss: float, drawdown: float, loss_h: float, dd_h: float):
-        self.rules = (loss, drawdown, loss_h, dd_h)
-
-    def start(self):
-        return None, 0.0, 0
-
-    def step(self, key, state, us, values):
-        loss, dd, loss_h, dd_h = self.rules
-        last, peak, until = state
-        value = values[0]
-        peak = max(peak, value)
-        what, hours = "ok", 0.0
-        if us < until:
-            what = "halted"
-        elif last is not None and last > 0 and (value - last) / last < -loss:
-            what, hours = "daily_loss", loss_h
-        elif last is not None and (value - peak) / (peak + 1e-10) < -dd:
-            what, hours = "max_drawdown", dd_h
-        if hours:
-            until = us + int(hours * HOUR_US)
-        return (value, peak, until), [(key, _time(us), value, what)]
+    out = fields(ticker=ticks.schema["ticker"].dataType, entry_ts=t, exit_ts=t, entry_price=d, exit_price=d, peak_price=d, reason=StringType())
+    return _run(ticks, "ticker", machines.ExitTracker, (target, stop, min_hold_hours, max_hold_hours), out, delay, keep, bucket)
 
 
 def circuit_breaker(values: DataFrame, loss: float = 0.03, drawdown: float = 0.20, loss_hours: float = 24.0, dd_hours: float = 720.0,
-                    delay: str = "1 hour") -> DataFrame:
+                    delay: str = "1 hour", keep: str | None = None, bucket: str = "1 day") -> DataFrame:
     """values: (series_id, ts, value, and seq to order equal times) -> a decision for every row."""
-    out = _fields(series_id=values.schema["series_id"].dataType, ts=TimestampType(), value=DoubleType(), decision=StringType())
-    return _run(values, "series_id", Breaker(loss, drawdown, loss_hours, dd_hours), out, delay)
-
+    out = fields(series_id=values.schema["series_id"].dataType, ts=TimestampType(), value=DoubleType(), decision=StringType())
+    return _run(values, "series_id", machines.Breaker, (loss, drawdown, loss_hours, dd_hours), out, delay, keep, bucket)
 
-class Health(Ordered):
-    """Leaky failure counter per factor."""
 
-    VALUES = ("ic_ir", "n")
-    STATE = _fields(fails=IntegerType(), off=BooleanType())
-    OUT = ("factor", "ts", "fails", "disabled")
-
-    def __init__(self, min_ir: float, limit: int):
-        self.rules = (min_ir, limit)
-
-    def start(self):
-        return 0, False
-
-    def step(self, key, state, us, values):
-        min_ir, limit = self.rules
-        (fails, off), (ir, n) = state, values
-        if n < 6:
-            return state, []
-        fails = fails + 1 if ir < min_ir else max(0, fails - 1)
-        off = True if fails >= limit else False if ir > min_ir * 1.5 else off
-        return (fails, off), [(key, _time(us), fails, off)]
-
-
-def factor_health(evals: DataFrame, min_ir: float = 0.10, limit: int = 3, delay: str = "1 hour") -> DataFrame:
+def factor_health(evals: DataFrame, min_ir: float = 0.10, limit: int = 3, delay: str = "1 hour", keep: str | None = None, bucket: str = "1 hour") -> DataFrame:
     """evals: (factor, ts, ic_ir, n, and seq to order equal times)."""
-    out = _fields(factor=StringType(), ts=TimestampType(), fails=IntegerType(), disabled=BooleanType())
-    return _run(evals, "factor", Health(min_ir, limit), out, delay)
-
-
-class Staleness(Ordered):
-    """Alerts for every silence of a key, within the rows seen or up to the watermark; Mondays tolerate the weekend."""
-
-    STATE = _fields(last=LongType(), told=BooleanType())
-    OUT = ("ticker", "last_ts", "alert_ts")
-
-    def __init__(self, hours: float, monday_hours: float):
-        self.hours, self.monday = hours, monday_hours
-
-    def _due(self, us: int) -> int:
-        at = _time(us) + timedelta(hours=self.hours)
-        return us + int((self.monday if at.weekday() == 0 else self.hours) * HOUR_US)
-
-    def step(self, key, state, us, values):
-        out = []
-        if state and not state[1] and us > self._due(state[0]):
-            out.append((key, _time(state[0]), _time(self._due(state[0]))))
-        return (us, False), out
-
-    def idle(self, key, state, watermark_ms):
-        if state is None or state[1]:
-            return state, [], None
-        due = self._due(state[0])
-        if due // 1000 <= watermark_ms:
-            return (state[0], True), [(key, _time(state[0]), _time(due))], None
-        return state, [], due // 1000
+    out = fields(factor=StringType(), ts=TimestampType(), fails=IntegerType(), disabled=BooleanType())
+    return _run(evals, "factor", machines.Health, (min_ir, limit), out, delay, keep, bucket)
 
 
-def staleness_alerts(ticks: DataFrame, hours: float = 36.0, monday_hours: float = 72.0, delay: str = "1 hour") -> DataFrame:
-    out = _fields(ticker=ticks.schema["ticker"].dataType, last_ts=TimestampType(), alert_ts=TimestampType())
-    return _run(ticks, "ticker", Staleness(hours, monday_hours), out, delay)
+def staleness_alerts(ticks: DataFrame, hours: float = 36.0, monday_hours: float = 72.0, delay: str = "1 hour", keep: str | None = None, bucket: str = "1 day") -> DataFrame:
+    """ticks: (ticker, ts, and seq) -> an alert for every silence, once it is long enough."""
+    out = fields(ticker=ticks.schema["ticker"].dataType, last_ts=TimestampType(), alert_ts=TimestampType())
+    return _run(ticks, "ticker", machines.Staleness, (hours, monday_hours), out, delay, keep, bucket)
 
 
 def fill_due_signals(signals: DataFrame, bars: DataFrame, today, out: str) -> None:
@@ -240,7 +112,6 @@ def fill_due_signals(signals: DataFrame, bars: DataFrame, today, out: str) -> No
     table of their own, which each micro-batch reads and replaces by the next, so none is lost between batches; a repeated batch replaces its own rows.
     """
     from alphaloom.operators.asof import fill_returns
-    from alphaloom.sources.storage import scratch_path
 
     spark, waiting = signals.sparkSession, scratch_path(signals.sparkSession, "live-ic-waiting")
 
