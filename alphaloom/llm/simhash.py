@@ -26,7 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import batch, shuffle_partitions, stored, vacate
@@ -157,9 +157,9 @@ def _compared(rows: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that span all links between distinct fingerprints (``fp``)."""
-    found = signatures(prints)
-    sizes = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
-    held = stored(found.join(sizes, "key"), "holders")
+    # one exchange: most signatures have one holder and end here
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    held = stored(signatures(prints).withColumn("n", size).where("n > 1"), "holders")
     hot = stored(_second(held.where(F.col("n") > BLOCK)), "hot-holders")
     dense = hot.groupBy("key", "sub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     once = held.where(F.col("n") <= BLOCK).select("key", F.lit(-1).cast("long").alias("sub"), "fp", F.lit(1).alias("blocks"))
