@@ -272,16 +272,17 @@ cte("w_long", _weights_sql(_P.LONG_TERM_WEIGHTS))
 cte("w_swing", _weights_sql(_P.SWING_WEIGHTS))
 
 
-def _score_sql(wname, adjust, crisis, volc):
+def score_sql(wname, adjust, crisis, volc, scales=None):
     adj = " ".join(f"when '{f}' then {v}" for f, v in adjust.items())
     cri = " ".join(f"when '{f}' then {v}" for f, v in crisis.items())
+    scale, join = ("*coalesce(s.scale,1)", f" left join {scales} s on s.k=z.k and s.factor=z.factor") if scales else ("", "")
     return f"""
-select z.k, z.ticker, sum((coalesce(w.weight,0) + case z.factor {adj} else 0 end
+select z.k, z.ticker, sum((coalesce(w.weight,0){scale} + case z.factor {adj} else 0 end
   + case when p.regime='crisis' then case z.factor {cri} else 0 end else 0 end) * greatest(-3,least(3,z.z))) + ({volc})*max(coalesce(nullif(p.vol,0),20)) as score
-from zf z join panel p on z.k=p.k and z.ticker=p.ticker left join {wname} w on w.regime=p.regime and w.factor=z.factor group by z.k, z.ticker"""
+from zf z join panel p on z.k=p.k and z.ticker=p.ticker left join {wname} w on w.regime=p.regime and w.factor=z.factor{join} group by z.k, z.ticker"""
 
 
-cte("score_long", _score_sql("w_long", _P.LONG_TERM_ADJUST, _P.LONG_TERM_CRISIS, _P.LONG_TERM_VOL), "zf panel w_long")
-cte("score_swing", _score_sql("w_swing", _P.SWING_ADJUST, _P.SWING_CRISIS, _P.SWING_VOL), "zf panel w_swing")
+cte("score_long", score_sql("w_long", _P.LONG_TERM_ADJUST, _P.LONG_TERM_CRISIS, _P.LONG_TERM_VOL), "zf panel w_long")
+cte("score_swing", score_sql("w_swing", _P.SWING_ADJUST, _P.SWING_CRISIS, _P.SWING_VOL), "zf panel w_swing")
 cte("cs_long", "select k, ticker, score, (score-avg(score) over (partition by k))/(stddev_pop(score) over (partition by k)+1e-9) as cs_score from score_long", "score_long")
 cte("top_long", "select * from (select *, row_number() over (partition by k order by cs_score desc, ticker) as rn from cs_long) where rn<=10", "cs_long")

@@ -29,8 +29,7 @@ select d, ticker, round(v,4) as winsorized, round((v-avg(v) over (partition by d
  select d, ticker, greatest(lo,least(hi,close)) as v from (
   select *, quantile_cont(close,0.025) over (partition by d) as lo, quantile_cont(close,0.975) over (partition by d) as hi from calm))""", "calm")
 def _(t):
-    w = CS.winsorize(t.calm.select("d", "ticker", "close"), ["d"], "close")
-    return CS.zscore(w, ["d"], "close").select("d", "ticker", F.round("close", 4).alias("winsorized"), F.round("z", 4).alias("z"))
+    return CS.winsorized_zscore(t.calm.select("d", "ticker", "close"), ["d"], "close").select("d", "ticker", F.round("close", 4).alias("winsorized"), F.round("z", 4).alias("z"))
 
 
 @query("cross_section_percentiles", "W-X1", """
@@ -41,13 +40,13 @@ def _(t):
 
 
 @query("line_price_percentiles", "W-X1", """
-select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice,0.025),4) as p025, round(quantile_cont(l_extendedprice,0.5),4) as p50, round(quantile_cont(l_extendedprice,0.975),4) as p975 from lineitem group by l_returnflag""")
+select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice,0.025),6) as p025, round(quantile_cont(l_extendedprice,0.5),6) as p50, round(quantile_cont(l_extendedprice,0.975),6) as p975 from lineitem group by l_returnflag""")
 def _(t):
     """Exact quantiles of groups that hold a third of all rows each."""
     li = t.spark.read.parquet(f"{t.root}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
     p = grouped_percentiles(li, ["l_returnflag"], "v", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
     n = li.groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    return p.join(n, "l_returnflag").select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("p025", "p50", "p975")])
+    return p.join(n, "l_returnflag").select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("p025", "p50", "p975")])
 
 
 @query("sector_neutral_zscore", "W-X3", """

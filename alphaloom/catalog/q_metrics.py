@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from alphaloom import params as P
 from alphaloom.catalog import shared as S
 from alphaloom.catalog.base import query
-from alphaloom.catalog.ctes import cte
+from alphaloom.catalog.ctes import cte, score_sql
 from alphaloom.operators import asof as A
 from alphaloom.operators import ic as IC
 from alphaloom.operators import metrics as M
+from alphaloom.plans import panel as PN
 
 cte("eqc", "select series_id, d, ret, exp(sum(ln(1+ret)) over (partition by series_id order by d)) as value from curves", "curves")
 cte("ddc", "select *, (value-max(value) over w)/(max(value) over w+1e-10) as drawdown, value/lag(value) over w-1 as r from eqc window w as (partition by series_id order by d)", "eqc")
@@ -253,6 +254,16 @@ def _fwd(t):
     return S.memo(t, "fwd", make)
 
 
+def forward(t):
+    """(k, ticker, fwd_return, closed) of all names with z-scores."""
+    def make():
+        from alphaloom.sources.storage import materialize
+        names = S.zscores(t).where("factor = 'momentum'").select("k", "ticker").join(S.panel(t).select("k", "ticker", "reb_d"), ["k", "ticker"])
+        sig = names.select("k", "ticker", F.col("reb_d").alias("signal_date"), F.date_add("reb_d", 21).alias("fwd_due_date"))
+        return materialize(A.fill_returns(sig, t.calm, F.lit("2001-11-04").cast("date"), "closed").select("k", "ticker", "fwd_return", "closed"), "forward")
+    return S.memo(t, "forward", make)
+
+
 cte("icf", """
 select k, factor, round(corr(rx,ry),12) as ic from (select k, factor, rank() over (partition by k, factor order by z) + (count(*) over (partition by k, factor, z)-1)/2.0 as rx,
   rank() over (partition by k, factor order by fwd_return) + (count(*) over (partition by k, factor, fwd_return)-1)/2.0 as ry, z, fwd_return from zf join fwd using (k, ticker))
@@ -261,8 +272,41 @@ group by k, factor having count(*)>=5 and stddev_pop(z)>=1e-10 and stddev_pop(fw
 
 @query("factor_ic", "W-I1", "select k, factor, round(ic,4) as ic from icf", "icf")
 def _(t):
-    z, _s = S.scored(t)
-    return IC.factor_ic(z.select("k", "ticker", "factor", "z"), _fwd(t).select("k", "ticker", "fwd_return"), ["k"]).select("k", "factor", *r(["ic"]))
+    return IC.factor_ic(S.zscores(t).select("k", "ticker", "factor", "z"), forward(t), ["k"]).select("k", "factor", *r(["ic"]))
+
+
+# scales known at a rebalance: of the rebalances whose last forward price is older, the last 24
+cte("icknown", """
+select factor, k, ic, known from icf join (select s.k, max(b.d) as known from (select k, ticker, reb_d from score_long join reb using (k) where reb_d + 21 <= date '2001-11-04') s
+ asof join calm b on b.ticker=s.ticker and b.d>=s.reb_d + 21 group by s.k) using (k)""", "icf score_long reb calm")
+cte("kscale", f"""
+select p.k, p.factor, {SCALE.format(n='coalesce(n,0)', m='m', s='sqrt(greatest(v-m*m,0))')} as scale from (select distinct k, factor from zf) p left join (
+ select k, factor, count(*) as n, sum(w*ic)/sum(w) as m, sum(w*ic*ic)/sum(w) as v from (select *, pow(2.0,-age/12.0) as w from (
+  select r.k, o.factor, o.ic, row_number() over (partition by r.k, o.factor order by o.k desc)-1 as age from reb r join icknown o on o.known<r.reb_d) where age<24) group by k, factor) h using (k, factor)""", "zf icknown reb")
+cte("score_scaled", score_sql("w_long", P.LONG_TERM_ADJUST, P.LONG_TERM_CRISIS, P.LONG_TERM_VOL, "kscale"), "zf panel w_long kscale")
+
+
+def _scales(t):
+    def make():
+        return PN.ic_scales(S.zscores(t), S.panel(t), forward(t), S.TEST_PARAMS)
+    return S.memo(t, "scales", make)
+
+
+def scaled_scores(t):
+    def make():
+        from alphaloom.sources.storage import materialize
+        return materialize(PN.scores(S.zscores(t), S.panel(t), "longterm", _scales(t)), "scores")
+    return S.memo(t, "scores_scaled", make)
+
+
+@query("ic_scale_known", "W-I2 C14", "select k, factor, round(scale,4) as scale from kscale", "kscale")
+def _(t):
+    return _scales(t).select("k", "factor", *r(["scale"]))
+
+
+@query("long_term_signal_ic_scaled", "P14 W-I2", "select k, ticker, round(score,4) as score from score_scaled", "score_scaled")
+def _(t):
+    return scaled_scores(t).select("k", "ticker", *r(["score"]))
 
 
 @query("factor_rank_turnover", "W-I3", """

@@ -482,11 +482,11 @@ select factor, round(coalesce(m,0),4) as mean_ic, round(coalesce(m,0)/(coalesce(
 from (select factor, avg(ic) as m, stddev_pop(ic) as s, avg(case when ic>0 then 1.0 else 0.0 end) as h, count(*) as n from icf group by factor)
 full outer join (select factor, avg(z*w/tot) as x from tw join zf using (k, ticker) join (select k, sum(w) as tot from tw group by k) using (k) group by factor) using (factor)""", "icf tw zf")
 def _(t):
-    from alphaloom.catalog.q_metrics import _fwd
+    from alphaloom.catalog.q_metrics import forward
     from alphaloom.operators import ic as IC
     z, _s = S.scored(t)
     z = z.select("k", "ticker", "factor", "z")
-    ic = IC.factor_ic(z, _fwd(t).select("k", "ticker", "fwd_return"), ["k"])
+    ic = IC.factor_ic(z, forward(t), ["k"])
     e = _tilted(t).withColumn("strategy", F.lit("m")).join(z, ["k", "ticker"])
     return AT.factor_attribution(ic, e).select("factor", *r(["mean_ic", "ic_ir", "hit_rate", "avg_exposure"], 4), F.round("est_contrib_bps", 1).alias("est_contrib_bps"), "n_observations")
 

@@ -37,9 +37,13 @@ def panel(t: Tables) -> DataFrame:
         membership_intervals(t.baseline, t.membership_events)))
 
 
+def zscores(t: Tables) -> DataFrame:
+    return memo(t, "z", lambda: PN.zscored_panel(panel(t)))
+
+
 def scored(t: Tables, kind: str = "longterm"):
     """(z-scores with regime, scores) of the shared panel."""
     from alphaloom.sources.storage import materialize
     p = panel(t)
-    z = memo(t, "z", lambda: PN.zscored_panel(p))
+    z = zscores(t)
     return PN.with_regime(z, p), memo(t, f"scores_{kind}", lambda: materialize(PN.scores(z, p, kind), "scores"))

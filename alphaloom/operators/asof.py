@@ -46,25 +46,30 @@ def prefer_first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return latest_per_key(u, keys, [F.asc("__src")]).drop("__src")
 
 
-def forward_price(probes: DataFrame, bars: DataFrame, at: str, out: str) -> DataFrame:
-    """First close on or after column ``at`` for every probe row of the ticker."""
-    row_t = probes.select(F.struct("*")).schema[0].dataType
-    px = bars.select("ticker", F.col("d").alias("__t"), F.lit(1).alias("__p"),
-                     F.lit(None).cast(row_t).alias("__row"), F.col("close").alias("__px"))
-    ask = probes.select("ticker", F.col(at).alias("__t"), F.lit(0).alias("__p"), F.struct("*").alias("__row"),
-                        F.lit(None).cast("double").alias("__px"))
+def forward_price(probes: DataFrame, bars: DataFrame, at: str, out: str, date_out: str | None = None) -> DataFrame:
+    """First close on or after column ``at`` for every probe row of the ticker, and its date.
+
+    Only the distinct (ticker, date) of the probes stand in the ordered window: however many rows ask, a ticker has no
+    more of them than there are dates.  The answers are joined back by both.
+    """
+    ask = probes.select("ticker", F.col(at).cast("date").alias("__t")).where("__t is not null").distinct()
+    hit = F.struct(F.col("d").cast("date").alias("d"), F.col("close").cast("double").alias("px"))
+    px = bars.where("close is not null").select("ticker", F.col("d").cast("date").alias("__t"), F.lit(1).alias("__p"), hit.alias("__hit"))
+    ask = ask.select("ticker", "__t", F.lit(0).alias("__p"), F.lit(None).cast(px.schema["__hit"].dataType).alias("__hit"))
     w = W.partitionBy("ticker").orderBy("__t", "__p").rowsBetween(0, W.unboundedFollowing)
-    got = px.unionByName(ask).select("__p", "__row", F.first("__px", ignorenulls=True).over(w).alias("__px"))
-    return got.where("__p = 0").select("__row.*", F.col("__px").alias(out))
+    got = px.unionByName(ask).select("ticker", "__t", "__p", F.first("__hit", ignorenulls=True).over(w).alias("__hit")).where("__p = 0")
+    got = got.select("ticker", F.col("__t").alias("__at"), F.col("__hit.px").alias(out), *([F.col("__hit.d").alias(date_out)] if date_out else []))
+    rows = probes.withColumn("__at", F.col(at).cast("date"))
+    return rows.join(got, ["ticker", "__at"], "left").select(*probes.columns, *[c for c in got.columns if c not in ("ticker", "__at")])
 
 
-def fill_returns(signals: DataFrame, bars: DataFrame, today: Column) -> DataFrame:
-    """Realised forward return of every due signal; NULL prices drop out.
+def fill_returns(signals: DataFrame, bars: DataFrame, today: Column, closed: str | None = None) -> DataFrame:
+    """Realised forward return of every due signal, and the date of its last price (``closed``); NULL prices drop out.
 
     signals: ticker, signal_date, fwd_due_date, ...
     """
     due = signals.where(F.col("fwd_due_date") <= today)
-    got = forward_price(forward_price(due, bars, "signal_date", "__p0"), bars, "fwd_due_date", "__p1")
+    got = forward_price(forward_price(due, bars, "signal_date", "__p0"), bars, "fwd_due_date", "__p1", closed)
     return (got.where("__p0 is not null and __p1 is not null")
             .withColumn("fwd_return", F.bround(F.col("__p1") / F.col("__p0") - 1, 6)).drop("__p0", "__p1"))
 

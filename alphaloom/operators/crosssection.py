@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alphaloom import params as P
 from alphaloom.functions.expr import clip
-from alphaloom.operators.scale import attach, grouped_percentiles, top_n
+from alphaloom.operators.scale import attach, bounded, clipped_moments, grouped_percentiles, top_n
 from alphaloom.sources.storage import materialize
 
 SECTOR_NEUTRAL = ("momentum_12_1", "momentum", "quality", "roic", "growth")
@@ -24,9 +24,16 @@ def winsorize(df: DataFrame, keys: list[str], value: str = "value", lower: float
               upper: float = 0.975) -> DataFrame:
     """Clip to the group's exact percentiles."""
     cuts = grouped_percentiles(df, keys, value, {"__lo": lower, "__hi": upper})
-    v = F.col(value)
-    bounded = F.when(v < F.col("__lo"), F.col("__lo")).when(v > F.col("__hi"), F.col("__hi")).otherwise(v)
-    return attach(df, cuts, keys, "left").withColumn(value, bounded).drop("__lo", "__hi")
+    return attach(df, cuts, keys, "left").withColumn(value, bounded(F.col(value))).drop("__lo", "__hi")
+
+
+def winsorized_zscore(df: DataFrame, keys: list[str], value: str = "value", out: str = "z", clip_if: Column | None = None,
+                      lower: float = 0.025, upper: float = 0.975, eps: float = 1e-6) -> DataFrame:
+    """Clip to the group's percentiles (in the groups of ``clip_if``, over the keys), then standardise: one ordered pass
+    and one join of statistics for all groups."""
+    stats = clipped_moments(df, keys, value, lower, upper, clip_if)
+    x = attach(df, stats, keys, "left").withColumn(value, bounded(F.col(value).cast("double")))
+    return x.withColumn(out, (F.col(value) - F.col("__m")) / (F.col("__s") + eps)).drop("__lo", "__hi", "__m", "__s")
 
 
 def zscore(df: DataFrame, keys: list[str], value: str = "value", out: str = "z", eps: float = 1e-6) -> DataFrame:
@@ -44,11 +51,21 @@ def sector_adjust(df: DataFrame, keys: list[str], value: str = "value", sector:
 
 
 def sector_neutral_zscore(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return zscore(winsorize(sector_adjust(df, keys, value), keys, value), keys, value)
+    return winsorized_zscore(sector_adjust(df, keys, value), keys, value)
 
 
-def _medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return grouped_percentiles(df, keys, value, {out: 0.5})
+def _with_medians(base: DataFrame, keys: list[str], own: dict[str, str], by_sector: dict[str, str]) -> DataFrame:
+    """Medians of columns (column -> name of its median) over the cross-section and over its sectors, in one ordered pass."""
+    stack = [F.struct(F.lit(out).alias("__of"), F.lit("").alias("__grp"), F.col(c).alias("__x")) for c, out in own.items()]
+    stack += [F.struct(F.lit(out).alias("__of"), F.concat(F.lit("/"), "sector").alias("__grp"), F.col(c).alias("__x")) for c, out in by_sector.items()]
+    rows = base.select(*keys, F.explode(F.array(*stack)).alias("__s")).select(*keys, "__s.*")
+    med = materialize(grouped_percentiles(rows, [*keys, "__of", "__grp"], "__x", {"__p": 0.5}), "medians")
+    for out in own.values():
+        base = base.join(med.where(F.col("__of") == out).select(*keys, F.col("__p").alias(out)), keys, "left")
+    for out in by_sector.values():
+        of = med.where(F.col("__of") == out).select(*keys, F.substring("__grp", 2, 1 << 30).alias("sector"), F.col("__p").alias(out))
+        base = base.join(of, [*keys, "sector"])
+    return base
 
 
 def raw_factors(panel: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,18 +79,16 @@ def raw_factors(panel: DataFrame, keys: list[str]) -> DataFrame:
     def g(name: str, default: float = 0.0) -> Column:
         return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in have else F.lit(default)
 
-    base = panel.withColumn("__mom", g("ret_3m"))
-    base = attach(base, _medians(base, keys, "__mom", "__med"), keys)
-    base = base.join(_medians(base, keys + ["sector"], "__mom", "__smed"), keys + ["sector"])
+    base, own = panel.withColumn("__mom", g("ret_3m")), {"__mom": "__med"}
+    value = F.lit(0.0)
     if {"pe_ratio", "ps_ratio"} & have:
         pe = F.col("pe_ratio") if "pe_ratio" in have else F.lit(None).cast("double")
         ps = F.col("ps_ratio") if "ps_ratio" in have else F.lit(None).cast("double")
         zero = lambda x: F.coalesce(x, F.lit(0.0))
         base = base.withColumn("__val", F.when(pe.isNotNull() | ps.isNotNull(), -(0.5 * zero(pe) + 0.5 * zero(ps))))
-        base = attach(base, _medians(base, keys, "__val", "__vmed"), keys, "left")
+        own["__val"] = "__vmed"
         value = F.coalesce("__val", "__vmed", F.lit(0.0))
-    else:
-        value = F.lit(0.0)
+    base = _with_medians(base, keys, own, {"__mom": "__smed"})
     m3 = F.col("__mom")
     quality = (0.30 * g("roe_pct") + 0.25 * g("roic_pct") + 0.20 * g("op_margin_pct")
                + 0.15 * g("fcf_margin_pct") + 0.10 * g("gross_margin_pct"))
@@ -114,13 +129,7 @@ def normalize_features(panel: DataFrame, keys: list[str]) -> DataFrame:
     adj = (F.when(F.col("__n") >= 2, (F.col("value") - F.col("__m")) / (F.col("__s") + 1e-6))
            .otherwise(F.col("value")))
     long = long.join(stats, k + ["sector"], "left").withColumn("value", adj).select(*k, "ticker", "value")
-    long = materialize(long, "values")      # read by four aggregates below
-    cuts = grouped_percentiles(long.where(~F.col("factor").isin(*UNWINSORIZED)), k, "value",
-                               {"lo": 0.025, "hi": 0.975})
-    v = F.col("value")
-    bounded = F.when(v < F.col("lo"), F.col("lo")).when(v > F.col("hi"), F.col("hi")).otherwise(v)
-    long = attach(long, cuts, k, "left").select(*k, "ticker", bounded.alias("value"))
-    return zscore(long, k).select(*keys, "ticker", "factor", "z")
+    return winsorized_zscore(long, k, clip_if=~F.col("factor").isin(*UNWINSORIZED)).select(*keys, "ticker", "factor", "z")
 
 
 def weight_rows(spark, table: dict[str, tuple]) -> DataFrame:

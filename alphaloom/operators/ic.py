@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.operators.scale import grouped_percentiles, grouped_ranks, top_n
+from alphaloom.operators.scale import grouped_percentiles, ordered_counts, top_n
 from alphaloom.sources.storage import materialize
 
 
@@ -20,8 +20,12 @@ def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFram
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 5) -> DataFrame:
     """Rank correlation with shared ranks per group; NULL for few names or a constant side."""
-    both = materialize(df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "ranked")     # read by both rankings
-    r = grouped_ranks(grouped_ranks(both, keys, x, "__rx"), keys, y, "__ry", "__n")
+    both = materialize(df.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "ranked")
+    sides = F.array(F.struct(F.lit("x").alias("__side"), F.col(x).alias("__v")), F.struct(F.lit("y").alias("__side"), F.col(y).alias("__v")))
+    o = ordered_counts(both.select(*keys, F.explode(sides).alias("__s")).select(*keys, "__s.*"), [*keys, "__side"], "__v")     # both rankings in one pass
+    rank = F.col("__before") + (F.col("__c") + 1) / 2.0
+    of = lambda side, c, out, *more: o.where(F.col("__side") == side).select(*keys, F.col("__v").alias(c), rank.alias(out), *more)
+    r = both.join(of("x", x, "__rx"), [*keys, x]).join(of("y", y, "__ry", "__n"), [*keys, y])
     # tie-shared ranks always average (n + 1) / 2: centred sums are exact for moderate n
     cx, cy = F.col("__rx") - (F.col("__n") + 1) / 2.0, F.col("__ry") - (F.col("__n") + 1) / 2.0
     g = r.groupBy(*keys).agg(
@@ -75,6 +79,29 @@ def ic_scale_history(ic: DataFrame, window: int = 24, half_life: float = 12.0) -
     return x.withColumn("f", fold).select("factor", "d", _scale_from(n, F.col("f.a"), F.col("f.b"), F.col("f.c")).alias("scale"))
 
 
+def known_scales(ic: DataFrame, probes: DataFrame, window: int = 24, half_life: float = 12.0) -> DataFrame:
+    """(k, factor, scale): the scale of each factor's weight from what was known at a rebalance.
+
+    ``ic`` = (factor, k, known_d, ic): the correlation of the exposures of rebalance k, known once its returns have ended.
+    ``probes`` = (k, factor, reb_d).  Two times count: an observation is taken if it was known before ``reb_d``, and of
+    those the last ``window`` rebalances are taken, in whichever order they became known.  A factor has one observation
+    and one probe for each rebalance, so the arrays are bounded by the calendar.
+    """
+    obs = F.struct("k", "ic")
+    none = F.lit(None).cast("int")
+    told = ic.select("factor", F.col("known_d").alias("t"), F.lit(1).alias("p"), none.alias("at"), obs.alias("o"))
+    ask = probes.select("factor", F.col("reb_d").alias("t"), F.lit(0).alias("p"), F.col("k").cast("int").alias("at"),
+                        F.lit(None).cast(ic.select(obs.alias("o")).schema["o"].dataType).alias("o"))
+    before = W.partitionBy("factor").orderBy("t", "p").rowsBetween(W.unboundedPreceding, 0)
+    x = told.unionByName(ask).select("factor", "p", "at", F.collect_list("o").over(before).alias("h")).where("p = 0")
+    x = x.withColumn("h", F.slice(F.sort_array("h", asc=False), 1, window))
+    weights = F.transform("h", lambda v, age: F.struct(F.pow(F.lit(2.0), -age / half_life).alias("w"), v.ic.alias("v")))
+    fold = F.aggregate(weights, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c")),
+                       lambda s, e: F.struct((s.a + e.w).alias("a"), (s.b + e.w * e.v).alias("b"), (s.c + e.w * e.v * e.v).alias("c")))
+    x = x.withColumn("f", fold)
+    return x.select(F.col("at").alias("k"), "factor", _scale_from(F.size("h"), F.col("f.a"), F.col("f.b"), F.col("f.c")).alias("scale"))
+
+
 def ic_summary(ic: DataFrame, window: int = 24) -> DataFrame:
     """Mean, ratio, hit rate, count and current scale over the last ``window`` rows."""
     g = last_rows(ic, window).groupBy("factor").agg(

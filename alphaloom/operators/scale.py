@@ -3,8 +3,8 @@
 A cross-section (one date) can hold any number of tickers, so nothing here
 sorts or collects a whole cross-section in one task.  Statistics are two-phase
 aggregates (map-side combine) joined back; ranks and order statistics come from
-counts of distinct values, running inside value buckets and shifted by bucket
-offsets.
+counts of distinct values, running inside ranges of values and shifted by the
+counts of lower ranges.
 """
 
 from __future__ import annotations
@@ -15,48 +15,74 @@ from pyspark.sql import functions as F
 
 from alphaloom.sources.storage import materialize
 
-BUCKETS = 32        # value buckets of a group; a bucket holds about that share of its distinct values
-ACCURACY = 1000     # of the sketch that cuts them: it moves their bounds, never a result
 
-
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", extra: list[str] | None = None) -> DataFrame:
-    """Join per-group statistics (one row per group, or few with ``extra``) back to the rows.
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group statistics (one row per group) back to the rows.
 
     The statistics are written first, so the planner knows their size: it broadcasts them below its threshold, which
     leaves the rows where they are, and shuffles and splits skewed partitions otherwise.
     """
-    return df.join(materialize(stats, "stats"), keys + (extra or []), how)
+    return df.join(materialize(stats, "stats"), keys, how)
 
 
 def ordered_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group and distinct value: ``__c`` rows, ``__before`` rows with smaller values, ``__n`` rows in the group.
 
-    Equal values are counted before they are shuffled.  Distinct values are cut into buckets at sketched quantiles,
-    counted up inside each bucket and shifted by the rows of lower buckets: exact whatever the cuts, the same for every
-    size of group, and no task sorts a whole group.
+    One range-partitioned pass for all groups.  Equal values are counted before they are shuffled; the distinct values are
+    dealt by range of (group, value), counted up inside each partition of a group and shifted by the rows of the group's
+    earlier partitions.  Exact wherever the ranges are cut, and no task sorts a whole group.  The dealt values are written,
+    so that both readers see the same cuts.  Stack columns (a further key) to rank several in the same pass.
     """
-    vals = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")), "values")
-    probes = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = vals.groupBy(*keys).agg(F.percentile_approx(value, probes, ACCURACY).alias("__q"))
-    bucketed = attach(vals, cuts, keys).select(*keys, value, "__c", F.size(F.filter("__q", lambda q: q < F.col(value))).alias("__k"))
-    sizes = bucketed.groupBy(*keys, "__k").agg(F.sum("__c").alias("__bc"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    dealt = materialize(vals.repartitionByRange(parts, *keys, value).withColumn("__part", F.spark_partition_id()), "values")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__pc"))
     group = W.partitionBy(*keys)
-    offsets = sizes.select(*keys, "__k", (F.sum("__bc").over(group.orderBy("__k")) - F.col("__bc")).alias("__off"), F.sum("__bc").over(group).alias("__n"))
-    inside = F.sum("__c").over(W.partitionBy(*keys, "__k").orderBy(value)) - F.col("__c")
-    return (attach(bucketed.withColumn("__in", inside), offsets, keys, extra=["__k"])
+    offsets = sizes.select(*keys, "__part", (F.sum("__pc").over(group.orderBy("__part")) - F.col("__pc")).alias("__off"), F.sum("__pc").over(group).alias("__n"))
+    inside = F.sum("__c").over(W.partitionBy(*keys, "__part").orderBy(value)) - F.col("__c")
+    # both sides are partitioned by group and part: only the few offsets move
+    return (dealt.withColumn("__in", inside).join(offsets, [*keys, "__part"])
             .select(*keys, value, "__c", (F.col("__off") + F.col("__in")).alias("__before"), "__n"))
 
 
-def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group: ``keys + list(ps)``."""
-    o = ordered_counts(df.select(*keys, F.col(value).cast("double").alias("__v")), keys, "__v")
+def percentiles_of(o: DataFrame, keys: list[str], value: str, ps: dict[str, float], *more: Column) -> DataFrame:
+    """Linear-interpolated percentiles per group of ordered counts: ``keys + list(ps)``, and further aggregates."""
     out = []
     for n, p in ps.items():
         pos = (F.col("__n") - 1) * F.lit(float(p))
-        at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__v")))
+        at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col(value)))
         lo, hi = at(F.floor(pos)), at(F.ceil(pos))
         out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(n))
-    return o.groupBy(*keys).agg(*out)
+    return o.groupBy(*keys).agg(*out, *more)
+
+
+def grouped_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated percentiles per group: ``keys + list(ps)``."""
+    return percentiles_of(ordered_counts(df.select(*keys, F.col(value).cast("double").alias("__v")), keys, "__v"), keys, "__v", ps)
+
+
+def clipped_moments(df: DataFrame, keys: list[str], value: str, lower: float, upper: float, clip: Column | None = None) -> DataFrame:
+    """Per group the cuts ``__lo`` and ``__hi``, and mean ``__m`` and population deviation ``__s`` of the clipped values.
+
+    All from one ordered pass: the moments are taken over distinct values with their counts.  ``clip`` (over the keys) says
+    which groups are clipped at all.
+    """
+    o = ordered_counts(df.select(*keys, F.col(value).cast("double").alias("__v")), keys, "__v")
+    cuts = percentiles_of(o, keys, "__v", {"__lo": lower, "__hi": upper}, F.min("__v").alias("__least"))
+    if clip is not None:
+        cuts = cuts.withColumns({c: F.when(clip, F.col(c)) for c in ("__lo", "__hi")})
+    # counted from the lower cut, squares stay exact enough to be taken in the same aggregate as the mean
+    x = o.join(cuts.withColumn("__base", F.coalesce("__lo", "__least")), keys)
+    d = bounded(F.col("__v")) - F.col("__base")
+    n = F.sum("__c")
+    g = x.groupBy(*keys).agg(F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"), F.first("__base").alias("__base"), (F.sum(F.col("__c") * d) / n).alias("__d"),
+                             (F.sum(F.col("__c") * d * d) / n).alias("__dd"))
+    return g.select(*keys, "__lo", "__hi", (F.col("__base") + F.col("__d")).alias("__m"), F.sqrt(F.greatest(F.col("__dd") - F.col("__d") * F.col("__d"), F.lit(0.0))).alias("__s"))
+
+
+def bounded(v: Column) -> Column:
+    """A value within its group's cuts, where it has any."""
+    return F.when(v < F.col("__lo"), F.col("__lo")).when(v > F.col("__hi"), F.col("__hi")).otherwise(v)
 
 
 def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",

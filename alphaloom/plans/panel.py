@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alphaloom.operators import asof as A
 from alphaloom.operators import crosssection as CS
 from alphaloom.operators import fundamentals as FU
+from alphaloom.operators import ic as IC
 from alphaloom.operators.features import price_features
 from alphaloom.operators.regime import with_regime_asof
 from alphaloom.operators.scale import attach
@@ -50,17 +51,33 @@ def research_panel(bars: DataFrame, sectors: DataFrame, regimes: DataFrame, p: P
 
 
 def zscored_panel(panel: DataFrame, min_universe: int = 5) -> DataFrame:
-    """Long z-scores (k, ticker, factor, z) of large enough universes; materialised."""
+    """Long z-scores (k, regime, ticker, factor, z) of large enough universes; materialised.
+
+    The regime goes with the rebalance, so it takes part in the grouping and need not be joined again.
+    """
     enough = panel.groupBy("k").agg(F.count("*").alias("universe")).where(F.col("universe") >= min_universe)
-    return materialize(CS.normalize_features(attach(panel, enough.select("k"), ["k"]), ["k"]), "zscores")
+    return materialize(CS.normalize_features(attach(panel, enough.select("k"), ["k"]), ["k", "regime"]), "zscores")
 
 
 def with_regime(z: DataFrame, panel: DataFrame) -> DataFrame:
+    if "regime" in z.columns:
+        return z
     return attach(z, panel.groupBy("k").agg(F.first("regime").alias("regime")), ["k"])
 
 
-def scores(z: DataFrame, panel: DataFrame, kind: str = "longterm") -> DataFrame:
-    """Composite score and its cross-sectional z per (k, ticker)."""
+def ic_scales(z: DataFrame, panel: DataFrame, forward: DataFrame, p: Params) -> DataFrame:
+    """(k, factor, scale) of the weights, from correlations whose returns had ended before the rebalance.
+
+    ``forward`` = (k, ticker, fwd_return, closed): realised returns and the date of their last price.
+    """
+    known = forward.groupBy("k").agg(F.max("closed").alias("known_d"))
+    ic = IC.factor_ic(z.select("k", "ticker", "factor", "z"), forward.select("k", "ticker", "fwd_return"), ["k"])
+    probes = z.select("k", "factor").distinct().join(panel.select("k", "reb_d").distinct(), "k")
+    return materialize(IC.known_scales(ic.join(known, "k").select("factor", "k", "known_d", "ic"), probes, p.ic_window, p.ic_half_life), "scales")
+
+
+def scores(z: DataFrame, panel: DataFrame, kind: str = "longterm", scales: DataFrame | None = None) -> DataFrame:
+    """Composite score and its cross-sectional z per (k, ticker); ``scales`` multiply the weights of the regime."""
     score = CS.long_term_scores if kind == "longterm" else CS.swing_scores
-    s = CS.zscore(score(with_regime(z, panel), panel, ["k"]), ["k"], "score", "cs_score", eps=1e-9)
+    s = CS.zscore(score(with_regime(z, panel), panel, ["k"], scales), ["k"], "score", "cs_score", eps=1e-9)
     return s.join(panel.select("k", "ticker", "reb_d", "regime", "vol", "adv", "sector"), ["k", "ticker"])
