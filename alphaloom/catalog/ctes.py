@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -32,6 +34,21 @@ def with_ctes(body: str, names: list[str], recursive: bool = False) -> str:
     return f"with {head}\n{body}"
 
 
+def variants(root: str, suffix: str, edit):
+    """Copies, under names with a suffix, of a fragment and all that build on it, with ``edit(name, body)`` applied.
+
+    Gives the function that turns a query over the old names into one over the new ones (by a further edit named "").
+    """
+    uses = {root}
+    while more := {n for n, (deps, _) in CTES.items() if n not in uses and uses & set(deps)}:
+        uses |= more
+    renamed = lambda sql: re.sub(r"\b(" + "|".join(sorted(uses, key=len, reverse=True)) + r")\b", rf"\1{suffix}", sql)
+    for n in sorted(uses):
+        deps, body = CTES[n]
+        cte(n + suffix, renamed(edit(n, body)), " ".join(d + suffix if d in uses else d for d in deps))
+    return lambda sql: renamed(edit("", sql))
+
+
 cte("bars", """
 select l_suppkey as ticker, cast(l_shipdate as date) as d,
        sum(l_extendedprice)/sum(l_quantity) as close, sum(l_quantity) as volume

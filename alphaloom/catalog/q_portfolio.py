@@ -1,17 +1,22 @@
 """Covariances, weights, constraints, costs, backtests and attribution."""
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.catalog import shared as S
 from alphaloom.catalog.base import query
-from alphaloom.catalog.ctes import cte
+from alphaloom.catalog.ctes import CTES, cte, variants
 from alphaloom.operators import attribution as AT
 from alphaloom.operators import crosssection as CS
 from alphaloom.operators import metrics as M
 from alphaloom.operators import portfolio as PF
 from alphaloom.operators import trading_calendar as TC
+from alphaloom.operators.asof import membership_intervals
 from alphaloom.operators.features import daily_returns
+from alphaloom.params import horizon_params
+from alphaloom.plans import panel as PN
 from alphaloom.plans import walk_forward as WF
 from alphaloom.sources.storage import materialize
 
@@ -395,9 +400,63 @@ def _(t):
     return x.select("n", *r(["sharpe", "sortino"], 4), *r(["max_drawdown", "total_return"]))
 
 
-@query("walk_forward_swing", "C14 A1 P15")
+# the same path on scores whose weights are scaled by what was known of their factors
+_scaled = variants("cs_long", "_sc", lambda n, sql: re.sub(r"\bscore_long\b", "score_scaled", sql) if n == "cs_long" else sql)
+cte("cs_long_sc", CTES["cs_long_sc"][1], "score_scaled")
+
+
+@query("walk_forward_ic_scaled", "C14 P14 W-I2", _scaled(_PATH + """
+select k, max(dd_scale) as dd_scale, round(max(filt_turn),6) as filtered_turnover, round(max(cost)*1e4,4) as cost_bps, round(max(total),6) as period_return, round(max(value),6) as value from path group by k"""),
+       "hhi_sc lw_sc tilt_sc reb calmret panel")
+def _(t):
+    def make():
+        from alphaloom.catalog.q_metrics import scaled_scores
+        s = scaled_scores(t).select(F.lit("scaled").alias("strategy"), "k", "ticker", "cs_score")
+        return WF.run(s, t.calm, S.panel(t).select("k", "ticker", "adv"), S.TEST_PARAMS)
+    a = S.memo(t, "backtest_scaled", make).audit
+    return a.select("k", "dd_scale", *r(["filtered_turnover"]), F.round(F.col("total_cost") * 1e4, 4).alias("cost_bps"), *r(["period_return", "value"]))
+
+
+# ---- the swing preset: weekly rebalances, twelve names, its own limits ----
+SWING = horizon_params("swing").with_(min_adv=S.TEST_PARAMS.min_adv, min_universe=S.TEST_PARAMS.min_universe)
+
+
+def _swing_sql(name, sql):
+    if name in ("reb", ""):
+        sql = re.sub(r"\b21\b", str(SWING.rebalance_days), sql)
+    if name == "cs_long":
+        sql = re.sub(r"\bscore_long\b", "score_swing", sql)
+    if name == "top_long":
+        sql = sql.replace("rn<=10", f"rn<={SWING.top_n}")
+    if name == "":
+        sql = sql.replace("least(0.12/sqrt", f"least({SWING.target_vol}/sqrt").replace("least(w,0.20)", f"least(w,{SWING.max_position})").replace("<=0.20+", f"<={SWING.max_position}+")
+    return sql
+
+
+_swing = variants("reb", "_sw", _swing_sql)
+cte("cs_long_sw", CTES["cs_long_sw"][1], "score_swing_sw")
+SWING_CTES = "hhi_sw lw_sw tilt_sw reb_sw calmret panel_sw cal"
+
+
+def _swing_backtest(t):
+    def make():
+        p = PN.research_panel(t.calm, t.sectors, S.regimes(t), SWING, t.fundamentals, membership_intervals(t.baseline, t.membership_events))
+        s = materialize(PN.scores(PN.zscored_panel(p), p, "swing"), "scores")
+        return WF.run(s.select(F.lit("swing").alias("strategy"), "k", "ticker", "cs_score"), t.calm, p.select("k", "ticker", "adv"), SWING)
+    return S.memo(t, "backtest_swing", make)
+
+
+@query("walk_forward_swing_audit", "C14 P15", _swing(_PATH + """
+select k, max(dd_scale) as dd_scale, round(max(filt_turn),6) as filtered_turnover, round(max(total),6) as period_return, round(max(value),6) as value from path group by k"""), SWING_CTES)
+def _(t):
+    return _swing_backtest(t).audit.select("k", "dd_scale", *r(["filtered_turnover", "period_return", "value"]))
+
+
+@query("walk_forward_swing", "C14 A1 P15", _swing(_PATH + _DAILY + """
+select count(*) as n, round(avg(r)/(stddev_pop(r)+1e-10)*sqrt(252),4) as sharpe, round(avg(r)/(coalesce(stddev_samp(case when r<0 then r end),0)+1e-10)*sqrt(252),4) as sortino, round(min(dd),6) as max_drawdown, round(arg_max(value,d)/arg_min(value,d)-1,6) as total_return
+from (select d, value, value/lag(value) over (order by d)-1 as r, (value-max(value) over (order by d))/(max(value) over (order by d)+1e-10) as dd from deq)"""), SWING_CTES)
 def _(t):
-    x = M.perf_metrics(_backtest(t).equity.where("series_id = 'swing'"))
+    x = M.perf_metrics(_swing_backtest(t).equity)
     return x.select("n", *r(["sharpe", "sortino"], 4), *r(["max_drawdown", "total_return"]))
 
 
