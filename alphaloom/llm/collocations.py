@@ -35,8 +35,8 @@ LEAST = 100                 # occurrences of a candidate
 TOP = 2000
 BUCKETS = 1 << 16           # by each number of leading words
 SHARE = 4                   # a bucket is small up to one part in so many of a task's share
-TASK_SUFFIXES = 1 << 22     # suffixes of a task, at most about
-FLUSH = 1 << 20             # suffixes sorted out together before they are sent
+TASK_SUFFIXES = 1 << 21     # suffixes of a task, at most about
+FLUSH = 1 << 19             # suffixes sorted out together before they are sent
 NO_LANGUAGE = "und"
 _U = np.uint64
 
@@ -161,7 +161,7 @@ def _counted(texts: DataFrame) -> DataFrame:
                     words[k] = [(names[lang], raw[a:z].decode()), m]
             for k, h in enumerate(_leading(s)):
                 buckets[k * BUCKETS: (k + 1) * BUCKETS] += np.bincount((h >> _U(48)).astype(np.int64), minlength=BUCKETS)
-            if len(words) > FLUSH // 4:
+            if len(words) > FLUSH // 2:
                 yield from flush()
         yield from flush()
         for at in range(0, len(buckets), BUCKETS):
@@ -211,8 +211,8 @@ def _dealt(texts: DataFrame, sizes: np.ndarray, small: int, parts: int) -> DataF
                 words, ids = np.unique(s[a:z], return_inverse=True)
                 ids = ids.reshape(z - a, LONGEST).astype(np.uint16 if len(words) < 1 << 16 else np.uint32)
                 head = np.array([len(words), z - a], np.int64)
-                data = b"".join([head.tobytes(), words.tobytes(), n[a:z].astype(np.uint32).tobytes(), depth[a:z].tobytes(), np.ascontiguousarray(ids.T).tobytes()])
-                yield batch(PACKED, part=[int(part[a])], data=[data])
+                data = b"".join([words.tobytes(), n[a:z].astype(np.uint32).tobytes(), depth[a:z].tobytes(), np.ascontiguousarray(ids.T).tobytes()])
+                yield batch(PACKED, part=[int(part[a])], data=[head.tobytes() + pa.compress(data, "zstd", asbytes=True)])
         for *_, s in _read(batches):
             held.append(s)
             size += len(s)
@@ -227,10 +227,10 @@ def _dealt(texts: DataFrame, sizes: np.ndarray, small: int, parts: int) -> DataF
 
 def _unpacked(data: bytes):
     w, n = np.frombuffer(data, np.int64, 2).tolist()
-    at = 16 + 8 * w
-    words, counts = np.frombuffer(data, np.uint64, w, 16), np.frombuffer(data, np.uint32, n, at)
-    depth = np.frombuffer(data, np.int8, n, at + 4 * n)
-    return words, counts, depth, np.frombuffer(data, np.uint16 if w < 1 << 16 else np.uint32, n * LONGEST, at + 5 * n).reshape(LONGEST, n)
+    kind, at = np.dtype(np.uint16 if w < 1 << 16 else np.uint32), 8 * w
+    data = pa.decompress(data[16:], at + n * (5 + LONGEST * kind.itemsize), "zstd", asbytes=True)
+    words, counts = np.frombuffer(data, np.uint64, w), np.frombuffer(data, np.uint32, n, at)
+    return words, counts, np.frombuffer(data, np.int8, n, at + 4 * n), np.frombuffer(data, kind, n * LONGEST, at + 5 * n).reshape(LONGEST, n)
 
 
 def multikey_quicksort(columns: np.ndarray, counts: np.ndarray, depth: np.ndarray, least: int):
@@ -279,7 +279,7 @@ def _sorted(packed: DataFrame, least: int) -> DataFrame:
             for part, data in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
                 packs.setdefault(part, []).append(data)
         for part in list(packs):
-            got = [_unpacked(d) for d in packs.pop(part)]
+            got = list(map(_unpacked, packs.pop(part)))
             words, at = np.unique(np.concatenate([np.zeros(1, np.uint64), *(g[0] for g in got)]), return_inverse=True)
             at, columns = at[1:], []
             ends = np.cumsum([len(g[0]) for g in got]).tolist()
