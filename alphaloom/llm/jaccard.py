@@ -7,7 +7,11 @@ elements is at most (a + b) / 7.  P is fixed for each band of sizes so that a se
 pigeonhole principle a similar pair has a filled cell in common (a set that fills too few cells also offers its empty
 ones).  Sets near the end of their band offer the cells of the next band's sketch too.
 
-1. One pass makes the cells.  Cells are joined by value in packed numpy blocks; within a task, copies of a set offer
+1. A first pass counts cells by hash in a table of fixed size.  The counts give all cells one global order, the rarest
+   first; a set that fills more cells than it may differ in offers only so many and one, the first in that order.  Of two
+   similar sets the first common cell has at most so many others before it in either, so both offer it, and cells that
+   strangers share are not offered.  The counts decide the order only: any order is exact.
+   A second pass makes the cells.  Cells are joined by value in packed numpy blocks; within a task, copies of a set offer
    theirs once and the first holder of a cell stands for the others in the exchange.
 2. Each document is verified against the partner with which it shares most cells, copies are linked by a 192-bit
    fingerprint of the set, and the links' components are built.
@@ -37,6 +41,8 @@ from alphaloom.llm.components import components
 
 WORDS = 5
 FLUSH = 1 << 19             # cells held by a task before they are sent
+COUNT_BITS = 22             # bits of a cell's hash by which cells are counted
+SLAB = 1 << 16              # counts sent together
 BLOCK = 1024                # documents of a cell or cluster on each side of a comparison
 BLOCK_SHINGLES = 500_000    # shingles of a cluster, likewise
 _U = np.uint64
@@ -69,8 +75,12 @@ def bands_of(size: int) -> list[int]:
     return [band, band + 1] if 4 * size >= 3 * int(EDGES[band + 1]) else [band]
 
 
-def cell_keys(s: np.ndarray) -> np.ndarray:
-    """Keys of the cells that a set (sorted distinct hashes) offers, over its bands."""
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(64 - COUNT_BITS)).astype(np.int64)
+
+
+def cell_keys(s: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the cells that a set (sorted distinct hashes) offers, over its bands; all filled cells without ``counts``."""
     out = []
     for band in bands_of(len(s)):
         p = cells_of(band)
@@ -79,8 +89,11 @@ def cell_keys(s: np.ndarray) -> np.ndarray:
         value = np.bitwise_xor.reduceat(s, edge)
         filled = cell[edge]
         salt = _U((band + 1) << 40)
-        out.append(scan.mix(value ^ scan.mix(filled + salt)))
-        if len(edge) <= most_different(len(s), band):
+        keys, most = scan.mix(value ^ scan.mix(filled + salt)), most_different(len(s), band)
+        if counts is not None and len(edge) > most + 1:
+            keys = keys[np.lexsort((keys, counts[_bucket(keys)]))[: most + 1]]
+        out.append(keys)
+        if len(edge) <= most:
             none = np.ones(p, bool)
             none[filled.astype(np.int64)] = False
             out.append(scan.mix(_EMPTY ^ scan.mix(np.flatnonzero(none).astype(np.uint64) + salt)))
@@ -126,10 +139,59 @@ CELLS, SHARED, ROWS = 0, 1, 2       # kinds of packed rows
 LOW = _U(0xFFFFFFFFFFFF)
 
 
+def _mark(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and fingerprint of a set."""
+    return (len(s), int(np.bitwise_xor.reduce(s).view(np.int64)), int(scan.mix(s).sum(dtype=np.uint64).view(np.int64))) if len(s) else (0, 0, 0)
+
+
+def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many sets hold a cell of each bucket, copies counted once a task: 2 ** COUNT_BITS numbers, whatever the input."""
+    slabs = pa.schema([("slab", pa.int32()), ("data", pa.binary())])
+
+    def count(batches):
+        vacate()
+        n, seen = np.zeros(1 << COUNT_BITS, np.uint32), set()
+        for b in batches:
+            held = []
+            for s in shingle_sets(b.column(1), words):
+                if len(s) and (mark := _mark(s)) not in seen:
+                    seen.add(mark)
+                    held.append(_bucket(cell_keys(s)))
+            if held:
+                at, m = np.unique(np.concatenate(held), return_counts=True)
+                n[at] += m.astype(np.uint32)
+            if len(seen) > FLUSH:
+                seen.clear()
+        for k, part in enumerate(n.reshape(-1, SLAB)):
+            if part.any():
+                yield batch(slabs, slab=[k], data=[pa.compress(part.tobytes(), "zstd", asbytes=True)])
+
+    def add(batches):
+        now, total = None, None
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != now:
+                    if now is not None:
+                        yield batch(slabs, slab=[now], data=[total.tobytes()])
+                    now, total = k, np.zeros(SLAB, np.uint32)
+                total = total + np.frombuffer(pa.decompress(data, 4 * SLAB, "zstd", asbytes=True), np.uint32)
+        if now is not None:
+            yield batch(slabs, slab=[now], data=[total.tobytes()])
+
+    parts = docs.mapInArrow(count, "slab int, data binary").repartition(shuffle_partitions(docs.sparkSession), "slab")
+    out = np.zeros(((1 << COUNT_BITS) // SLAB, SLAB), np.uint32)
+    for k, data in parts.sortWithinPartitions("slab").mapInArrow(add, "slab int, data binary").collect():
+        out[k] = np.frombuffer(data, np.uint32)
+    return out.reshape(-1)
+
+
 def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
     """CELLS: cells by part of the key space; SHARED: cells with several holders in this task; ROWS: the documents."""
+    known = docs.sparkSession.sparkContext.broadcast(_cell_counts(docs, words))
+
     def run(batches):
         vacate()
+        counts = known.value
         keys, owner, rows, sketches, room, seen = [], [], [], [], 0, set()
 
         def flush():
@@ -165,14 +227,14 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
 
         for b in batches:
             for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), words)):
-                mark = (len(s), int(np.bitwise_xor.reduce(s).view(np.int64)), int(scan.mix(s).sum(dtype=np.uint64).view(np.int64))) if len(s) else (0, 0, 0)
+                mark = _mark(s)
                 sketch = parity_bits(s)
                 rows.append((doc, *mark, len(sketch)))
                 sketches.append(sketch)
                 room += 16
                 if len(s) and mark not in seen:
                     seen.add(mark)
-                    keys.append(cell_keys(s))
+                    keys.append(cell_keys(s, counts))
                     owner.append(np.full(len(keys[-1]), doc, np.int64))
                     room += len(keys[-1])
                 if room >= FLUSH:
