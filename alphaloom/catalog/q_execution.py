@@ -191,15 +191,16 @@ def _(t):
 
 @query("entry_prices", "P35", "select position_id, any_value(ticker) as ticker, round(arg_min(close,d),4) as entry_price, min(d) as entry_date from marks group by position_id", "marks")
 def _(t):
-    m = EX.position_marks(_positions(t), t.calm).withColumnRenamed("close", "price")
-    return EX.entry_prices(m.select("position_id", "ticker", "price", "d")).select("position_id", "ticker", *r(["entry_price"]), "entry_date")
+    return EX.entry_prices(_positions(t), t.calm).select("position_id", "ticker", *r(["entry_price"]), "entry_date")
 
 
 @query("stop_loss_breaches", "P18", """
-select p.position_id, p.ticker, round((l.close-p.entry_price)/p.entry_price,6) as drawdown from pos p join (select ticker, arg_max(close,d) as close from calm group by ticker) l using (ticker) where (l.close-p.entry_price)/p.entry_price<-0.08""", "pos calm")
+select p.position_id, p.ticker, round((l.close-e.close)/e.close,6) as drawdown from pos p asof join bars e on e.ticker=p.ticker and e.d>=p.entry_date
+join (select ticker, arg_max(close,d) as close from bars group by ticker) l on l.ticker=p.ticker where (l.close-e.close)/e.close<-0.08""", "pos bars")
 def _(t):
-    last = t.calm.groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
-    return RK.stop_loss_breaches(_positions(t), last).select("position_id", "ticker", *r(["drawdown"], 6))
+    """Against the unsmoothed bars, at whose first price the positions are taken in."""
+    last = t.bars.groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
+    return RK.stop_loss_breaches(EX.entry_prices(_positions(t), t.bars), last).select("position_id", "ticker", *r(["drawdown"], 6))
 
 
 # ---- tax lots ----

@@ -54,16 +54,20 @@ def _top(t):
     return CS.select_top(s.select("k", "ticker", "cs_score"), ["k"], 10, "cs_score").select("k", "ticker", "cs_score")
 
 
-def _ret(t):
+def _vectors(t):
     def make():
         days = TC.trading_days(t.calm)
         reb = TC.rebalance_calendar(days, 21)
-        return materialize(PF.window_returns(_top(t).join(reb.select("k", "idx"), "k").select("k", "ticker", "idx"), t.calm, days), "returns")
-    return S.memo(t, "ret", make)
+        return materialize(PF.window_vectors(_top(t).join(reb.select("k", "idx"), "k").select("k", "ticker", "idx"), t.calm, days), "vectors")
+    return S.memo(t, "vectors", make)
+
+
+def _ret(t):
+    return PF.long_returns(_vectors(t))
 
 
 def _lw(t):
-    return S.memo(t, "lw", lambda: materialize(PF.ledoit_wolf(_ret(t), ["k"]), "lw"))
+    return S.memo(t, "lw", lambda: materialize(PF.ledoit_wolf_of(_vectors(t), ["k"]), "lw"))
 
 
 @query("window_returns", "A22", "select k, ticker, t, round(x,6) as x from win", "win")

@@ -214,7 +214,10 @@ def _(t):
     return MS.fill_audit(a, new, ["k"])
 
 
-@query("table_version", "S12")
+@query("table_version", "S12", """
+select o_orderstatus, left(sha256(concat_ws('|', sum(a)::varchar, sum(b)::varchar, count(*)::varchar)),12) as data_version from (
+ select o_orderstatus, ('0x'||substr(h,1,12))::hugeint as a, ('0x'||substr(h,13,12))::hugeint as b from (select o_orderstatus, sha256(concat_ws('|', coalesce('='||o_custkey, 'null'), coalesce('='||strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'null'),
+  coalesce('='||o_orderkey, 'null'), coalesce('='||o_orderpriority, 'null'), coalesce('='||o_orderstatus, 'null'), coalesce('='||cast(o_totalprice as decimal(38,6)), 'null'))) as h from orders)) group by o_orderstatus""")
 def _(t):
     return MS.data_version(t.raw("orders"), "o_orderstatus")
 

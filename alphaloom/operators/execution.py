@@ -197,9 +197,14 @@ def sync_positions(open_: DataFrame, target: DataFrame, exits: DataFrame, keys:
     return rule.unionByName(gone).unionByName(new)
 
 
-def entry_prices(marks: DataFrame) -> DataFrame:
-    """First price seen of every open position."""
-    return marks.groupBy("position_id", "ticker").agg(F.min_by("price", "d").alias("entry_price"), F.min("d").alias("entry_date"))
+def entry_prices(positions: DataFrame, bars: DataFrame) -> DataFrame:
+    """First price of every position on or after its entry, and that day; positions without one drop out.
+
+    positions: (position_id, ticker, entry_date).  An as-of probe of the bars: no later bar is paired with a position.
+    """
+    from alphaloom.operators.asof import forward_price
+    x = forward_price(positions.select("position_id", "ticker", F.col("entry_date").alias("__from")), bars, "__from", "entry_price", "entry_date")
+    return x.where("entry_price is not null").drop("__from")
 
 
 # ---- tax lots ----

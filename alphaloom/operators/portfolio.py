@@ -13,61 +13,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.functions.expr import trade_cost
+from alphaloom.functions.expr import let, trade_cost
 
 TRADING_DAYS = 252
 
 
-def window_returns(picks: DataFrame, bars: DataFrame, days: DataFrame, lookback: int = 126) -> DataFrame:
-    """Aligned daily returns of the picks over the days before each rebalance.
+def window_vectors(picks: DataFrame, bars: DataFrame, days: DataFrame, lookback: int = 126) -> DataFrame:
+    """Aligned vectors of daily returns of the picks over the days before each rebalance.
+
+    ``picks`` = (keys..., ticker, idx) with idx the calendar position of the rebalance.  A day without a bar returns 0; the
+    sample starts once every name of the portfolio has traded in the window.  Output (keys..., ticker, start, x), x from
+    day ``start`` on.
 
-    ``picks`` = (keys..., ticker, idx) with idx the calendar position of the
-    rebalance.  A day without a bar returns 0; the sample starts once every name
-    of the portfolio has traded in the window.  Output (keys..., ticker, t, x).
+    A ticker's returns stand in one row (as many as there are dates), so a pick meets one row and cuts its window out.
     """
     keys = [c for c in picks.columns if c not in ("ticker", "idx")]
     w = W.partitionBy("ticker").orderBy("d")
-    bars = bars.join(picks.select("ticker").distinct(), "ticker", "left_semi")
-    b = (bars.join(F.broadcast(days), "d").select("ticker", F.col("idx").alias("t"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("x")))
-    hist = picks.join(b, "ticker").where((F.col("t") >= F.col("idx") - lookback) & (F.col("t") < F.col("idx")))
-    vec = hist.groupBy(*keys, "ticker", "idx").agg(
-        F.min("t").alias("__f"), F.map_from_entries(F.collect_list(F.struct("t", F.coalesce("x", F.lit(0.0))))).alias("__m"))
-    start = F.max("__f").over(W.partitionBy(*keys)) + 1
-    vec = vec.withColumn("__s", start).where(F.col("__s") <= F.col("idx") - 1)
-    return (vec.select(*keys, "ticker", "__m", F.explode(F.sequence("__s", F.col("idx") - 1)).alias("t"))
-            .select(*keys, "ticker", "t", F.coalesce(F.try_element_at("__m", "t"), F.lit(0.0)).alias("x")))
+    held = bars.join(picks.select("ticker").distinct(), "ticker", "left_semi").join(days, "d")
+    ret = held.select("ticker", F.col("idx").alias("t"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("x"))
+    series = ret.groupBy("ticker").agg(F.collect_list(F.struct("t", F.coalesce("x", F.lit(0.0)).alias("x"))).alias("__r"))
+    hist = picks.join(series, "ticker").withColumn("__w", F.filter("__r", lambda e: (e.t >= F.col("idx") - lookback) & (e.t < F.col("idx")))).drop("__r")
+    hist = hist.where(F.size("__w") > 0).withColumn("start", F.max(F.array_min("__w.t")).over(W.partitionBy(*keys)) + 1).where(F.col("start") <= F.col("idx") - 1)
+    x = let(F.map_from_entries("__w"), lambda m: F.transform(F.sequence("start", F.col("idx") - 1), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0.0))))
+    return hist.select(*keys, "ticker", "start", x.alias("x"))
+
+
+def window_returns(picks: DataFrame, bars: DataFrame, days: DataFrame, lookback: int = 126) -> DataFrame:
+    """The vectors of ``window_vectors`` as rows (keys..., ticker, t, x)."""
+    return long_returns(window_vectors(picks, bars, days, lookback))
+
+
+def long_returns(vectors: DataFrame) -> DataFrame:
+    keys = [c for c in vectors.columns if c not in ("ticker", "start", "x")]
+    x = vectors.select(*keys, "ticker", "start", F.posexplode("x").alias("__p", "x"))
+    return x.select(*keys, "ticker", (F.col("start") + F.col("__p")).alias("t"), "x")
+
+
+def vectors_of(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """Vectors of aligned rows (keys..., ticker, t, x)."""
+    v = returns.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("__v"))
+    return v.select(*keys, "ticker", F.array_min("__v.t").alias("start"), F.col("__v.x").alias("x"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def sample_moments(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """Centred returns with the sample size: adds c and n."""
-    w = W.partitionBy(*keys, "ticker")
-    return returns.select("*", (F.col("x") - F.avg("x").over(w)).alias("c"), F.count("*").over(w).alias("n"))
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def _centred(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each portfolio: its names, at most top_n, with their centred vectors."""
+    c = let(_sum(F.col("x")) / F.size("x"), lambda m: F.transform("x", lambda v: v - m))
+    return vectors.select(*keys, "ticker", c.alias("c")).groupBy(*keys).agg(F.collect_list(F.struct("ticker", "c")).alias("names"))
+
+
+def _gram(portfolios: DataFrame, keys: list[str], *more: Column, ddof: int = 0) -> DataFrame:
+    """(keys, i, j, n, cov) and what else is taken from the portfolio's row: products of vectors, inside the row."""
+    x = portfolios.select(*keys, "names", *more, F.explode("names").alias("a"))
+    rest = [c for c in x.columns if c not in (*keys, "names", "a")]
+    x = x.select(*keys, *rest, "a", F.explode("names").alias("b"))
+    n = F.size("a.c").cast("long")
+    return x.select(*keys, F.col("a.ticker").alias("i"), F.col("b.ticker").alias("j"), n.alias("n"), (_dot(F.col("a.c"), F.col("b.c")) / (n - ddof)).alias("cov"), *rest)
 
 
 def covariance_long(returns: DataFrame, keys: list[str], ddof: int = 0) -> DataFrame:
     """Sample covariance rows (keys, i, j, n, cov) of the names of each portfolio."""
-    m = sample_moments(returns, keys)
-    a = m.select(*keys, "t", F.col("ticker").alias("i"), F.col("c").alias("a"), "n")
-    b = m.select(*keys, "t", F.col("ticker").alias("j"), F.col("c").alias("b"))
-    return a.join(b, keys + ["t"]).groupBy(*keys, "i", "j").agg(
-        F.first("n").alias("n"), (F.sum(F.col("a") * F.col("b")) / (F.first("n") - ddof)).alias("cov"))
+    return _gram(_centred(vectors_of(returns, keys), keys), keys, ddof=ddof)
 
 
-def ledoit_wolf(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """Shrunk covariance (keys, i, j, n, cov, shrinkage), entirely by aggregates."""
-    s = covariance_long(returns, keys)
-    d2 = sample_moments(returns, keys).groupBy(*keys, "t").agg(F.sum(F.col("c") * F.col("c")).alias("q"))
-    b2 = d2.groupBy(*keys).agg(F.sum(F.col("q") * F.col("q")).alias("b_"))
-    diag = F.when(F.col("i") == F.col("j"), F.col("cov"))
-    g = s.groupBy(*keys).agg(F.count(diag).alias("p"), F.sum(diag).alias("tr"),
-                             F.sum(F.col("cov") * F.col("cov")).alias("d_"), F.max("n").alias("nn")).join(b2, keys)
+def ledoit_wolf_of(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Shrunk covariance (keys, i, j, n, cov, shrinkage) of the vectors of each portfolio.
+
+    Moments are taken once; the sums over pairs run where the portfolio's row is, without another exchange.
+    """
+    squares = F.aggregate("names", F.transform(F.element_at("names", 1)["c"], lambda v: F.lit(0.0)), lambda acc, e: F.zip_with(acc, e.c, lambda s, v: s + v * v))
+    b_ = F.aggregate(squares, F.lit(0.0), lambda s, q: s + q * q)
+    p, w = F.size("names"), W.partitionBy(*keys)
+    s = _gram(_centred(vectors, keys), keys, p.alias("p"), b_.alias("b_"))
+    s = s.withColumns({"tr": F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).over(w), "d_": F.sum(F.col("cov") * F.col("cov")).over(w)})
     mu = F.col("tr") / F.col("p")
-    beta = (F.col("b_") / F.col("nn") - F.col("d_")) / (F.col("p") * F.col("nn"))
+    beta = (F.col("b_") / F.col("n") - F.col("d_")) / (F.col("p") * F.col("n"))
     delta = (F.col("d_") - 2 * mu * F.col("tr") + F.col("p") * mu * mu) / F.col("p")
     shrink = F.when(F.least(beta, delta) == 0, 0.0).otherwise(F.coalesce(F.try_divide(F.least(beta, delta), delta), F.lit(0.0)))
-    g = g.select(*keys, mu.alias("mu"), shrink.alias("shrinkage"))
+    s = s.withColumns({"mu": mu, "shrinkage": shrink})
     shrunk = F.col("cov") * (1 - F.col("shrinkage")) + F.when(F.col("i") == F.col("j"), F.col("mu") * F.col("shrinkage")).otherwise(0.0)
-    return s.join(g, keys).select(*keys, "i", "j", "n", shrunk.alias("cov"), "shrinkage")
+    return s.select(*keys, "i", "j", "n", shrunk.alias("cov"), "shrinkage")
+
+
+def ledoit_wolf(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of aligned rows (keys..., ticker, t, x)."""
+    return ledoit_wolf_of(vectors_of(returns, keys), keys)
 
 
 def portfolio_variance(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,11 +33,14 @@ def factor_ic_snapshot(summary: DataFrame) -> DataFrame:
 def data_version(df: DataFrame, key: str | None = None) -> DataFrame:
     """12-hex content version of a table (per ``key`` when given).
 
-    Rows are hashed where they are; the version is the hash of the sum and count
-    of the row hashes, so nothing is sorted or gathered.
+    Rows are hashed where they are; the version is the hash of the sum and count of the row hashes, so nothing is sorted
+    or gathered.  A row is spelled out column by column in order of name: numbers with a fraction to six digits, others as
+    Spark casts them, nulls as a mark of their own.
     """
-    cols = sorted(c for c in df.columns)
-    row = F.sha2(F.to_json(F.struct(*cols)), 256)
+    def spelled(c: str, kind: str):
+        x = F.col(c).cast("decimal(38,6)") if kind in ("double", "float") else F.col(c)
+        return F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("null"))
+    row = F.sha2(F.concat_ws("|", *[spelled(c, k) for c, k in sorted(df.dtypes)]), 256)
     part = lambda i: F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
     g = (df.groupBy(key) if key else df.groupBy()).agg(F.sum(part(0)).alias("a"), F.sum(part(1)).alias("b"), F.count("*").alias("c"))
     v = F.left(F.sha2(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.col("c").cast("string")), 256), F.lit(12))
