@@ -7,6 +7,8 @@ texts fail the quality rules; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +20,34 @@ from alphaloom.llm.queries import PIECE_MODEL, WORD_VOCABULARY
 MIN_LANGUAGE_SCORE = 0.25       # a text further from every language is of none of them
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """The documents with their own columns under names that no operator uses, these names, and the way back."""
+    names = {c: f"__own{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    moved = docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns])
+    return moved, moved.columns, lambda rows: rows.select(*back)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the base rules and the fertility bands of their script."""
-    own = [c for c in docs.columns if c != "kept"]
-    scored = fertility.scored(docs, public_tokenizers.path(PIECE_MODEL), carry=own)
-    return scored.where("kept").select(*own)
+    """Documents within the base rules and the fertility bands of their script.
+
+    Null and empty texts fail the rules; repeated rows are judged alike; own columns of any name stay as they are.
+    """
+    moved, own, back = _aside(docs)
+    return back(fertility.scored(moved, public_tokenizers.path(PIECE_MODEL), carry=own).where("kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near to a language learned from the documents at hand."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = langid.identified(docs, langid.learn(docs), carry=own)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*own)
+    """Documents near to a language learned from the documents at hand; a null lang becomes the prediction.
+
+    A given lang stays, whatever is predicted.  Null texts and texts without letters go; texts equally near to two
+    languages get the first by name; repeated rows are judged alike; own columns of any name stay as they are.
+    """
+    moved, own, back = _aside(docs)
+    found = langid.identified(moved, langid.learn(docs), carry=own)
+    near = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    lang = own[docs.columns.index("lang")]
+    return back(near.withColumn(lang, F.coalesce(lang, "lang_pred")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
