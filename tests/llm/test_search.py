@@ -124,6 +124,25 @@ def test_pipeline_odd(spark, odd_docs):
     assert kept.count(5) == 1 and None in kept and 6 not in kept and 8 not in kept
 
 
+def test_own_columns_stay(spark, sf_dir):
+    """Columns named like a stage's own ones, and a null lang."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.selectExpr("doc_id", "text", "if(doc_id % 5 = 0, null, lang) as lang", "source", "n_chars", "cast(doc_id as string) as kept",
+                          "doc_id * 2 as score", "'mine' as lang_pred", "doc_id as n_words", "-1 as entropy").collect()
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, kept string, score long, lang_pred string, n_words long, entropy int")
+    given = {r["doc_id"]: r for r in odd}
+    langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    out = corpus_pipeline.quality_rules(spark, df, sf_dir)
+    assert out.columns == df.columns and all(r == given[r["doc_id"]] for r in out.collect())
+    out = corpus_pipeline.language_id(spark, df, sf_dir)
+    rows = out.collect()
+    assert out.columns == df.columns and rows
+    assert all((r["kept"], r["score"], r["lang_pred"], r["n_words"], r["entropy"]) == (str(r["doc_id"]), 2 * r["doc_id"], "mine", r["doc_id"], -1) for r in rows)
+    assert all(r["lang"] == langs[r["doc_id"]] for r in rows if r["doc_id"] % 5)
+    filled = [r["lang"] == langs[r["doc_id"]] for r in rows if r["doc_id"] % 5 == 0]
+    assert sum(filled) >= 0.95 * len(filled) > 0
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of a doc_id with texts of their own stay; copies and near copies among them go."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
