@@ -48,11 +48,9 @@ def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def drain_batches(stream: DataFrame, handle, label: str = "batches") -> None:
+def drain_batches(stream: DataFrame, handle, checkpoint: str) -> None:
     """Run ``handle(batch_df, batch_id)`` over all available input."""
-    spark = stream.sparkSession
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", scratch_path(spark, f"{label}-ck"))
-         .trigger(availableNow=True).start())
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:

@@ -333,3 +333,40 @@ class Staleness(Machine):
 
     def expire(self, key, state, us):
         return (state[0], True), [(key, at_time(state[0]), at_time(us))]
+
+
+class DueDates(StatefulProcessor):
+    """Holds the rows of a key and due date until the watermark has passed the date, then lets them go.
+
+    The date is part of the key: a group holds what falls due together, and costs nothing until its timer fires.
+    """
+
+    def __init__(self, columns: StructType):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if any(pd.isna(k) for k in key):        # the mark of the end
+            for _ in rows:
+                pass
+            return
+        due = int(key[-1])      # in milliseconds
+        for pdf in rows:
+            pdf = pdf[self.columns.names]
+            if due < timerValues.getCurrentWatermarkInMs():
+                yield pdf
+            else:
+                self.held.appendList([tuple(r) for r in pdf.itertuples(index=False)])
+        if due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            yield pd.DataFrame([tuple(r) for r in self.held.get()], columns=self.columns.names)
+            self.held.clear()
+
+    def close(self) -> None:
+        pass

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
 
-from alphaloom.sources.storage import scratch_path
+from alphaloom.sources.storage import materialize, scratch_path
 from alphaloom.streaming import machines
 from alphaloom.streaming.io import drain_batches, run_available, use_rocksdb
 from alphaloom.streaming.machines import ADD, HOUR_US, LATE, TAKE_BACK, fields
@@ -105,23 +105,39 @@ def staleness_alerts(ticks: DataFrame, hours: float = 36.0, monday_hours: float
     return _run(ticks, "ticker", machines.Staleness, (hours, monday_hours), out, delay, keep, bucket)
 
 
+def due_signals(signals: DataFrame, clock: str = "signal_date") -> DataFrame:
+    """Signals (ticker, signal_date, fwd_due_date, ...) once the stream's clock has passed their due date.
+
+    They wait in keyed state under (ticker, due date) with a timer, so a micro-batch touches what it brings and what falls
+    due.  The clock is the latest ``clock`` date seen; nothing is late, a signal that is due already goes on at once.
+    Signals without ticker or due date never fall due and are left out.
+    """
+    use_rocksdb(signals.sparkSession)
+    timed = signals.withColumn("event_time", F.col(clock).cast("timestamp")).withWatermark("event_time", "0 seconds").drop("event_time")
+    keyed = timed.withColumn("__due", F.unix_millis(F.col("fwd_due_date").cast("timestamp")))
+    return keyed.groupBy("ticker", "__due").transformWithStateInPandas(machines.DueDates(signals.schema), signals.schema, "Append", "EventTime")
+
+
 def fill_due_signals(signals: DataFrame, bars: DataFrame, today, out: str) -> None:
-    """Append the forward return of each signal to the table ``out`` once it is due.
+    """Append the forward return of each signal to the table ``out`` once it is due, up to and on ``today``.
 
-    ``signals`` is a stream of (ticker, signal_date, fwd_due_date, score, ...).  Signals that are not yet due wait in a
-    table of their own, which each micro-batch reads and replaces by the next, so none is lost between batches; a repeated batch replaces its own rows.
+    Each micro-batch fills the signals that fall due in it from the static bars; a repeated batch replaces its own rows.
+    After the last file the clock is moved to ``today``, so signals fall due without new ones.
     """
     from alphaloom.operators.asof import fill_returns
 
-    spark, waiting = signals.sparkSession, scratch_path(signals.sparkSession, "live-ic-waiting")
+    spark = signals.sparkSession
+    end, ck = scratch_path(spark, "signals-end"), scratch_path(spark, "signals-ck")
+    spark.createDataFrame([], signals.schema).write.parquet(end)
+    due = due_signals(signals.unionByName(spark.readStream.schema(signals.schema).parquet(end)))
 
     def handle(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/{number - 1}"))
-        due = F.col("fwd_due_date") <= today
-        batch.where(~due | due.isNull()).write.mode("overwrite").parquet(f"{waiting}/{number}")
-        fill_returns(batch.where(due), bars, today).write.mode("overwrite").parquet(f"{out}/batch={number}")
-    drain_batches(signals, handle, "live-ic")
+        due_now = materialize(batch, "due")         # read twice below; the state is to be run once
+        fill_returns(due_now, bars, today).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    drain_batches(due, handle, ck)
+    mark = [(F.date_add(today, 1) if f.name == "signal_date" else F.lit(None)).cast(f.dataType).alias(f.name) for f in signals.schema]
+    spark.range(1).select(*mark).write.mode("append").parquet(end)
+    drain_batches(due, handle, ck)
 
 
 def live_ic(filled: DataFrame) -> DataFrame:
