@@ -31,6 +31,18 @@ def test_percentiles_equal_numpy(skewed):
             assert got.loc[d, c] == pytest.approx(np.percentile(v, p), rel=1e-12), (d, c)
 
 
+def test_clipped_moments_equal_numpy(skewed):
+    """Mean and deviation within the cuts, far values outside them; groups that are not clipped."""
+    pdf, df = skewed
+    df = df.unionByName(df.where("d in (1, 5)").groupBy("d").agg(F.lit(-1e12).alias("v")))
+    got = scale.clipped_moments(df, ["d"], "v", 0.1, 0.9, F.col("d") != 2).toPandas().set_index("d")
+    for d, g in df.toPandas().groupby("d"):
+        v = g["v"].dropna().to_numpy()
+        if d != 2:
+            v = np.clip(v, np.percentile(v, 10), np.percentile(v, 90))
+        assert got.loc[d, "__m"] == pytest.approx(v.mean(), rel=1e-9) and got.loc[d, "__s"] == pytest.approx(v.std(), rel=1e-9, abs=1e-9), d
+
+
 def test_percentiles_on_unbounded_keys(skewed):
     pdf, df = skewed
     got = scale.grouped_percentiles(df.withColumnRenamed("d", "ticker"), ["ticker"], "v", {"m": 0.5}).toPandas().set_index("ticker")
