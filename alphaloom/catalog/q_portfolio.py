@@ -209,7 +209,20 @@ def _(t):
     return PF.sector_constraints(w, ["k"]).select("k", "ticker", *r(["weight"]))
 
 
-@query("black_litterman_weights", "C3 UD2")
+# elimination as a recursion over the pivots of each portfolio's augmented rows
+cte("blm", """
+select k, list(i order by i) as names, list(row order by i) as rows from (
+ select l.k, l.i, list_append(list(0.05*l.cov*(case when l.i=l.j then 1.1 else 1.0 end) order by l.j), any_value(coalesce(s.cs_score,0))-2.5*avg(l.cov)) as row
+ from lw l join top_long s on s.k=l.k and s.ticker=l.i group by l.k, l.i) group by k""", "lw top_long")
+cte("blw", """
+select k, ticker, case when tot>=1e-9 then w/tot else 1.0/n end as w from (select *, sum(w) over (partition by k) as tot from (
+ select k, n, unnest(names) as ticker, unnest(list_transform(rows, lambda r: greatest(1.0/n+0.02*r[n+1],0))) as w from (with recursive g as (
+  select k, names, len(rows) as n, 1 as p, rows from blm
+  union all select k, names, n, p+1, list_transform(rows, lambda r, i: case when i=p then list_transform(r, lambda v: v/r[p]) else list_transform(r, lambda v, j: v-r[p]*rows[p][j]/rows[p][p]) end) from g where p<=n)
+  select * from g where p=n+1)))""", "blm")
+
+
+@query("black_litterman_weights", "C3", "select k, ticker, round(w,6) as weight from blw", "blw")
 def _(t):
     return PF.black_litterman(_top(t).withColumnRenamed("cs_score", "score"), _lw(t), ["k"]).select("k", "ticker", *r(["weight"]))
 
@@ -217,7 +230,7 @@ def _(t):
 @query("optimized_portfolio", "C10 K6")
 def _(t):
     top = _top(t).withColumnRenamed("cs_score", "score")
-    return PF.optimize_portfolio(top, _ret(t), t.sectors, ["k"]).select("k", "ticker", "sector", *r(["weight"]))
+    return PF.optimize_portfolio(top, _ret(t), t.sectors, ["k"]).select("k", "ticker", "sector", "rank", *r(["weight"]))
 
 
 # ---- consecutive portfolios ----

@@ -253,39 +253,36 @@ def cvar_cap(n: Column, tail: Column, budget: float = 0.025) -> Column:
     return F.when(n < 20, 0.20).otherwise(F.least(F.greatest(raw, F.lit(0.03)), F.lit(0.20)))
 
 
-def _bl_group(pdf: pd.DataFrame, keys: list[str], tau: float, omega: float, lam: float) -> pd.DataFrame:
-    names = np.array(pdf["tickers"].iloc[0])
-    n = len(names)
-    cov = np.array(pdf["cov"].iloc[0], float).reshape(n, n)
-    prior, views = np.full(n, 1.0 / n), np.array(pdf["views"].iloc[0], float)
-    w = prior
-    try:
-        prec = np.linalg.inv(tau * cov)
-        view_prec = 1.0 / (omega * np.diag(tau * cov))
-        mu = np.linalg.solve(prec + np.diag(view_prec), prec @ (lam * cov @ prior) + view_prec * views)
-        raw = np.clip(np.linalg.solve(lam * cov, mu), 0, None)
-        w = raw / raw.sum() if raw.sum() >= 1e-9 else prior
-    except np.linalg.LinAlgError:
-        pass
-    out = pd.DataFrame({k: [pdf[k].iloc[0]] * n for k in keys})
-    return out.assign(ticker=names, weight=w)
+def solved(rows: Column) -> Column:
+    """Solution of a linear system with a positive definite matrix, given as augmented rows (the right side last).
+
+    Gauss-Jordan elimination as an ordered fold over the pivots; null where a pivot is zero.
+    """
+    def eliminate(m, p):
+        pivot = F.transform(m[p], lambda v: F.try_divide(v, m[p][p]))
+        return let(pivot, lambda top: F.transform(m, lambda r, i: F.when(i == p, top).otherwise(F.zip_with(r, top, lambda a, b: a - r[p] * b))))
+    done = F.aggregate(F.sequence(F.lit(0), F.size(rows) - 1), rows, eliminate)
+    return F.transform(done, lambda r: F.element_at(r, -1))
 
 
 def black_litterman(scores: DataFrame, cov: DataFrame, keys: list[str], tau: float = 0.05,
                     omega: float = 0.1, lam: float = 2.5) -> DataFrame:
     """Posterior mean-variance weights with the scores as views.
 
-    The dense solve runs per portfolio in a grouped Arrow function; Spark builds
-    the matrices and spreads the portfolios.
+    With one view on each name, the posterior weights are the equal prior plus tau / lam times the solution y of
+    (A + omega diag A) y = views - lam S prior, A being tau S: one system for each portfolio of at most top_n names, solved
+    in the engine.  A portfolio without a solution keeps the prior.
     """
-    s = scores.select(*keys, F.col("ticker").alias("i"), F.coalesce("score", F.lit(0.0)).alias("view"))
-    rows = cov.join(s, keys + ["i"]).groupBy(*keys, "i", "view").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "cov"))), lambda e: e["cov"]).alias("row"))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "view", "row"))).alias("m")).select(
-        *keys, F.transform("m", lambda e: e["i"]).alias("tickers"), F.transform("m", lambda e: e["view"]).alias("views"),
-        F.flatten(F.transform("m", lambda e: e["row"])).alias("cov"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.select(*keys, "ticker").schema) + ", weight double"
-    return packed.groupBy(*keys).applyInPandas(lambda pdf: _bl_group(pdf, keys, tau, omega, lam), schema)
+    s = scores.select(*keys, F.col("ticker").alias("i"), F.coalesce("score", F.lit(0.0)).cast("double").alias("view"))
+    c = tau * F.col("cov") * F.when(F.col("i") == F.col("j"), 1.0 + omega).otherwise(1.0)
+    rows = cov.join(s, keys + ["i"]).groupBy(*keys, "i").agg(
+        F.array_sort(F.collect_list(F.struct("j", c.alias("c")))).alias("row"), (F.first("view") - lam * F.avg("cov")).alias("right"))
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.col("row.c"), F.array("right")).alias("row")))).alias("m"))
+    prior = 1.0 / F.size("m")
+    x = rows.withColumn("y", solved(F.col("m.row"))).withColumn("w", F.transform("y", lambda y: F.greatest(prior + tau / lam * y, F.lit(0.0))))
+    total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
+    x = x.withColumn("e", F.arrays_zip(F.col("m.i").alias("ticker"), F.col("w"))).withColumn("total", total).select(*keys, "total", prior.alias("prior"), F.explode("e").alias("e"))
+    return x.select(*keys, F.col("e.ticker").alias("ticker"), F.when(F.col("total") >= 1e-9, F.col("e.w") / F.col("total")).otherwise(F.col("prior")).alias("weight"))
 
 
 def blend(parts: list[tuple[DataFrame, float]], keys: list[str]) -> DataFrame:
@@ -304,7 +301,7 @@ def optimize_portfolio(scores: DataFrame, returns: DataFrame, sectors: DataFrame
     """The full construction: blend of three methods, then the constraints.
 
     ``scores`` = (keys, ticker, score); ``returns`` = aligned (keys, ticker, t, x).
-    Portfolios with fewer than 20 return days get equal weights.
+    Portfolios with fewer than 20 return days get equal weights.  ``rank`` orders a portfolio by weight.
     """
     cov = ledoit_wolf(returns, keys).where("n >= 20")
     sig = returns.groupBy(*keys, "ticker").agg(F.stddev_samp("x").alias("sigma"), F.count("*").alias("n")).where("n >= 20")
@@ -322,7 +319,8 @@ def optimize_portfolio(scores: DataFrame, returns: DataFrame, sectors: DataFrame
     rest = scores.join(done, keys, "left_anti").join(sectors.select("ticker", "sector"), "ticker", "left").select(
         *keys, "ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"),
         (1.0 / F.count("*").over(W.partitionBy(*keys))).alias("weight"))
-    return built.unionByName(rest).orderBy(*keys, F.desc("weight"), "ticker")
+    order = W.partitionBy(*keys).orderBy(F.desc("weight"), "ticker")
+    return built.unionByName(rest).withColumn("rank", F.row_number().over(order))
 
 
 # ---- changes between two portfolios ----
