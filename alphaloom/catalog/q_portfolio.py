@@ -227,7 +227,23 @@ def _(t):
     return PF.black_litterman(_top(t).withColumnRenamed("cs_score", "score"), _lw(t), ["k"]).select("k", "ticker", *r(["weight"]))
 
 
-@query("optimized_portfolio", "C10 K6")
+_OPTIMIZED = """
+, b3 as (select k, ticker, w/(sum(w) over (partition by k)+1e-9) as w from (select k, ticker, greatest(0.4*coalesce(a.w,0)+0.3*coalesce(b.w,0)+0.3*coalesce(c.w,0),0) as w
+ from blw a full outer join cvw b using (k, ticker) full outer join kel c using (k, ticker)) where k in (select k from lw where n>=20)),
+h3 as (select k, ticker, pow(0.8,s)*w+(1-pow(0.8,s))/n as w from (select *, case when h-1.0/n<=1.5/n+1e-8 then 0 else least(50,ceil(ln((1.5/n+1e-8)/(h-1.0/n))/ln(0.64))) end as s from (
+ select *, count(*) over (partition by k) as n, sum(w*w) over (partition by k) as h from b3)))""" + _CAP.format(src="select k, ticker, w from h3", eps="0", cap="0.20", tol="1e-8", steps=50) + """,
+f3 as (select k, ticker, coalesce(sector,'Unknown') as sector, w/sum(w) over (partition by k) as w from rec left join sectors using (ticker) where w>=0.03),
+s3 as (with recursive c as (select k, ticker, sector, w, 0 as it from f3
+ union all select k, ticker, sector, case when bool_or(o) over (partition by k) then v/sum(v) over (partition by k) else w end, it+1 from (
+  select *, case when tot>0.35+1e-5 then w*0.35/tot else w end as v, tot>0.35+1e-5 as o from (select *, sum(w) over (partition by k, sector) as tot from c where it<20)))
+ select k, ticker, sector, w from c where it=20),
+v3 as (select a.k, sum(a.w*b.w*l.cov) as v from lw l join s3 a on a.k=l.k and a.ticker=l.i join s3 b on b.k=l.k and b.ticker=l.j group by a.k),
+o3 as (select k, ticker, sector, w from (select k, ticker, sector, w*least(0.12/sqrt(greatest(v*252,1e-10)),1) as w from s3 join v3 using (k)) where w>=0.03),
+a3 as (select * from o3 union all select k, ticker, coalesce(sector,'Unknown'), 1.0/count(*) over (partition by k) from top_long left join sectors using (ticker) where k not in (select k from o3))
+select k, ticker, sector, row_number() over (partition by k order by w desc, ticker) as rank, round(w,6) as weight from a3"""
+
+
+@query("optimized_portfolio", "C10 K6", _OPTIMIZED, "blw cvw kel lw sectors top_long")
 def _(t):
     top = _top(t).withColumnRenamed("cs_score", "score")
     return PF.optimize_portfolio(top, _ret(t), t.sectors, ["k"]).select("k", "ticker", "sector", "rank", *r(["weight"]))

@@ -10,6 +10,10 @@ from tools.check import TABLES, rows_of
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+# queries that SQL cannot express, or that only other queries' twins cover
+NO_TWIN = {"detect_regime", "placebo_test", "pipeline"}
+
+
 @pytest.fixture(scope="module")
 def con():
     duckdb = pytest.importorskip("duckdb")
@@ -26,6 +30,7 @@ def test_query(spark, con, name):
     got = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
+        assert name in NO_TWIN or name.startswith("op"), "no SQL twin"
         return
     cur = con.execute(sql)
     cols = [c[0] for c in cur.description]
