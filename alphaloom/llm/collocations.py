@@ -5,9 +5,7 @@ to four words after it in its piece.
 
 1. A first pass counts the words of each language, and how many suffixes fall into each of a fixed number of buckets by
    their first two, three, four and five words.
-2. A suffix ends before its first rare word, since no candidate goes on there.  Which words are rare is looked up in a
-   screen of fixed size, a bit for each part of the hash space; where many words share a bit, it only cuts less.
-   Suffixes are dealt to tasks by as many leading words as it takes for the bucket to be small beside a task's share:
+2. Suffixes are dealt to tasks by as many leading words as it takes for the bucket to be small beside a task's share:
    two as a rule, more for hot beginnings.  Equal suffixes of a task travel as one with a count.
 3. A task sorts pointers to its suffixes by three-way multikey quicksort, one word deeper in each equal partition, down to
    five words.  The size of an equal partition is the count of its phrase; partitions that are too small are abandoned.
@@ -37,10 +35,8 @@ LEAST = 100                 # occurrences of a candidate
 TOP = 2000
 BUCKETS = 1 << 16           # by each number of leading words
 SHARE = 4                   # a bucket is small up to one part in so many of a task's share
-TASK_SUFFIXES = 1 << 21     # suffixes of a task, at most about
+TASK_SUFFIXES = 1 << 22     # suffixes of a task, at most about
 FLUSH = 1 << 20             # suffixes sorted out together before they are sent
-WORDS_HELD = 1 << 18        # words counted in a task before they are sent
-SCREEN_BITS = 26            # bits of a word's hash in the screen of frequent words
 NO_LANGUAGE = "und"
 _U = np.uint64
 
@@ -165,7 +161,7 @@ def _counted(texts: DataFrame) -> DataFrame:
                     words[k] = [(names[lang], raw[a:z].decode()), m]
             for k, h in enumerate(_leading(s)):
                 buckets[k * BUCKETS: (k + 1) * BUCKETS] += np.bincount((h >> _U(48)).astype(np.int64), minlength=BUCKETS)
-            if len(words) > WORDS_HELD:
+            if len(words) > FLUSH // 4:
                 yield from flush()
         yield from flush()
         for at in range(0, len(buckets), BUCKETS):
@@ -190,38 +186,23 @@ def _depths(s: np.ndarray, sizes: np.ndarray, small: int) -> tuple[np.ndarray, n
 PACKED = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 
 
-def _screen(frequent: DataFrame) -> np.ndarray:
-    """Bits of the hashes of frequent words: 2 ** SCREEN_BITS of them, however many words."""
-    at = F.shiftrightunsigned("key", 64 - SCREEN_BITS) + 1
-    rows = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(1 << (SCREEN_BITS - 3), np.uint8)
-    for r in rows.collect():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["bucket"] - 1) * len(part): r["bucket"] * len(part)] = part
-    return out
-
-
-def _cut(s: np.ndarray, screen: np.ndarray) -> np.ndarray:
-    """Suffixes of two words or more that are left when each ends before its first rare word."""
-    at = s >> _U(64 - SCREEN_BITS)
-    keep = ((screen[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool) & (s != 0)
-    keep = np.logical_and.accumulate(keep, axis=1)
-    return np.where(keep, s, _U(0))[keep[:, 1]]
-
-
-def _dealt(texts: DataFrame, frequent: DataFrame, sizes: np.ndarray, small: int, parts: int) -> DataFrame:
+def _dealt(texts: DataFrame, sizes: np.ndarray, small: int, parts: int) -> DataFrame:
     """Suffixes packed by part: distinct words, counts, depths, and columns of word numbers."""
-    known = texts.sparkSession.sparkContext.broadcast((sizes, _screen(frequent)))        # both of a fixed size
+    known = texts.sparkSession.sparkContext.broadcast(sizes)        # (LONGEST - 1) * BUCKETS counts
 
     def run(batches):
         vacate()
-        (sizes, screen), held, size = known.value, [], 0
+        held, size = [], 0
 
         def flush():
             s = np.concatenate(held)
+            # no phrase begins with a suffix of one word
+            s = s[s[:, 1] != 0]
+            if not len(s):
+                return
             _, at, n = np.unique(_leading(s)[-1], return_index=True, return_counts=True)
             s = s[at]
-            depth, by = _depths(s, sizes, small)
+            depth, by = _depths(s, known.value, small)
             part = ((by >> _U(32)) * _U(parts)) >> _U(32)
             order = np.lexsort((s[:, 1], s[:, 0], part))
             s, depth, part, n = s[order], depth[order], part[order].astype(np.int64), n[order]
@@ -233,12 +214,12 @@ def _dealt(texts: DataFrame, frequent: DataFrame, sizes: np.ndarray, small: int,
                 data = b"".join([words.tobytes(), n[a:z].astype(np.uint32).tobytes(), depth[a:z].tobytes(), np.ascontiguousarray(ids.T).tobytes()])
                 yield batch(PACKED, part=[int(part[a])], data=[head.tobytes() + pa.compress(data, "zstd", asbytes=True)])
         for *_, s in _read(batches):
-            held.append(_cut(s, screen))
-            size += len(held[-1])
+            held.append(s)
+            size += len(s)
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
-        if size:
+        if held:
             yield from flush()
 
     return texts.mapInArrow(run, "part int, data binary")
@@ -298,7 +279,7 @@ def _sorted(packed: DataFrame, least: int) -> DataFrame:
             for part, data in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
                 packs.setdefault(part, []).append(data)
         for part in list(packs):
-            got = list(map(_unpacked, packs.pop(part)))
+            got = [_unpacked(d) for d in packs.pop(part)]
             words, at = np.unique(np.concatenate([np.zeros(1, np.uint64), *(g[0] for g in got)]), return_inverse=True)
             at, columns = at[1:], []
             ends = np.cumsum([len(g[0]) for g in got]).tolist()
@@ -336,7 +317,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     total = int(sizes[0].sum())
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // TASK_SUFFIXES))
     small = max(1, total // (parts * SHARE))
-    packed = _dealt(texts, frequent, sizes, small, parts).repartitionById(parts, F.col("part"))
+    packed = _dealt(texts, sizes, small, parts).repartitionById(parts, F.col("part"))
     found = stored(_sorted(packed, least), "found")
     part = found.where("not whole").groupBy("words").agg(F.sum("n").alias("n"))
     # whole partitions of a phrase that has parts elsewhere do not exist: it is dealt by one depth only
