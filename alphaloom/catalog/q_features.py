@@ -7,6 +7,7 @@ from alphaloom.catalog.ctes import REGIME_SQL, regime_label
 from alphaloom.functions import expr as X
 from alphaloom.operators import features as FE
 from alphaloom.operators import regime as RG
+from alphaloom.sources.storage import materialize
 
 
 def r4(*names, k=4):
@@ -167,7 +168,36 @@ def _(t):
     return RG.trend_votes(m).select("d", "trend_score", "chop_score", "is_trending", "top_n_adj", "min_score")
 
 
-@query("detect_regime", "W-M3")
+# centres of four groups: the farthest date four times, then thirty rounds, in which settled centres stay
+_FAR = "list_min(list_transform({0}, lambda m: pow(p.vix-m[1],2)+pow(p.spy_3m-m[2],2)+pow(p.credit-m[3],2)+pow(p.vol_regime-m[4],2)))"
+_CENTRES = f"""
+centres as (with recursive c as (
+ select 1 as k, [[vix, spy_3m, credit, vol_regime]] as ms from macro where d=(select min(d) from macro)
+ union all select c.k+1, list_append(c.ms, p.m) from c cross join lateral (
+  select [p.vix, p.spy_3m, p.credit, p.vol_regime] as m from macro p order by {_FAR.format('c.ms')} desc, p.d limit 1) p where c.k<4),
+ start as (select ms from c where k=4),
+ r as (select 0 as it, j as centre, (select ms from start)[j+1] as m from (select unnest(range(4)) as j)
+ union all select r.it+1, r.centre, coalesce(g.m, r.m) from r left join (
+  select centre, [avg(vix), avg(spy_3m), avg(credit), avg(vol_regime)] as m from (
+   select p.d, p.vix, p.spy_3m, p.credit, p.vol_regime, arg_min(q.centre, [pow(p.vix-q.m[1],2)+pow(p.spy_3m-q.m[2],2)+pow(p.credit-q.m[3],2)+pow(p.vol_regime-q.m[4],2), q.centre]) as centre
+   from macro p cross join r q group by all) group by centre) g on g.centre=r.centre where r.it<30)
+ select centre, m[1] as vix, m[2] as spy_3m, m[3] as credit, m[4] as vol_regime from r where it=30),
+near as (select p.d, arg_min(q.centre, [pow(p.vix-q.vix,2)+pow(p.spy_3m-q.spy_3m,2)+pow(p.credit-q.credit,2)+pow(p.vol_regime-q.vol_regime,2), q.centre]) as centre from macro p cross join centres q group by p.d),
+labelled as (select *, {regime_label(REGIME_SQL.format(vix='vix', spy='spy_3m', cr='credit', yc='0.0', vr='vol_regime'))} as regime from centres)"""
+
+
+@query("regime_centres", "W-M3", f", {_CENTRES} select l.centre, {sr(['vix', 'spy_3m', 'credit', 'vol_regime'])}, (select count(*) from near n where n.centre=l.centre) as n, regime from labelled l", "macro")
+def _(t):
+    g = RG.regime_groups(materialize(RG.snapshots(RG.macro_signals(t.macro_series)), "snapshots"))
+    return g.select("centre", *r4("vix", "spy_3m", "credit", "vol_regime"), "n", "regime")
+
+
+@query("detect_regime", "W-M3", f""", {_CENTRES},
+ rules as (select d, {regime_label(_PTS)} as rule from macro),
+ five as (select * from rules order by d desc limit 5),
+ vote as (select rule from five group by rule order by count(*) desc, min(d) limit 1)
+select d, rule as rule_regime, regime as ml_regime, case when rule=regime then rule else (select rule from vote) end as regime
+from rules join near using (d) join labelled using (centre) where d=(select max(d) from macro)""", "macro")
 def _(t):
     return RG.detect_regime(RG.macro_signals(t.macro_series))
 

@@ -48,6 +48,36 @@ def _(t):
     return x.select("n_simulations", *r(BS), "verdict")
 
 
+# own blocks count as simulation -1
+_JOINT = f"""
+, cal as (select d, row_number() over (order by d)-1 as pos from (select distinct d from curves)), size as (select count(*) as n from cal),
+ used as (select series_id, count(*) as n_returns from curves group by series_id having count(*)>=60),
+ grid as (select u.series_id, c.pos, coalesce(v.ret,0) as ret from used u cross join cal c left join curves v on v.series_id=u.series_id and v.d=c.d),
+ run as (select series_id, pos, ret, sum(ret) over w as s, sum(ret*ret) over w as q from grid window w as (partition by series_id order by pos)),
+ draws as (select sim, b, least(21, n-b*21) as len, case when sim<0 then b*21 else (((((42*611953+sim*1000003+b*7919)%2147483647)*48271)%2147483647)*69621)%2147483647%(n-21) end as start
+  from (select n, sim, unnest(range((n-1)//21+1)) as b from size cross join (select unnest(range(-1,{SIMS})) as sim))),
+ cuts as (select a.series_id, a.pos as start, c.len, z.s-a.s+a.ret as s, z.q-a.q+a.ret*a.ret as q
+  from (select distinct start, len from draws) c join run a on a.pos=c.start join run z on z.series_id=a.series_id and z.pos=c.start+c.len-1),
+ sums as (select series_id, sim, sum(s) as s, sum(q) as q, sum(s*s) as bb, sum(len*s) as lb, sum(len*len) as ll from draws join cuts using (start, len) group by series_id, sim),
+ f as (select series_id, sim, s/n as mu, s/n/(sqrt(greatest(q/n-s/n*s/n,0))+1e-9)*sqrt(252) as sharpe, sqrt(greatest(bb-2*s/n*lb+s/n*s/n*ll,0))/n as err from sums cross join size),
+ jt as (select f.series_id, f.sim, f.sharpe, o.sharpe as model_sharpe, case when f.err>1e-12 then (f.mu-o.mu)/f.err else 0 end as t, case when o.err>1e-12 then o.mu/o.err else 0 end as model_t
+  from f join f o on o.series_id=f.series_id and o.sim=-1 where f.sim>=0),
+ ranked as (select *, max(t) over (partition by sim) as best from jt),
+ shares as (select series_id, count(*) as n_simulations, avg(sharpe) as sharpe_mean, stddev_pop(sharpe) as sharpe_std, max(model_sharpe) as model_sharpe, max(model_t) as model_t,
+  avg(case when sharpe<=model_sharpe then 1.0 else 0.0 end) as sharpe_rank, avg(case when t>=model_t then 1.0 else 0.0 end) as p_value, avg(case when best>=model_t then 1.0 else 0.0 end) as p_family,
+  avg(case when sharpe>0 then 1.0 else 0.0 end) as p_sharpe_gt_0, avg(case when sharpe>1 then 1.0 else 0.0 end) as p_sharpe_gt_1 from ranked group by series_id)
+select series_id, n_returns, n_simulations, {{cols}}, case when p_sharpe_gt_1>0.5 then 'ROBUST: >50% of simulations produce Sharpe>1 ('||cast(round(p_sharpe_gt_1*100) as int)||'%)'
+ when p_sharpe_gt_0>0.7 then 'ACCEPTABLE: '||cast(round(p_sharpe_gt_0*100) as int)||'% of simulations positive Sharpe' else 'FRAGILE: only '||cast(round(p_sharpe_gt_0*100) as int)||'% of simulations positive Sharpe' end as verdict
+from shares join used using (series_id)"""
+MODEL = ["sharpe_mean", "sharpe_std", "model_sharpe", "sharpe_rank", "model_t", "p_value", "p_family", "p_sharpe_gt_0", "p_sharpe_gt_1"]
+
+
+@query("bootstrap_model_sharpe", "V1 P17", _JOINT.format(cols=", ".join(f"round({c},4) as {c}" for c in MODEL)), "curves")
+def _(t):
+    x = RS.model_against_resampled(materialize(RS.joint_bootstrap(t.curves, SIMS), "joint"))
+    return x.select("series_id", "n_returns", "n_simulations", *r(MODEL), "verdict")
+
+
 TRIALS = 50
 
 

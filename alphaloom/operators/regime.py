@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import c, regime_rule
+from alphaloom.sources.storage import materialize
 
 ANN = 252.0 ** 0.5
 
@@ -80,38 +81,87 @@ def apply_trend_filter(picks: DataFrame, votes: DataFrame) -> DataFrame:
         "q", "is_trending", "top_n_adj", "min_score")
 
 
-def detect_regime(history: DataFrame, seed: int = 42) -> DataFrame:
-    """Smoothed current regime: rule, cluster-centre rule, and last-five vote.
+CENTRE_COLS = ("vix", "spy_3m", "credit", "vol_regime")
 
-    ``history`` holds one snapshot per date (vix, spy_3m, credit, yc, vol_regime).
-    Clustering is Spark ML KMeans over the snapshots.
+
+def _nearest(points: tuple[str, ...], centres: list[tuple]) -> Column:
+    """Struct (squared distance, index) of the nearest centre; the first of equally near ones."""
+    # centres are one array value, so that every round runs the same compiled code
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in centres])
+
+    def far(m, j):
+        parts = [F.get(m, F.lit(i)) - F.col(c) for i, c in enumerate(points)]
+        return F.struct(sum((x * x for x in parts), F.lit(0.0)).alias("dist"), j.alias("centre"))
+    return F.array_min(F.transform(rows, far))
+
+
+def cluster_centres(points: DataFrame, order: str = "d", cols: tuple[str, ...] = CENTRE_COLS, k: int = 4, rounds: int = 30) -> list[tuple]:
+    """Centres of ``k`` groups by Lloyd rounds, each one aggregate over the points; only the k centres reach the driver.
+
+    The first centre is the first point by ``order``, each further one the point farthest from all before it (ties: the
+    first).  Equally near centres: the first; a centre without points stays; rounds end when no point changes its group,
+    or after ``rounds``.  No points give no centres; with fewer distinct points than k, centres repeat.
+    """
+    at = F.struct(*cols)
+    first = points.agg(F.min_by(at, order).alias("m")).first()["m"]
+    if first is None:
+        return []
+    centres = [tuple(first)]
+    while len(centres) < k:
+        best = points.select(order, at.alias("at"), _nearest(cols, centres)["dist"].alias("dist")).groupBy("dist").agg(
+            F.min(F.struct(order, "at")).alias("p")).agg(F.max_by("p", "dist").alias("m")).first()["m"]
+        centres.append(tuple(best["at"]))
+    before = None
+    for _ in range(rounds):
+        now = _nearest(cols, centres)["centre"]
+        moved = F.lit(True) if before is None else now != before
+        got = points.select(now.alias("centre"), moved.alias("moved"), *cols).groupBy("centre").agg(
+            F.count_if("moved").alias("moved"), *[F.avg(c).alias(c) for c in cols]).collect()        # k rows
+        if not sum(r["moved"] for r in got):
+            break
+        before = now
+        means = {r["centre"]: tuple(r[c] for c in cols) for r in got}
+        centres = [means.get(j, m) for j, m in enumerate(centres)]
+    return centres
+
+
+def snapshots(history: DataFrame) -> DataFrame:
+    """One row per date without missing values, with its rule label."""
+    snap = history.select("d", "yc", *[F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)).alias(x) for x in CENTRE_COLS])
+    return snap.withColumn("rule", regime_rule("vix", "spy_3m", "credit", "yc", "vol_regime"))
+
+
+def regime_groups(snap: DataFrame, k: int = 4) -> DataFrame:
+    """One row per centre: (centre, the four values, n members, regime by the rule without a yield curve)."""
+    centres = cluster_centres(snap, k=k)
+    rows = snap.sparkSession.createDataFrame([(j, *map(float, m)) for j, m in enumerate(centres)],
+                                             "centre int, vix double, spy_3m double, credit double, vol_regime double")
+    n = snap.select(_nearest(CENTRE_COLS, centres)["centre"].alias("centre")).groupBy("centre").agg(F.count("*").alias("n")) if centres else (
+        rows.select("centre", F.lit(0).cast("long").alias("n")))
+    return rows.join(n, "centre", "left").select(
+        *rows.columns, F.coalesce("n", F.lit(0)).alias("n"), regime_rule("vix", "spy_3m", "credit", F.lit(0.0), "vol_regime").alias("regime"))
+
+
+def detect_regime(history: DataFrame, k: int = 4, min_history: int = 30) -> DataFrame:
+    """Smoothed current regime, one row: rule, rule of the nearest group's centre, and the last-five vote between them.
+
+    ``history`` holds one snapshot per date (vix, spy_3m, credit, yc, vol_regime); with fewer than ``min_history`` the
+    rule stands alone.  On ties of the vote the label seen first wins; an empty history gives no row.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    cols = ["vix", "spy_3m", "credit", "vol_regime"]
-    snap = history.select("d", "yc", *[F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)).alias(x) for x in cols])
-    snap = snap.withColumn("rule", regime_rule("vix", "spy_3m", "credit", "yc", "vol_regime"))
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(snap).persist()
-    n = vec.count()
-    last5 = vec.orderBy(F.desc("d")).limit(5).select("d", "rule")
-    # most frequent label of the last five; on ties the one seen first
-    vote = (last5.groupBy("rule").agg(F.count("*").alias("c"), F.min("d").alias("first"))
-            .orderBy(F.desc("c"), "first").limit(1).select(F.col("rule").alias("voted")))
-    latest = vec.orderBy(F.desc("d")).limit(1)
-    if n < 30:
-        return latest.select("d", F.col("rule").alias("rule_regime"), F.col("rule").alias("ml_regime"),
-                             F.col("rule").alias("regime"))
-    model = KMeans(k=4, seed=seed).fit(vec)
-    centres = history.sparkSession.createDataFrame(
-        [(i, *map(float, v)) for i, v in enumerate(model.clusterCenters())],
-        "prediction int, vix double, spy_3m double, credit double, vol_regime double")
-    ml = centres.select("prediction", regime_rule("vix", "spy_3m", "credit", F.lit(0.0), "vol_regime").alias("ml"))
-    cur = model.transform(latest).join(ml, "prediction")
-    voted = vote.select("voted", F.lit(1).alias("one"))
-    return cur.withColumn("one", F.lit(1)).join(voted, "one").select(
-        "d", F.col("rule").alias("rule_regime"), F.col("ml").alias("ml_regime"),
-        F.when(F.col("ml") == F.col("rule"), F.col("rule")).otherwise(F.col("voted")).alias("regime"))
+    snap = materialize(snapshots(history), "snapshots")
+    few = snap.count() < min_history
+    centres = [] if few else cluster_centres(snap, k=k)
+    ml = F.col("rule")
+    if centres:
+        label = [regime_rule(*[F.lit(float(v)) for v in m[:3]], F.lit(0.0), F.lit(float(m[3]))) for m in centres]
+        ml = F.element_at(F.array(*label), _nearest(CENTRE_COLS, centres)["centre"] + 1)
+    last = snap.select("d", "rule", ml.alias("ml")).orderBy(F.desc("d")).limit(5)
+    five = last.agg(F.array_sort(F.collect_list(F.struct("d", "rule", "ml"))).alias("h")).where(F.size("h") > 0)
+    votes = F.transform("h", lambda e: F.struct(F.size(F.filter("h", lambda o: o["rule"] == e["rule"])).alias("c"),
+                                                (-F.array_position(F.transform("h", lambda o: o["rule"]), e["rule"])).alias("first"), e["rule"].alias("rule")))
+    cur = five.select(F.element_at("h", -1).alias("e"), F.array_max(votes)["rule"].alias("voted"))
+    return cur.select("e.d", F.col("e.rule").alias("rule_regime"), F.col("e.ml").alias("ml_regime"),
+                      F.when(F.col("e.ml") == F.col("e.rule"), F.col("e.rule")).otherwise(F.col("voted")).alias("regime"))
 
 
 def with_regime_asof(dates: DataFrame, regimes: DataFrame, date_col: str = "d") -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.scale import attach, ordered_counts
+from alphaloom.sources.storage import materialize
 
 ANN = 252.0 ** 0.5
 MOD = 2147483647
+SIMS_A_PART = 100
 
 
 def hash_draw(*parts: Column, seed: int = 42) -> Column:
@@ -71,6 +73,80 @@ def bootstrap_summary(sims: DataFrame) -> DataFrame:
     return g.withColumn("verdict", bootstrap_verdict(F.col("p_sharpe_gt_0"), F.col("p_sharpe_gt_1")))
 
 
+def joint_bootstrap(curves: DataFrame, sims: int = 500, block: int = 21, seed: int = 42, min_n: int = 60) -> DataFrame:
+    """Each curve's own Sharpe and studentised mean beside those of every simulation, blocks of dates drawn for all curves at once.
+
+    A simulation takes the same dates from every curve, so what curves have in common stays.  Curves share one calendar; a
+    date without a return counts as zero, null returns too; curves with fewer than ``min_n`` returns drop, and a calendar
+    no longer than a block gives no rows.  A mean's error comes from its blocks: t = (mean - own mean) / error.
+    A curve is one array of running sums (bounded by the calendar), so a block costs two look-ups whatever its length.
+    Gives (series_id, n_returns, sim, model_sharpe, model_t, sharpe, t).
+    """
+    x = curves.where("series_id is not null and d is not null").select("series_id", "d", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    dates = x.select("d").distinct()
+    pos = materialize(dates.select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"), F.count("*").over(W.partitionBy()).alias("n")), "dates")
+    w = W.partitionBy("series_id").orderBy("pos")
+    run = x.join(pos, "d").select("series_id", "n", "pos", F.sum("ret").over(w).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(w).alias("q"))
+    g = run.groupBy("series_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "s", "q"))).alias("h"))
+    g = g.withColumn("n_returns", F.size("h")).where((F.col("n_returns") >= min_n) & (F.col("n") > block))
+
+    def steps(field):
+        """Running sum before each date, and the whole sum behind the last."""
+        end = lambda i: F.coalesce(F.get("h", i + 1)["pos"], F.col("n").cast("int"))
+        held = F.flatten(F.transform("h", lambda e, i: F.array_repeat(e[field], end(i) - e["pos"])))
+        return F.concat(F.array_repeat(F.lit(0.0), F.get("h", F.lit(0))["pos"] + 1), held)
+    g = g.select("series_id", "n_returns", F.col("n").cast("int").alias("n"), steps("s").alias("s"), steps("q").alias("q"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s", "q", "bb", "lb", "ll")])
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))
+
+    def figures(start):
+        """Sums over the blocks that begin where ``start(block number)`` says; the last one is cut to the calendar's length."""
+        # step by step: each value of a block is worked out once
+        at = F.transform(blocks, lambda b: F.struct(start(b).alias("at"), F.least(F.lit(block), F.col("n") - b * block).alias("size")))
+        cut = F.transform(at, lambda e: F.struct((F.get("s", e["at"] + e["size"]) - F.get("s", e["at"])).alias("s"),
+                                                 (F.get("q", e["at"] + e["size"]) - F.get("q", e["at"])).alias("q"), e["size"].alias("size")))
+        return F.aggregate(cut, zero, lambda a, e: F.struct(
+            (a["s"] + e["s"]).alias("s"), (a["q"] + e["q"]).alias("q"), (a["bb"] + e["s"] * e["s"]).alias("bb"),
+            (a["lb"] + e["size"] * e["s"]).alias("lb"), (a["ll"] + e["size"] * e["size"]).alias("ll")))
+
+    def mean_sharpe_error(f):
+        mu = f["s"] / F.col("n")
+        sd = F.sqrt(F.greatest(f["q"] / F.col("n") - mu * mu, F.lit(0.0)))
+        err = F.sqrt(F.greatest(f["bb"] - 2 * mu * f["lb"] + mu * mu * f["ll"], F.lit(0.0))) / F.col("n")
+        return mu, mu / (sd + 1e-9) * ANN, err
+    draw = lambda sim: lambda b: (hash_draw(sim, b, seed=seed) % (F.col("n") - block)).cast("int")
+    own, own_sharpe, own_err = mean_sharpe_error(F.col("own"))
+    g = g.withColumn("own", figures(lambda b: b * block)).withColumn("mean", own).withColumn("model_sharpe", own_sharpe).withColumn(
+        "model_t", F.when(own_err > 1e-12, own / own_err).otherwise(0.0))
+    # work, not bytes, decides the tasks: a curve's simulations are dealt in parts, to a number of tasks that stays
+    spark = curves.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    g = g.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(sims - 1), F.lit(SIMS_A_PART)))).repartition(tasks, "series_id", "from")
+    part = F.sequence(F.col("from"), F.least(F.col("from") + (SIMS_A_PART - 1), F.lit(sims - 1)))
+    drawn = F.transform(part, lambda sim: F.struct(sim.alias("sim"), figures(draw(sim)).alias("f")))
+    x = g.select("series_id", "n_returns", "n", "mean", "model_sharpe", "model_t", F.explode(drawn).alias("e"))
+    mu, sharpe, err = mean_sharpe_error(F.col("e.f"))
+    return x.select("series_id", "n_returns", "e.sim", "model_sharpe", "model_t", sharpe.alias("sharpe"),
+                    F.when(err > 1e-12, (mu - F.col("mean")) / err).otherwise(0.0).alias("t"))
+
+
+def model_against_resampled(joint: DataFrame) -> DataFrame:
+    """Where each curve's own Sharpe stands among its simulations, and how likely its t is by chance.
+
+    ``p_value`` is the share of simulations whose t reaches the own one; ``p_family`` the share in which the best curve's
+    does, so that the best of many curves is not taken for skill.  ``joint``: rows of :func:`joint_bootstrap`.
+    """
+    best = materialize(joint.groupBy("sim").agg(F.max("t").alias("best")), "best")      # one row a simulation
+    share = lambda cond: F.avg(cond.cast("double"))
+    g = joint.join(best, "sim").groupBy("series_id").agg(
+        F.max("n_returns").alias("n_returns"), F.count("*").alias("n_simulations"), F.avg("sharpe").alias("sharpe_mean"),
+        F.stddev_pop("sharpe").alias("sharpe_std"), F.max("model_sharpe").alias("model_sharpe"),
+        share(F.col("sharpe") <= F.col("model_sharpe")).alias("sharpe_rank"), F.max("model_t").alias("model_t"),
+        share(F.col("t") >= F.col("model_t")).alias("p_value"), share(F.col("best") >= F.col("model_t")).alias("p_family"),
+        share(F.col("sharpe") > 0).alias("p_sharpe_gt_0"), share(F.col("sharpe") > 1).alias("p_sharpe_gt_1"))
+    return g.withColumn("verdict", bootstrap_verdict(F.col("p_sharpe_gt_0"), F.col("p_sharpe_gt_1")))
+
+
 def placebo_scores(panel: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     """Standard normal score per (trial, rebalance, ticker), from two hash draws: the placebo's only difference."""
     x = panel.select("k", "ticker", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))

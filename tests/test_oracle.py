@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 # queries that SQL cannot express, or that only other queries' twins cover
-NO_TWIN = {"detect_regime", "placebo_test", "pipeline"}
+NO_TWIN = {"placebo_test", "pipeline"}
 
 
 @pytest.fixture(scope="module")
