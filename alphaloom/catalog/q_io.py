@@ -64,6 +64,22 @@ def _(t):
     return R.cache_stats(t.spark.read.parquet(path), F.current_timestamp())
 
 
+@query("compacted_bars", "S2", """
+select ticker, d, round(case when ticker%3=0 then close*2 else close end,6) as close, volume, year(d) as year, case when ticker%3=0 then 1 else 6 end as age_hours
+from bars where close is not null and (ticker%3=0 or year(d)>=1998)""", "bars")
+def _(t):
+    """A store with entries of three days ago, of six hours ago, and for some tickers a later load with other prices."""
+    old, new = scratch_path(t.spark, "bars-store"), scratch_path(t.spark, "bars-compacted")
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    ago = lambda h: now - F.make_dt_interval(hours=h if hasattr(h, "cast") else F.lit(h))
+    bars = t.bars.where("close is not null")
+    R.write_bars(bars, old, ago(F.when(F.year("d") < 1998, 72).otherwise(6)))
+    R.write_bars(bars.where("ticker % 3 = 0").withColumn("close", F.col("close") * 2), old, ago(1))
+    live = R.compact_bars(t.spark, old, new, now)
+    age = ((F.unix_micros(now) - F.unix_micros("loaded_at")) / 3.6e9).cast("int")
+    return live.select("ticker", "d", F.round("close", 6).alias("close"), "volume", "year", age.alias("age_hours"))
+
+
 @query("load_news_items", "S7", """
 select cast(ticker as varchar) as ticker, md5(text) as text_md5, published_at from news where trim(text)<>'' and ticker<>3""", "news")
 def _(t):

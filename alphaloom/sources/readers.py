@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,13 +81,34 @@ def read_fresh_bars(spark: SparkSession, path: str, ttl_hours: float = 24.0) ->
     return spark.read.parquet(path).where(F.col("loaded_at") > limit)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Append bars partitioned by year, stamped with the load time."""
-    (bars.withColumn("year", F.year("d")).withColumn("loaded_at", F.current_timestamp())
-     .repartition("year").sortWithinPartitions("ticker", "d")
+def write_bars(bars: DataFrame, path: str, loaded_at: Column | None = None) -> None:
+    """Append bars partitioned by year, stamped with the load time (now, unless given).
+
+    Ranges of (year, ticker), not whole years, are dealt to tasks, so a year with many bars has several files.
+    """
+    stamp = F.current_timestamp() if loaded_at is None else loaded_at
+    (bars.withColumn("year", F.year("d")).withColumn("loaded_at", stamp)
+     .repartitionByRange("year", "ticker").sortWithinPartitions("year", "ticker", "d")
      .write.mode("append").partitionBy("year").parquet(path))
 
 
+def compact_bars(spark: SparkSession, path: str, target: str, now: Column, ttl_hours: float = 24.0) -> DataFrame:
+    """Write the live entries of a store to a new one and return it: neither stale nor superseded by a later load.
+
+    The old store is left as it is, so jobs that read it meanwhile end undisturbed; delete it when they are done.  A new
+    folder is required, so a run that was interrupted is repeated under another name.  Of entries of a (ticker, d) loaded at
+    the same time, the one with the greater close and then volume stays; entries without a load time are stale.
+    """
+    entries = spark.read.parquet(path)
+    live = entries.where(F.unix_micros("loaded_at") >= F.unix_micros(now) - F.lit(int(ttl_hours * 3.6e9)))
+    rest = [c for c in entries.columns if c not in ("ticker", "d", "year", "loaded_at", "close", "volume")]
+    # a maximum has partial sums, so reloaded bars shrink before the shuffle
+    newest = live.groupBy("year", "ticker", "d").agg(F.max(F.struct("loaded_at", "close", "volume", *rest)).alias("e"))
+    out = newest.select("ticker", "d", *[F.col(f"e.{c}").alias(c) for c in ("close", "volume", *rest, "loaded_at")], "year")
+    out.repartitionByRange("year", "ticker").sortWithinPartitions("year", "ticker", "d").write.mode("errorifexists").partitionBy("year").parquet(target)
+    return spark.read.schema(out.schema).parquet(target)
+
+
 def cache_stats(entries: DataFrame, now, ttl_hours: float = 24.0) -> DataFrame:
     """Entry, fresh and stale counts of a stamped table."""
     age = (F.unix_micros(now) - F.unix_micros("loaded_at")) / 3.6e9
