@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import liquidity_tier
 from alphaloom.params import VWAP_PROFILE
+from alphaloom.sources.storage import stacked
 
 
 def match_fills(arrivals: DataFrame, fills: DataFrame, flag_bps: float = 50.0) -> DataFrame:
@@ -194,7 +195,7 @@ def sync_positions(open_: DataFrame, target: DataFrame, exits: DataFrame, keys:
     rule = open_.join(exits.select(*k, "reason"), k).select(*k, F.lit("close").alias("action"), "reason")
     gone = open_.join(exits, k, "left_anti").join(target, k, "left_anti").select(*k, F.lit("close").alias("action"), F.lit("rebalance_removed").alias("reason"))
     new = target.join(open_, k, "left_anti").select(*k, F.lit("open").alias("action"), F.lit("new_target").alias("reason"))
-    return rule.unionByName(gone).unionByName(new)
+    return stacked(rule, gone, new)
 
 
 def entry_prices(positions: DataFrame, bars: DataFrame) -> DataFrame:
@@ -352,7 +353,7 @@ def lifo_matches(lots: DataFrame) -> DataFrame:
     s = (p.join(days, ["ticker", "trade_date"]).withColumn("__p", prev).where("side = 'sell'")
          .select("ticker", "trade_date", "seq", "side", "price", F.col("balance").alias("lo"), F.col("__p").alias("hi")))
     # cut at bucket edges; keep only the part inside the bucket
-    ev = _pieces(b.unionByName(s), "lo", "hi", BAND).select(
+    ev = _pieces(stacked(b, s), "lo", "hi", BAND).select(
         "ticker", "bucket", "trade_date", "seq", "side", "price",
         F.greatest(F.col("lo"), F.col("bucket") * BAND).alias("lo"), F.least(F.col("hi"), (F.col("bucket") + 1) * BAND).alias("hi"))
     tick = lots.schema["ticker"].dataType.simpleString()
@@ -374,7 +375,7 @@ def lifo_matches(lots: DataFrame) -> DataFrame:
     second = step(rest.select("ticker", "bucket", F.lit(0).cast("bigint").alias("chunk"), F.coalesce("open_date", "sell_date").alias("trade_date"),
                               F.coalesce("lot_seq", "sell_seq").alias("seq"), F.col("kind").alias("side"),
                               F.coalesce("cost", "sell_price").alias("price"), "lo", "hi"))
-    done = first.where("kind = 'match'").unionByName(second.where("kind = 'match'"))
+    done = stacked(first.where("kind = 'match'"), second.where("kind = 'match'"))
     g = done.groupBy("ticker", "open_date", "lot_seq", "cost", "sell_date", "sell_seq", "sell_price").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("shares"), F.max("hi").alias("__top"))
     return realized(g, [F.desc("__top")]).drop("__top")

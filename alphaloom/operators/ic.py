@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.scale import grouped_percentiles, ordered_counts, top_n
-from alphaloom.sources.storage import materialize
+from alphaloom.sources.storage import materialize, stacked
 
 
 def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFrame:
@@ -93,7 +93,7 @@ def known_scales(ic: DataFrame, probes: DataFrame, window: int = 24, half_life:
     ask = probes.select("factor", F.col("reb_d").alias("t"), F.lit(0).alias("p"), F.col("k").cast("int").alias("at"),
                         F.lit(None).cast(ic.select(obs.alias("o")).schema["o"].dataType).alias("o"))
     before = W.partitionBy("factor").orderBy("t", "p").rowsBetween(W.unboundedPreceding, 0)
-    x = told.unionByName(ask).select("factor", "p", "at", F.collect_list("o").over(before).alias("h")).where("p = 0")
+    x = stacked(told, ask).select("factor", "p", "at", F.collect_list("o").over(before).alias("h")).where("p = 0")
     x = x.withColumn("h", F.slice(F.sort_array("h", asc=False), 1, window))
     weights = F.transform("h", lambda v, age: F.struct(F.pow(F.lit(2.0), -age / half_life).alias("w"), v.ic.alias("v")))
     fold = F.aggregate(weights, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c")),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.sources.storage import stacked
+
 
 def quality_report(bars: DataFrame, min_bars: int = 60, max_missing: float = 0.05, min_price: float = 1.0,
                    spike: float = 0.40, min_adv: float = 1e6) -> DataFrame:
@@ -37,7 +39,7 @@ def rejection_report(report: DataFrame) -> DataFrame:
     """Failed gates with the number of tickers, plus totals."""
     why = report.where("not passed").select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
     tot = report.select(F.explode(F.array(F.lit("total"), F.when(F.col("passed"), "passed").otherwise("rejected"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    return why.unionByName(tot)
+    return stacked(why, tot)
 
 
 def freshness(bars: DataFrame, now: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import clip, time_decay
 from alphaloom.params import NEGATIVE_WORDS, POSITIVE_WORDS
+from alphaloom.sources.storage import stacked
 
 STRIP = "[.,:;!?()\\[\\]{}\"']+"
 
@@ -179,7 +180,7 @@ def check_claims(claims: DataFrame, metrics: DataFrame, key: str, tolerance: flo
     """
     own = claims.select(key, "pos", "hint", F.col("hint").alias("field"), F.lit(0).alias("prio"))
     ali = claims.join(alias_rows(claims.sparkSession), "hint").select(key, "pos", "hint", "field", "prio")
-    look = (own.unionByName(ali).join(metrics, [key, "field"]).groupBy(key, "pos")
+    look = (stacked(own, ali).join(metrics, [key, "field"]).groupBy(key, "pos")
             .agg(F.min_by("value", "prio").alias("actual"), F.min_by("field", "prio").alias("source_field")))
     j = claims.join(look, [key, "pos"], "left")
     gap = F.abs(F.col("claimed") - F.col("actual"))
