@@ -55,8 +55,9 @@ def forward_price(probes: DataFrame, bars: DataFrame, at: str, out: str, date_ou
     hit = F.struct(F.col("d").cast("date").alias("d"), F.col("close").cast("double").alias("px"))
     px = bars.where("close is not null").select("ticker", F.col("d").cast("date").alias("__t"), F.lit(1).alias("__p"), hit.alias("__hit"))
     ask = ask.select("ticker", "__t", F.lit(0).alias("__p"), F.lit(None).cast(px.schema["__hit"].dataType).alias("__hit"))
-    w = W.partitionBy("ticker").orderBy("__t", "__p").rowsBetween(0, W.unboundedFollowing)
-    got = stacked(px, ask).select("ticker", "__t", "__p", F.first("__hit", ignorenulls=True).over(w).alias("__hit")).where("__p = 0")
+    # backwards in time, as a running frame: one that reaches to the end is gone through anew for every row
+    w = W.partitionBy("ticker").orderBy(F.desc("__t"), F.desc("__p")).rowsBetween(W.unboundedPreceding, 0)
+    got = stacked(px, ask).select("ticker", "__t", "__p", F.last("__hit", ignorenulls=True).over(w).alias("__hit")).where("__p = 0")
     got = got.select("ticker", F.col("__t").alias("__at"), F.col("__hit.px").alias(out), *([F.col("__hit.d").alias(date_out)] if date_out else []))
     rows = probes.withColumn("__at", F.col(at).cast("date"))
     return rows.join(got, ["ticker", "__at"], "left").select(*probes.columns, *[c for c in got.columns if c not in ("ticker", "__at")])
