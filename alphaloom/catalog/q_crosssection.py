@@ -61,8 +61,7 @@ def _(t):
 
 @query("normalized_features", "W-X4 P13", "select k, ticker, factor, round(z,4) as z from zf", "zf")
 def _(t):
-    z, _s = S.scored(t)
-    return z.select("k", "ticker", "factor", F.round("z", 4).alias("z"))
+    return S.zscores(t).select("k", "ticker", "factor", F.round("z", 4).alias("z"))
 
 
 @query("score_components", "P13", """
@@ -81,8 +80,7 @@ def _(t):
 
 @query("swing_signal", "P15", "select k, ticker, round(score,4) as score from score_swing", "score_swing")
 def _(t):
-    z, _s = S.scored(t)
-    return CS.swing_scores(z, S.panel(t), ["k"]).select("k", "ticker", F.round("score", 4).alias("score"))
+    return CS.swing_scores(S.normalized(t), S.panel(t), ["k"]).select("k", "ticker", F.round("score", 4).alias("score"))
 
 
 @query("top_picks", "K1", "select k, ticker, rn, round(cs_score,4) as cs_score from top_long", "top_long")

@@ -258,7 +258,7 @@ def forward(t):
     """(k, ticker, fwd_return, closed) of all names with z-scores."""
     def make():
         from alphaloom.sources.storage import materialize
-        names = S.zscores(t).where("factor = 'momentum'").select("k", "ticker").join(S.panel(t).select("k", "ticker", "reb_d"), ["k", "ticker"])
+        names = S.normalized(t).select("k", "ticker", "reb_d")
         sig = names.select("k", "ticker", F.col("reb_d").alias("signal_date"), F.date_add("reb_d", 21).alias("fwd_due_date"))
         return materialize(A.fill_returns(sig, t.calm, F.lit("2001-11-04").cast("date"), "closed").select("k", "ticker", "fwd_return", "closed"), "forward")
     return S.memo(t, "forward", make)
@@ -295,7 +295,7 @@ def _scales(t):
 def scaled_scores(t):
     def make():
         from alphaloom.sources.storage import materialize
-        return materialize(PN.scores(S.zscores(t), S.panel(t), "longterm", _scales(t)), "scores")
+        return materialize(PN.scores(S.normalized(t), S.panel(t), "longterm", _scales(t)), "scores")
     return S.memo(t, "scores_scaled", make)
 
 
