@@ -11,7 +11,7 @@ less a margin.  Text without floors of its own language takes those of its scrip
 Edge cases: null and empty texts have no words, so the base rules reject them; texts without tokens have null measures;
 short texts (under ``MIN_TOKENS`` tokens) are not held to the entropy band; rows keep their number and doc_id (null too);
 further columns are ignored; an empty table gives no rows.  Floors: null languages count for the script alone; doc_ids
-labelled both ways, null doc_ids and null labels teach nothing; of a repeated doc_id the greatest text is measured.
+labelled both ways, null doc_ids and null labels teach nothing; of a repeated doc_id the text with most tokens teaches.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm import piece_codec, scan
-from alphaloom.llm.common import text_once
+from alphaloom.llm.common import stored, text_once
 from alphaloom.llm.wordbpe import read_vocabulary
 
 # fixed values: script, first and last code point of its main blocks
@@ -41,7 +42,6 @@ BANDS = {
 MIN_WORDS = 50
 MIN_TOKENS = 100
 SYMBOLS = b"#*$%&|<>"
-FIT_DOCS = 2000                 # floors are learned from at most so many texts labelled clean, chosen by a hash of doc_id
 FIT_LEAST = 100                 # a language or script with fewer of them has no floors of its own
 BEYOND, SPREADS = 1.1, 3.5      # the margin: the worst clean text times the one, or so many deviations, whichever is wider
 ROWS = 256
@@ -124,27 +124,80 @@ class Floor:
         off = entropy - np.polyval(self.curve, x)
         self.margin = float(max(BEYOND * -off.min(), SPREADS * off.std()))
 
+    @classmethod
+    def known(cls, curve: np.ndarray, shortest: float, longest: float, margin: float) -> Floor:
+        f = cls.__new__(cls)
+        f.curve, f.shortest, f.longest, f.margin = curve, shortest, longest, margin
+        return f
+
     def least(self, n: int) -> float:
         x = float(np.log2(n))
         # a token more adds at most what its logarithm does, so shorter texts get a bit less for each halving
         return float(np.polyval(self.curve, min(max(x, self.shortest), self.longest))) - self.margin - max(0.0, self.shortest - x)
 
 
-def learn_floors(docs: DataFrame, labels: DataFrame, model_path: str, lang: str = "lang", bound: int = FIT_DOCS) -> dict:
-    """{(script, language or None): Floor} from at most ``bound`` texts labelled clean that pass the base rules.
+def floors_of(measured: DataFrame, labels: DataFrame, lang: str = "lang", bound: int | None = None) -> dict:
+    """{(script, language or None): Floor} from all measured texts labelled clean that pass the base rules.
 
-    ``labels``: (doc_id, quality), 1 is clean.  Only the chosen texts are measured; their figures (``bound`` rows) reach the driver.
+    ``measured``: a stored table from :func:`scored`; ``labels``: (doc_id, quality), 1 is clean; ``bound``: learn from so many
+    labelled doc_ids at most.  Curves are fitted from sums over the texts; a row for each script and language reaches the driver.
     """
-    clean = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
-    some = clean.select(F.col("doc_id").alias("__chosen")).orderBy(F.xxhash64("__chosen"), "__chosen").limit(bound)
-    texts = docs.select("doc_id", "text", F.col(lang).cast("string").alias("lang")).join(F.broadcast(some), F.col("doc_id") == F.col("__chosen"), "left_semi")
-    once = texts.groupBy("doc_id").agg(F.max(F.struct("text", "lang")).alias("m")).select("doc_id", "m.text", "m.lang")
-    got = scored(once, model_path, carry=["lang"]).where("not base_failed and n_tokens >= %d" % MIN_TOKENS)
-    groups: dict = {}
-    for name, language, n, entropy in got.select("script", "lang", "n_tokens", "entropy").collect():
-        for key in {(name, language), (name, None)}:
-            groups.setdefault(key, []).append((n, entropy))
-    return {k: Floor(*np.array(sorted(v)).T) for k, v in groups.items() if len(v) >= FIT_LEAST}
+    clean = _clean(labels, bound)
+    fit = measured.where(f"not base_failed and n_tokens >= {MIN_TOKENS}").select("doc_id", "script", F.col(lang).cast("string").alias("lang"), "n_tokens", "entropy")
+    once = fit.join(clean, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "entropy", "script", "lang")).alias("m"))
+    of = lambda own: F.struct("m.script", F.coalesce("m.lang", F.lit("")).alias("lang") if own else F.lit("").alias("lang"), F.lit(own).alias("own"))
+    both = F.when(F.col("m.lang").isNull(), F.array(of(False))).otherwise(F.array(of(True), of(False)))
+    rows = once.select(F.explode(both).alias("g"), F.log2("m.n_tokens").alias("x"), F.col("m.entropy").alias("y")).select("g.*", "x", "y")
+    rows = stored(rows, "clean-measures")
+    group = ["script", "lang", "own"]
+    spark = measured.sparkSession
+
+    def beside(stats: dict, names: str) -> DataFrame:
+        return rows.join(F.broadcast(spark.createDataFrame([(*k, *v) for k, v in stats.items()], f"script string, lang string, own boolean, {names}")), group)
+
+    ends = {tuple(r[:3]): tuple(r[3:]) for r in rows.groupBy(*group).agg(F.avg("x"), F.min("x"), F.max("x"), F.count("*").alias("n")).where(F.col("n") >= FIT_LEAST).collect()}
+    if not ends:
+        return {}
+    u = F.col("x") - F.col("mid")
+    sums = [F.sum(F.pow(u, F.lit(float(i)))) for i in range(5)] + [F.sum(F.pow(u, F.lit(float(i))) * F.col("y")) for i in range(3)]
+    curves = {}
+    for r in beside({k: (v[0],) for k, v in ends.items()}, "mid double").groupBy(*group).agg(*sums).collect():
+        (mid, low, high, _), s = ends[tuple(r[:3])], r[3:]
+        size = 3 if high - low >= 1 else 1
+        c = np.zeros(3)
+        c[:size] = np.linalg.lstsq(np.array([[s[i + j] for j in range(size)] for i in range(size)]), np.array(s[5: 5 + size]), rcond=None)[0]
+        curves[tuple(r[:3])] = (float(c[2]), float(c[1]), float(c[0]), mid)
+    off = F.col("y") - ((F.col("a") * u + F.col("b")) * u + F.col("c"))
+    floors = {}
+    for name, language, own, worst, spread in beside(curves, "a double, b double, c double, mid double").groupBy(*group).agg(F.min(off), F.stddev_pop(off)).collect():
+        (a, b, c, mid), (_, low, high, _) = curves[name, language, own], ends[name, language, own]
+        floors[name, language if own else None] = Floor.known(np.array([a, b - 2 * a * mid, c - b * mid + a * mid * mid]), low, high, max(BEYOND * -worst, SPREADS * spread))
+    return floors
+
+
+def _clean(labels: DataFrame, bound: int | None) -> DataFrame:
+    """doc_ids labelled clean and nothing else."""
+    clean = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
+    return clean if bound is None else clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def learn_floors(docs: DataFrame, labels: DataFrame, model_path: str, lang: str = "lang", bound: int | None = None) -> dict:
+    """The floors of :func:`floors_of` for texts not measured yet; only those labelled clean (all, or ``bound`` of them) are."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(lang).cast("string").alias("lang")).join(_clean(labels, bound), "doc_id", "left_semi")
+    return floors_of(stored(scored(texts, model_path, carry=["lang"]), "measures"), labels, bound=bound)
+
+
+def judged(docs: DataFrame, labels: DataFrame, model_path: str, carry: list[str], lang: str) -> DataFrame:
+    """:func:`scored` with floors learned from all texts of ``docs`` labelled clean; every text is measured once."""
+    measured = stored(scored(docs, model_path, carry=carry), "measures")
+    floors = floors_of(measured, labels, lang)
+
+    @F.pandas_udf("boolean")
+    def above(name: pd.Series, language: pd.Series, n: pd.Series, entropy: pd.Series) -> pd.Series:
+        of = [floors.get((s, l)) or floors.get((s, None)) for s, l in zip(name, language)]
+        return pd.Series([f is None or k < MIN_TOKENS or e >= f.least(k) for f, k, e in zip(of, n, entropy)], dtype=bool)
+
+    return measured.withColumn("kept", F.col("kept") & above("script", F.col(lang).cast("string"), "n_tokens", "entropy"))
 
 
 def within(name: str, n: int, per_token: float | None, share: float | None, entropy: float | None, bands: dict = BANDS,

@@ -31,14 +31,16 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame],
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the base rules, the fertility bands of their script and the entropy floors of their language.
 
-    Floors are learned from at most ``fertility.FIT_DOCS`` documents that the folder's ``labels`` call clean; without a folder
-    the bands stand alone.  Null and empty texts fail the rules; repeated rows are judged alike; a null lang takes its script's
+    Floors are learned from all documents that the folder's ``labels`` call clean; without a folder the bands stand alone.
+     Null and empty texts fail the rules; repeated rows are judged alike; a null lang takes its script's
     floor; own columns of any name stay as they are.
     """
     model = public_tokenizers.path(PIECE_MODEL)
-    floors = fertility.learn_floors(docs, read_table(spark, sf_dir, "labels"), model) if sf_dir else {}
     moved, own, back = _aside(docs)
-    return back(fertility.scored(moved, model, carry=own, floors=floors, lang=own[docs.columns.index("lang")]).where("kept"))
+    if not sf_dir:
+        return back(fertility.scored(moved, model, carry=own).where("kept"))
+    lang = own[docs.columns.index("lang")]
+    return back(fertility.judged(moved, read_table(spark, sf_dir, "labels"), model, carry=own, lang=lang).where("kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
