@@ -28,7 +28,7 @@ def test_fit_takes_every_clean_text(spark):
 
 
 def test_query_keeps_every_clean_text(spark):
-    """At most 2,000 of the 3,243 clean texts of sf0.1 taught before; a floor from all of them rejects none of its own."""
+    """A floor rejects none of the texts it was learned from, through the stored measures."""
     labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
     words = "der die das und oder aber nicht sehr gut haus baum stadt fluss berg tal weg licht nacht tag jahr".split()
     rng = np.random.default_rng(8)
