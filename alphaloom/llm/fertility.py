@@ -99,7 +99,7 @@ class Fertility:
 
     def __init__(self, codec: piece_codec.PieceCodec):
         self.codec, n = codec, len(codec.pieces)
-        self.size, self.fallback = n, np.zeros(n, bool)
+        self.fallback = np.zeros(n, bool)
         for b, i in codec.byte.items():
             self.fallback[i] = b not in (0x09, 0x0A, 0x0D)
 
@@ -109,9 +109,10 @@ class Fertility:
         n = len(ids)
         if not n:
             return 0, None, None, None
-        counts = np.bincount(ids, minlength=self.size)
-        p = counts[counts > 0] / n
-        return n, len(text) / n, float(counts[self.fallback].sum() / n), float(-(p * np.log2(p)).sum())
+        # by sorting: an array as long as the vocabulary costs more than most texts
+        ordered = np.sort(ids)
+        p = np.diff(np.flatnonzero(ordered[1:] != ordered[:-1]), prepend=-1, append=n - 1) / n
+        return n, len(text) / n, float(np.count_nonzero(self.fallback[ids]) / n), float(-(p * np.log2(p)).sum())
 
 
 class Floor:

@@ -27,7 +27,7 @@ from alphaloom.llm.common import batch, resident
 from alphaloom.llm.wordbpe import read_vocabulary
 
 MARK = "▁"
-MEMO = 200_000          # segments, and as many pairs, a worker remembers before it starts anew
+MEMO = 500_000          # segments, and as many pairs, a worker remembers before it starts anew (some 100 MB)
 ROWS = 256
 
 
