@@ -11,11 +11,13 @@ ones).  Sets near the end of their band offer the cells of the next band's sketc
    first; a set that fills more cells than it may differ in offers only so many and one, the first in that order.  Of two
    similar sets the first common cell has at most so many others before it in either, so both offer it, and cells that
    strangers share are not offered.  The counts decide the order only: any order is exact.
-   A second pass makes the cells.  Cells are joined by value in packed numpy blocks; within a task, copies of a set offer
-   theirs once and the first holder of a cell stands for the others in the exchange.
+   A second pass makes the cells.  Cells are joined by value in packed numpy blocks, by 40 bits within their part of the
+   keys: cells that agree by chance only cost a comparison.  Within a task, copies of a set offer theirs once, and the
+   holders of a cell are one set of holders with a name.  Cells with the same holders say the same, so from here on a set
+   of holders stands for all its cells: rows grow with the sets of documents that meet, not with the cells in which they do.
 2. Each document is verified against the partner with which it shares most cells, copies are linked by a 192-bit
    fingerprint of the set, and the links' components are built.
-3. In cells whose holders lie in several components, pairs across components are filtered by size and by the Hamming
+3. In sets of holders that lie in several components, pairs across components are filtered by size and by the Hamming
    distance of parity-bit sketches, in blocks of bounded size.  What they allow to be linked is one cluster; the texts of
    a cluster meet once (in pairs of blocks if it is large), and whole sets are compared across components.  Both steps
    yield edges that span what they join, not pairs: rows grow with the documents of a group, not with its square.  Pairs
@@ -136,7 +138,8 @@ def similar(common: int, a: int, b: int) -> bool:
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 DOC = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f0", "<i8"), ("f1", "<i8"), ("bytes", "<i8")])
 CELLS, SHARED, ROWS = 0, 1, 2       # kinds of packed rows
-LOW = _U(0xFFFFFFFFFFFF)
+LOW = _U(0xFFFFFFFFFF)              # of a cell's key, beside its part
+_OF_SET = _U(0x2545F4914F6CDD1D)
 
 
 def _mark(s: np.ndarray) -> tuple[int, int, int]:
@@ -185,8 +188,22 @@ def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _names(owner: np.ndarray, of_set: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit names of the sets of distinct owners (documents, or sets by name) that begin at ``start``."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    member = scan.mix((owner.view(np.uint64) + _EMPTY) ^ np.where(of_set, _OF_SET, _U(0)))
+    size = np.diff(np.append(start, len(owner))).astype(np.uint64)
+    return scan.mix(np.add.reduceat(member, start) ^ scan.mix(size + _EMPTY))
+
+
+def _members(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the members of stretches."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
-    """CELLS: cells by part of the key space; SHARED: cells with several holders in this task; ROWS: the documents."""
+    """CELLS: cells by part of the key space; SHARED: sets of documents that hold a cell in this task; ROWS: the documents."""
     known = docs.sparkSession.sparkContext.broadcast(_cell_counts(docs, words))
 
     def run(batches):
@@ -201,22 +218,27 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
             if keys:
                 k, d = np.concatenate(keys), np.concatenate(owner)
                 part = (((k >> _U(32)) * _U(parts)) >> _U(32))
-                k = (part << _U(48)) | (k & LOW)
+                k = (part << _U(40)) | (k & LOW)
                 order = np.lexsort((d, k))
                 k, d = k[order], d[order]
-                same = k[1:] == k[:-1]
-                shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                first = np.concatenate([[True], ~same])     # the first holder stands for the others
-                if shared.any():
-                    lead = d[first][np.cumsum(first) - 1]
-                    out.append((spread, SHARED, k[shared].tobytes() + d[shared].tobytes() + lead[shared].tobytes()))
-                k, d = k[first], d[first]
-                part = (k >> _U(48)).astype(np.int64)
+                once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+                k, d = k[once], d[once]
+                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                size = np.diff(np.append(start, len(k)))
+                k, own, several = k[start], d[start], size > 1
+                if several.any():       # these holders stand behind the name of their set
+                    name = _names(d, np.zeros(len(d), bool), start)[several].view(np.int64)
+                    own[several] = name
+                    name, at, n = np.unique(name, return_index=True, return_counts=True)
+                    at, size = start[several][at], size[several][at]
+                    out.append((spread, SHARED, len(name).to_bytes(8, "little") + name.tobytes() + size.tobytes() + n.tobytes() + d[_members(at, size)].tobytes()))
+                part = (k >> _U(40)).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
                 for a, z in zip(edge, [*edge[1:], len(k)]):
-                    by = np.argsort(d[a:z], kind="stable")      # equal owners together: they compress well
-                    low = k[a:z][by].view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.append((int(part[a]), CELLS, d[a:z][by].tobytes() + low.tobytes()))
+                    by = np.lexsort((own[a:z], several[a:z]))      # equal owners together: they compress well
+                    low = k[a:z][by].view(np.uint8).reshape(-1, 8)[:, :5]
+                    single = z - a - int(several[a:z].sum())
+                    out.append((int(part[a]), CELLS, single.to_bytes(8, "little") + own[a:z][by].tobytes() + low.tobytes()))
             if rows:
                 out.append((spread, ROWS, len(rows).to_bytes(8, "little") + np.array(rows, DOC).tobytes() + b"".join(sketches)))
             keys, owner, rows, sketches, room = [], [], [], [], 0
@@ -244,55 +266,89 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, kind int, payload binary")
 
 
-FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("lead", pa.int64()), ("n", pa.int64()),
+LONGS = pa.list_(pa.int64())
+FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("docs", LONGS), ("sets", LONGS), ("doc_id", pa.int64()), ("n", pa.int64()),
                    ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.binary())])
 
 
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, pa.int64()))
+
+
 def _found(packed: DataFrame) -> DataFrame:
-    """ROWS unpacked, and SHARED rows (key, doc_id, lead) of all cells with several holders, in a task or over all."""
-    def holders(k, d, lead):
-        none = pa.nulls(len(k), pa.int64())
-        return batch(FOUND, kind=pa.array(np.full(len(k), SHARED, np.int32)), key=pa.array(k.view(np.int64)), doc_id=pa.array(d), lead=pa.array(lead),
-                     n=none, f0=none, f1=none, sketch=pa.nulls(len(k), pa.binary()))
+    """ROWS unpacked, and SHARED rows (key, docs, sets, n): the sets of holders that n cells have in a task or a part.
+
+    A set is named by its key; its members are ``docs`` and those of the sets named in ``sets``, which hold documents only.
+    """
+    def holders(name, docs, n_docs, sets, n_sets, n):
+        none = pa.nulls(len(name), pa.int64())
+        return batch(FOUND, kind=pa.array(np.full(len(name), SHARED, np.int32)), key=pa.array(name), docs=_lists(docs, n_docs), sets=_lists(sets, n_sets),
+                     doc_id=none, n=pa.array(n), f0=none, f1=none, sketch=pa.nulls(len(name), pa.binary()))
 
     def unpacked(raw):
         n = int.from_bytes(raw[:8], "little")
         at = 8 + n * DOC.itemsize
         r = np.frombuffer(raw[8:at], DOC)
         ends = (np.cumsum(r["bytes"]) + at).tolist()
-        return batch(FOUND, kind=pa.array(np.full(n, ROWS, np.int32)), key=pa.nulls(n, pa.int64()), lead=pa.nulls(n, pa.int64()),
+        return batch(FOUND, kind=pa.array(np.full(n, ROWS, np.int32)), key=pa.nulls(n, pa.int64()), docs=pa.nulls(n, LONGS), sets=pa.nulls(n, LONGS),
                      **{c: pa.array(np.ascontiguousarray(r[f])) for c, f in (("doc_id", "doc"), ("n", "n"), ("f0", "f0"), ("f1", "f1"))},
                      sketch=[raw[e - b: e] for e, b in zip(ends, r["bytes"].tolist())])
 
+    def of_task(raw):
+        m = int.from_bytes(raw[:8], "little")
+        name, size, n = np.frombuffer(raw, "<i8", 3 * m, 8).reshape(3, m)
+        return holders(name, np.frombuffer(raw, "<i8", offset=8 + 24 * m), size, np.zeros(0, np.int64), np.zeros(m, np.int64), n)
+
+    def of_part(k, own, of_set):
+        order = np.argsort(k)
+        k = k[order]
+        same = k[1:] == k[:-1]
+        multi = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(k) else same
+        k, order = k[multi], order[multi]
+        own, of_set = own[order], of_set[order]
+        order = np.lexsort((own, of_set, k))
+        k, own, of_set = k[order], own[order], of_set[order]
+        once = np.ones(len(k), bool)
+        once[1:] = (k[1:] != k[:-1]) | (own[1:] != own[:-1]) | (of_set[1:] != of_set[:-1])
+        k, own, of_set = k[once], own[once], of_set[once]
+        start = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+        size = np.diff(np.append(start, len(k)))
+        name, at, n = np.unique(np.where(size > 1, _names(own, of_set, start), _U(0)), return_index=True, return_counts=True)
+        at, n, name = at[size[at] > 1], n[size[at] > 1], name[size[at] > 1]
+        start, size = start[at], size[at]
+        for a in range(0, len(at), GATHER):
+            p = _members(start[a: a + GATHER], size[a: a + GATHER])
+            inner, edge = of_set[p], np.cumsum(size[a: a + GATHER]) - size[a: a + GATHER]
+            n_sets = np.add.reduceat(inner.astype(np.int64), edge)
+            yield holders(name[a: a + GATHER].view(np.int64), own[p][~inner], size[a: a + GATHER] - n_sets, own[p][inner], n_sets, n[a: a + GATHER])
+
     def run(batches):
         vacate()
-        keys, docs = {}, {}
+        cells = {}
         for b in batches:
             for part, kind, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == ROWS:
                     yield unpacked(raw)
                 elif kind == SHARED:
-                    n = len(raw) // 24
-                    yield holders(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n))
+                    yield of_task(raw)
                 else:
-                    n = len(raw) // 14
+                    n = (len(raw) - 8) // 13
                     low = np.zeros((n, 8), np.uint8)
-                    low[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8 * n).reshape(-1, 6)
-                    keys.setdefault(part, []).append(low.reshape(-1).view("<u8"))
-                    docs.setdefault(part, []).append(np.frombuffer(raw, "<i8", n))
-        for part in list(keys):
-            k, d = np.concatenate(keys.pop(part)), np.concatenate(docs.pop(part))
-            order = np.argsort(k)
-            k, d = k[order], d[order]
-            same = k[1:] == k[:-1]
-            multi = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(k) else same
-            if multi.any():
-                k, d = k[multi], d[multi]
-                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                lead = np.repeat(np.minimum.reduceat(d, start), np.diff(np.append(start, len(k))))
-                yield holders(k | (_U(part) << _U(48)), d, lead)
+                    low[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 8 + 8 * n).reshape(-1, 5)
+                    of_set = np.arange(n) >= int.from_bytes(raw[:8], "little")
+                    cells.setdefault(part, []).append((low.reshape(-1).view("<u8"), np.frombuffer(raw, "<i8", n, 8), of_set))
+        for part in list(cells):
+            yield from of_part(*(np.concatenate(c) for c in zip(*cells.pop(part))))
 
-    return packed.mapInArrow(run, "kind int, key long, doc_id long, lead long, n long, f0 long, f1 long, sketch binary")
+    return packed.mapInArrow(run, "kind int, key long, docs array<long>, sets array<long>, doc_id long, n long, f0 long, f1 long, sketch binary")
+
+
+def _holders(found: DataFrame) -> DataFrame:
+    """(key, doc_id, n): the documents of every set of holders, sets that several tasks or parts have found once."""
+    sets = stored(found.where(F.col("kind") == SHARED).groupBy("key", "docs", "sets").agg(F.sum("n").alias("n")), "sets")
+    plain = sets.where("size(sets) = 0").select(F.col("key").alias("set"), F.col("docs").alias("members"))
+    inner = sets.where("size(sets) > 0").select("key", "n", F.explode("sets").alias("set")).join(plain, "set")
+    return sets.select("key", F.explode("docs").alias("doc_id"), "n").unionAll(inner.select("key", F.explode("members").alias("doc_id"), "n"))
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -554,7 +610,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     packed = _packed(whole, parts, words).repartitionById(parts, F.col("part"))
     found = stored(_found(packed), "cells", by="kind")
     rows = found.where(F.col("kind") == ROWS).select("doc_id", "n", "f0", "f1", "sketch")
-    held = found.where(F.col("kind") == SHARED).select("key", "doc_id", "lead")
 
     # copies of a set: linked to their first document
     mark = ["n", "f0", "f1"]
@@ -563,25 +618,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # a copy that holds cells holds them for the set's first document, unless its doc_id has other sets too
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*mark)).alias("lo"), F.max(F.struct(*mark)).alias("hi")).where("lo < hi").select("doc_id")
     stands = stored(copies.join(several, copies["a"] == several["doc_id"], "left_anti"), "stands")
-    held = held.join(stands.select(F.col("a").alias("doc_id"), F.col("b").alias("first")), "doc_id", "left")
-
-    # each document against the lead with which it shares most cells, counted over every fourth cell: which one is tried
-    # first decides nothing, for all other pairs come in the last step
-    some = held.where("doc_id <> lead and pmod(key, 4) = 0").select(F.coalesce("first", "doc_id").alias("doc_id"), "lead")
-    shared = some.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
-    leads = shared.join(stands.select(F.col("a").alias("lead"), F.col("b").alias("first")), "lead", "left")
-    shared = leads.select("doc_id", F.coalesce("first", "lead").alias("lead"), "n").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.sum("n").alias("n"))
+    held = _holders(found).join(stands.select(F.col("a").alias("doc_id"), F.col("b").alias("first")), "doc_id", "left")
+    held = stored(held.select("key", F.coalesce("first", "doc_id").alias("doc_id"), "n").groupBy("key", "doc_id").agg(F.max("n").alias("n")), "held")
+
+    # each document against the first holder with which it shares most cells: which one is tried first decides nothing,
+    # for all other pairs come in the last step
+    lead = held.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
+    shared = held.join(lead, "key").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.sum("n").alias("n"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m")).select((-F.col("m.l")).alias("a"), F.col("doc_id").alias("b"))
     links = _linked(_near(best, rows.select("doc_id", "n", "sketch")), whole, words)
     comps = components(links.unionAll(copies))
 
-    # what is left: pairs across components in cells whose holders lie in several
+    # what is left: pairs across components in sets of holders that lie in several
     label = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    named = held.select("key", "doc_id", "first").join(label, "doc_id", "left").select("key", F.coalesce("first", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
+    named = stored(held.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")), "named")
     mixed = stored(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
     sketched = rows.where("n > 0").select("doc_id", "n", "sketch").distinct()       # all sets of a repeated doc_id
-    near = components(_near_groups(_blocks(named.join(mixed, "key").distinct().join(sketched, "doc_id"))))
+    near = components(_near_groups(_blocks(named.join(mixed, "key").join(sketched, "doc_id"))))
     near = near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     near = near.join(label, "doc_id", "left").select("doc_id", "cluster", F.coalesce("comp", "doc_id").alias("comp")).join(sketched.drop("sketch"), "doc_id")
     sizes = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
