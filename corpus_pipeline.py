@@ -17,6 +17,7 @@ from alphaloom.llm import fertility, jaccard, langid, line_dedup, packing
 from alphaloom.llm.common import read_table, stored
 from alphaloom.llm.queries import PIECE_MODEL, WORD_VOCABULARY
 
+WORD = r"[^\x20\x09-\x0D]"       # what a word is made of
 MIN_LANGUAGE_SCORE = 0.25       # a text further from every language is of none of them
 
 
@@ -67,17 +68,21 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; documents without a doc_id stay.
 
-    Rows count by a key of their own: of a repeated doc_id, rows go only if their texts are linked or equal.
+    Rows count by a key of their own: of a repeated doc_id, rows go only if their texts are linked or equal.  Texts stay
+    where they are: which rows go is one bit each, 64 rows a word, and words are few enough for Spark to broadcast; only
+    texts without words are dealt anew.
     """
     keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
     named = keyed.where("doc_id is not null")
     groups = stored(jaccard.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text")), "groups")
-    bare = groups.where("n_shingles = 0").select(F.col("doc_id").alias("__row"))
     members = groups.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id").join(named.select("__row", "doc_id"), "__row")
     first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    gone = stored(members.join(first, "component_id").where("__row <> m.__row").select("__row").unionAll(bare), "gone")
-    once = named.join(bare, "__row", "left_semi").dropDuplicates(["doc_id", "text"])
-    return keyed.join(gone, "__row", "left_anti").unionByName(once).select(*docs.columns)
+    gone = members.join(first, "component_id").where("__row <> m.__row").select(F.shiftright("__row", 6).alias("__word"), (F.col("__row") % 64).cast("int").alias("bit"))
+    gone = stored(gone.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("__gone")), "gone")
+    bare = F.col("doc_id").isNotNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rest = keyed.where(~bare).withColumn("__word", F.shiftright("__row", 6)).join(gone, "__word", "left")
+    rest = rest.where(F.coalesce(F.getbit("__gone", (F.col("__row") % 64).cast("int")), F.lit(0)) == 0)
+    return rest.select(*docs.columns).unionByName(keyed.where(bare).dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
