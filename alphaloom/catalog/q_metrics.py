@@ -272,7 +272,7 @@ group by k, factor having count(*)>=5 and stddev_pop(z)>=1e-10 and stddev_pop(fw
 
 @query("factor_ic", "W-I1", "select k, factor, round(ic,4) as ic from icf", "icf")
 def _(t):
-    return IC.factor_ic(S.zscores(t).select("k", "ticker", "factor", "z"), forward(t), ["k"]).select("k", "factor", *r(["ic"]))
+    return IC.factor_ic(S.normalized(t), forward(t), ["k"]).select("k", "factor", *r(["ic"]))
 
 
 # scales known at a rebalance: of the rebalances whose last forward price is older, the last 24
@@ -288,7 +288,7 @@ cte("score_scaled", score_sql("w_long", P.LONG_TERM_ADJUST, P.LONG_TERM_CRISIS,
 
 def _scales(t):
     def make():
-        return PN.ic_scales(S.zscores(t), S.panel(t), forward(t), S.TEST_PARAMS)
+        return PN.ic_scales(S.normalized(t), S.panel(t), forward(t), S.TEST_PARAMS)
     return S.memo(t, "scales", make)
 
 

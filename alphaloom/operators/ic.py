@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.operators.scale import grouped_percentiles, ordered_counts, top_n
+from alphaloom.operators.crosssection import FACTORS, stacked_factors
+from alphaloom.operators.scale import grouped_percentiles, handed_out, ordered_counts, top_n
 from alphaloom.sources.storage import materialize, stacked
 
+WHOLE_ROWS = 1 << 20        # a cross-section of so many names at most is ranked at once, a column at a time
+
 
 def log_signals(scores: DataFrame, n_picks: int, fwd_days: int = 21) -> DataFrame:
     """(d, ticker, score, regime) -> signal rows with due date and pick flag."""
@@ -38,11 +43,51 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 5) ->
 def factor_ic(z: DataFrame, fwd: DataFrame, keys: list[str]) -> DataFrame:
     """Rank correlation of each factor with the forward return, per date and factor.
 
-    ``z`` = (keys, ticker, factor, z); ``fwd`` = (keys, ticker, fwd_return).
-    Undefined correlations are left out.
+    ``z`` = (keys, ticker, factor, z), or one row per name with a column for each factor; ``fwd`` = (keys, ticker,
+    fwd_return).  Undefined correlations are left out.
+
+    Rows of names are dealt once, by date, and meet their returns there; dates of more than ``WHOLE_ROWS`` names are ranked
+    by ranges of values, factor by factor (``spearman``).
     """
-    j = z.join(fwd, keys + ["ticker"])
-    return spearman(j, keys + ["factor"], "z", "fwd_return").where("ic is not null")
+    if "factor" in z.columns:
+        return spearman(z.join(fwd, keys + ["ticker"]), keys + ["factor"], "z", "fwd_return").where("ic is not null")
+    z = z.select(*keys, "ticker", *FACTORS)
+    large = handed_out(z.groupBy(*keys).count().where(F.col("count") > WHOLE_ROWS).select(*keys), "large")
+    if not large.limit(1).count():
+        return _whole_ic(z, fwd, keys)
+    rest = stacked_factors(z.join(large, keys, "left_semi"), keys).join(fwd, keys + ["ticker"])
+    return stacked(_whole_ic(z.join(large, keys, "left_anti"), fwd, keys), spearman(rest, keys + ["factor"], "z", "fwd_return").where("ic is not null"))
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average (tie-shared) ranks from 1."""
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2.0)[at]
+
+
+def _whole_ic(z: DataFrame, fwd: DataFrame, keys: list[str], min_n: int = 5) -> DataFrame:
+    """The same, a cross-section in one task: rows (keys, factor, n, ic)."""
+    out = ", ".join([f"`{k}` {z.schema[k].dataType.simpleString()}" for k in keys] + ["factor string", "n long", "ic double"])
+
+    def correlated(names: pa.Table, returns: pa.Table) -> pa.Table:
+        j = names.join(returns.select(["ticker", "fwd_return"]), "ticker", join_type="inner")
+        y, there = j.column("fwd_return").cast(pa.float64()), j.column("fwd_return").is_valid().to_numpy()
+        y, rows = y.fill_null(0.0).to_numpy(), []
+        whole = _ranks(y[there])
+        for f in FACTORS:
+            x, ok = j.column(f).fill_null(0.0).to_numpy(), j.column(f).is_valid().to_numpy() & there
+            n = int(ok.sum())
+            if n < min_n or x[ok].std() < 1e-10 or y[ok].std() < 1e-10:
+                continue
+            cx, cy = _ranks(x[ok]) - (n + 1) / 2.0, (whole if n == len(whole) else _ranks(y[ok])) - (n + 1) / 2.0
+            scale = np.sqrt((cx * cx).sum()) * np.sqrt((cy * cy).sum())
+            if scale:
+                rows.append((f, n, (cx * cy).sum() / scale))
+        own = {k: pa.array([names.column(k)[0].as_py()] * len(rows), names.schema.field(k).type) if len(rows) else pa.array([], names.schema.field(k).type) for k in keys}
+        of = list(zip(*rows)) if rows else [(), (), ()]
+        return pa.table(own | {"factor": pa.array(of[0], pa.string()), "n": pa.array(of[1], pa.int64()), "ic": pa.array(of[2], pa.float64())})
+
+    return z.groupBy(*keys).cogroup(fwd.select(*keys, "ticker", "fwd_return").groupBy(*keys)).applyInArrow(correlated, out)
 
 
 def last_rows(ic: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
