@@ -86,9 +86,9 @@ def _placebo(t):
         from alphaloom.operators import crosssection as CS
         from alphaloom.plans import walk_forward as WF
         p = S.panel(t)
-        sc = RS.placebo_scores(p, TRIALS)
-        z = CS.zscore(sc, ["strategy", "k"], "score", "cs_score", eps=1e-9)
-        bt = WF.run(z, t.calm, p.select("k", "ticker", "adv"), S.TEST_PARAMS, smooth=False)
+        sc, of_all = RS.placebo_scores(p, TRIALS, best=S.TEST_PARAMS.top_n)
+        z = CS.zscore(sc, ["strategy", "k"], "score", "cs_score", eps=1e-9, stats=of_all)
+        bt = WF.run(z, t.calm, p.select("k", "ticker", "adv"), S.TEST_PARAMS, smooth=False, cal=S.calendar(t, S.TEST_PARAMS), of=t.calm_of)
         return materialize(RS.sharpe_sample(bt.equity), "placebo")
     return S.memo(t, "placebo", make)
 

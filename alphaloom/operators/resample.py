@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,8 +148,15 @@ def model_against_resampled(joint: DataFrame) -> DataFrame:
     return g.withColumn("verdict", bootstrap_verdict(F.col("p_sharpe_gt_0"), F.col("p_sharpe_gt_1")))
 
 
-def placebo_scores(panel: DataFrame, trials: int, seed: int = 42) -> DataFrame:
-    """Standard normal score per (trial, rebalance, ticker), from two hash draws: the placebo's only difference."""
+def placebo_scores(panel: DataFrame, trials: int, seed: int = 42, best: int | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Standard normal score per (trial, rebalance, ticker), from two hash draws: the placebo's only difference.
+
+    With ``best``, every name is drawn in every trial as well, but of the rows only those that can be among the so many
+    best of their (strategy, k) are returned, and beside them the mean and deviation of all draws (strategy, k, __m, __s):
+    a trial then costs a pass over arrays, not a row for each name.
+    """
+    if best is not None:
+        return _best_draws(panel, trials, seed, best)
     x = panel.select("k", "ticker", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     # the parts change places, lest one draw be a shift of the other
     u, v = ((hash_draw(*map(F.col, parts), seed=seed) + 0.5) / MOD for parts in (("trial", "k", "ticker"), ("ticker", "trial", "k")))
@@ -156,6 +164,79 @@ def placebo_scores(panel: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     return x.select(F.concat(F.lit("trial"), F.col("trial")).alias("strategy"), "k", "ticker", normal.alias("score"))
 
 
+DRAWN_NAMES = 2_000_000     # names that a task holds at once; of a rebalance so many are drawn in all trials together
+DRAWN_TOGETHER = 20_000
+
+
+def _hashes(*parts: np.ndarray, seed: int) -> np.ndarray:
+    """``hash_draw`` of arrays; remainders keep their sign, as SQL's do."""
+    h = np.int64(seed * 611953) + sum(p * x for p, x in zip((1000003, 7919, 104729), parts))
+    return np.fmod(np.fmod(np.fmod(h, MOD) * 48271, MOD) * 69621, MOD)
+
+
+def _best_draws(panel: DataFrame, trials: int, seed: int, best: int) -> tuple[DataFrame, DataFrame]:
+    names = panel.select("k", "ticker", F.col("k").cast("long").alias("__k"), F.col("ticker").cast("long").alias("__t"))
+    out = "trial int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema.fields[:2]) + ", score double, n long, s double, q double"
+    trial = np.arange(trials, dtype=np.int64)[:, None]
+
+    def draws(k: int, ticker: np.ndarray) -> np.ndarray:
+        u, v = ((_hashes(*parts, seed=seed) + 0.5) / MOD for parts in ((trial, np.int64(k), ticker[None, :]), (ticker[None, :], trial, np.int64(k))))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * math.pi * v)
+
+    def of_rebalance(rows: pa.Table, k: int, ticker: np.ndarray, at: np.ndarray):
+        """The best of the rows ``at``, and a row of sums for each trial."""
+        z = draws(k, ticker[at])
+        none = ~np.isfinite(z)
+        low = np.where(none, -np.inf, z)
+        # a score within rounding of the last of the best may stand beside it once it is standardised
+        cut = np.partition(low, -best, axis=1)[:, -best][:, None] - 1e-9 if len(at) > best else np.full((trials, 1), -np.inf)
+        j, i = np.nonzero((low >= cut) | (none & (cut == -np.inf)))
+        zero = np.where(none, 0.0, z)
+        yield _rows(rows, j, at[i], pa.array(z[j, i], mask=none[j, i]), None)
+        yield _rows(rows, np.arange(trials), np.repeat(at[:1], trials), None, ((~none).sum(1), zero.sum(1), (zero * zero).sum(1)))
+
+    def _rows(rows, j, at, score, sums):
+        key = rows.select(["k", "ticker"]).take(pa.array(at))
+        size = len(j)
+        n, s, q = (pa.array(x) for x in sums) if sums else (pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64()))
+        t = pa.table({"trial": pa.array(j.astype(np.int32)), "k": key["k"], "ticker": key["ticker"], "score": score if score is not None else pa.nulls(size, pa.float64()),
+                      "n": n.cast(pa.int64()), "s": s, "q": q})
+        return t.combine_chunks()
+
+    def flush(batches: list):
+        t = pa.Table.from_batches(batches)
+        whole = (t["__k"].is_valid().to_numpy() & t["__t"].is_valid().to_numpy())
+        for at in np.nonzero(~whole)[0]:      # no number to draw from: no score
+            yield _rows(t, np.arange(trials), np.repeat(at, trials), None, None)
+        k, ticker = t["__k"].fill_null(0).to_numpy(), t["__t"].fill_null(0).to_numpy()
+        order = np.nonzero(whole)[0]
+        order = order[np.argsort(k[order], kind="stable")]
+        for group in np.split(order, np.nonzero(np.diff(k[order]))[0] + 1):
+            for a in range(0, len(group), DRAWN_TOGETHER):
+                at = group[a:a + DRAWN_TOGETHER]
+                yield from of_rebalance(t, k[at[0]], ticker, at)
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= DRAWN_NAMES:
+                for t in flush(held):
+                    yield from t.to_batches()
+                held, size = [], 0
+        if size:
+            for t in flush(held):
+                yield from t.to_batches()
+
+    got = materialize(names.mapInArrow(run, out).withColumn("strategy", F.concat(F.lit("trial"), F.col("trial"))), "draws")
+    n = F.sum("n")
+    m = F.when(n > 0, F.sum("s") / n)
+    stats = got.where("n is not null").groupBy("strategy", "k").agg(m.alias("__m"), F.when(n > 0, F.sqrt(F.greatest(F.sum("q") / n - m * m, F.lit(0.0)))).alias("__s"))
+    return got.where("n is null").select("strategy", "k", "ticker", "score"), stats
+
+
 def placebo_verdict(model: Column, p: Column, mean: Column) -> Column:
     f = lambda x, k: F.format_string(f"%.{k}f", x)
     return (F.when((p < 0.05) & (model > mean), F.concat(F.lit("SIGNIFICANT: model beats random at p="), f(p, 3), F.lit(" — alpha likely real")))
